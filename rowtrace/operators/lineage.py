@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtrace.operators.attach import attach, inequality_join, join_values, matching, ordinal, over_groups
+from rowtrace.operators.attach import attach, inequality_join, join_values, matching, measure, ordinal, over_groups
 from rowtrace.session import DEFAULT_LIMITS, Limits, keep
 
 On = Sequence[tuple[str, str]]
@@ -69,6 +69,12 @@ class Traced:
         joined = self.df.join(other.df, condition, how)
         return Traced(joined, self.rids + other.rids, self.subs + other.subs)
 
+    def product(self, other: Traced) -> Traced:
+        """Every pair of rows; the smaller side is broadcast if it was measured to be small."""
+        small = measure(other.df)
+        right = F.broadcast(small.frame) if small.small(DEFAULT_LIMITS) else small.frame
+        return Traced(self.df.join(right, how="cross"), self.rids + other.rids, self.subs + other.subs)
+
     def join_below(self, other: Traced, low: str, high: str, or_equal: bool = False) -> Traced:
         """Theta join on self.low < other.high (or <=)."""
         joined = inequality_join(self.df, other.df, low, high, or_equal)
