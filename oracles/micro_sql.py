@@ -88,8 +88,8 @@ def lookups(edges: str) -> str:
 GROUPED = "select l_partkey as out_id, l_rid as in_id from lineitem_x"
 INDEXED = w("", GROUPED + " where l_partkey in (select p_partkey from part order by 1 limit 1000)")
 FILTERED = "select l_rid as out_id, l_rid as in_id from lineitem_x where l_quantity < 10"
-PKFK_EDGES = f"select o_rid || '|' || c_rid as out_id, o_rid as lhs_id, c_rid as rhs_id from {PKFK}"
-THETA_EDGES = f"select s_rid || '|' || n_rid as out_id, s_rid as lhs_id, n_rid as rhs_id from ({THETA.format(op='<')})"
+PKFK_EDGES = f"select o_rid || '|' || c_rid as out_id, o_rid::varchar as lhs_id, c_rid::varchar as rhs_id from {PKFK}"
+THETA_EDGES = f"select s_rid || '|' || n_rid as out_id, s_rid::varchar as lhs_id, n_rid::varchar as rhs_id from ({THETA.format(op='<')})"
 Q06 = """select 0 as out_id, l_rid as in_id from lineitem_x where year(l_shipdate) = 1996
     and l_discount >= 0.05 and l_discount <= 0.07 and l_quantity < 24"""
 OUTER = "customer_x left join orders_x on o_custkey = c_custkey and o_orderpriority = '1-URGENT'"
@@ -180,9 +180,9 @@ def sql() -> dict[str, str]:
         "edge_limit": w("", f"select out_id, o_rid as in_id from ({SORTED}) where out_id < 100"),
         "edge_group": w("", GROUPED),
         "edge_hash_join": w("", PKFK_EDGES),
-        "edge_theta_join": w("", f"select out_id, lhs_id, cast(rhs_id as bigint) as rhs_id from ({THETA_EDGES})"),
+        "edge_theta_join": w("", THETA_EDGES),
         "edge_outer": w("", f"""select concat_ws('|', cast(c_rid as varchar), cast(o_rid as varchar)) as out_id,
-            c_rid as lhs_id, o_rid as rhs_id from {OUTER}"""),
+            c_rid::varchar as lhs_id, o_rid::varchar as rhs_id from {OUTER}"""),
         "edge_outer_composed": w("", f"select c_rid as out_id, l_rid from {OUTER} left join lineitem_x on l_orderkey = o_rid"),
         "edge_composed": w("", f"""select o_orderpriority, cast(o_rid as varchar) as o_rid,
             cast(c_rid as varchar) as c_rid from {PKFK} where o_orderdate < date '1996-01-01'"""),

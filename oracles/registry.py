@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles import micro_sql
+from oracles import micro_sql, runs_sql
 from oracles.tpch_sql import SPECS, backward_sql, base_sql, lineage_sql
 
 DECORRELATED = ("q02", "q04", "q15", "q16", "q17", "q20", "q21", "q22")
@@ -22,4 +22,5 @@ def sql() -> dict[str, str]:
     for name in WINDOWED:
         found[f"win_{name}"] = lineage_sql(name)
     found.update(micro_sql.sql())
+    found.update(runs_sql.sql())
     return found

@@ -37,7 +37,7 @@ def portable(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         column, kind = F.col(f"`{f.name}`"), f.dataType
         integer = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType))
-        if f.name.endswith("_rid") and not isinstance(kind, T.ArrayType):
+        if f.name.endswith(("_rid", "hs_id")) and not isinstance(kind, T.ArrayType):
             column = column.cast("string")
         elif integer:
             column = column.cast("string" if factorised else "long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from rowtrace.plans import micro
+from rowtrace.plans import micro, overhead
 from rowtrace.plans.params import BEST, DECORRELATED, TRACE_KEYS, WINDOWED
 from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.sources.tables import Tables
@@ -52,4 +52,5 @@ def jobs() -> dict[str, Job]:
     for name in WINDOWED:
         found[f"win_{name}"] = _lineage(name, "window")
     found.update(micro.jobs())
+    found.update(overhead.jobs())
     return found
