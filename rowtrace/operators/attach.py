@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowtrace.functions.exact import Aggregate, aggregate
 from rowtrace.session import DEFAULT_LIMITS, Limits, cut
 
 
@@ -36,6 +37,16 @@ def measure(df: DataFrame) -> Measured:
     return Measured(frame, frame.count())
 
 
+def sized(df: DataFrame, limits: Limits = DEFAULT_LIMITS, bound: int | None = None) -> DataFrame:
+    """`df` for the side of a join that may be broadcast.
+
+    `bound` is a row count known in advance (a LIMIT, or counted before); without
+    one the relation is measured. Small: broadcast. Otherwise: left to a shuffle.
+    """
+    known = Measured(df, bound) if bound is not None else measure(df)
+    return F.broadcast(known.frame) if known.small(limits) else known.frame
+
+
 def matching(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality of two column lists (groups with a null key keep their rows)."""
     condition = F.lit(True)
@@ -53,21 +64,15 @@ def attach(
 ) -> DataFrame:
     """Rows of `rows` that have a group in `values`, extended by that group's columns.
 
-    No keys: `values` is a single row and is added as a scalar subquery.
-    `bound` is a row count known in advance (a LIMIT). Without one, `values` is
-    measured first. Small: broadcast, so `rows` is not shuffled. Large: both
-    sides are shuffled on the keys and adaptive execution splits hot keys.
+    No keys: `values` is a single row and is added as a scalar subquery. Small
+    `values` (see `sized`) are broadcast, so `rows` is not shuffled. Otherwise
+    both sides are shuffled on the keys and adaptive execution splits hot keys.
     """
     added = [c for c in values.columns if c not in keys]
     if not keys:
         packed = values.select(F.struct(*added).alias("v")).scalar()
         return rows.select("*", packed.alias("_v")).select(*rows.columns, *[f"_v.{c}" for c in added])
-    if bound is not None and bound <= limits.broadcast_rows:
-        values = F.broadcast(values)
-    else:
-        sized = measure(values)
-        values = F.broadcast(sized.frame) if sized.small(limits) else sized.frame
-    return join_values(rows, values, keys)
+    return join_values(rows, sized(values, limits, bound), keys)
 
 
 def join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,7 +84,7 @@ def join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFram
 
 
 def over_groups(
-    rows: DataFrame, keys: list[str], aggregates: dict[str, Column], limits: Limits = DEFAULT_LIMITS
+    rows: DataFrame, keys: list[str], aggregates: dict[str, Aggregate], limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Every row with the aggregates of its group (whole-partition window functions).
 
@@ -88,15 +93,16 @@ def over_groups(
     window functions. Many groups with a hot one: shuffled join, which adaptive
     execution splits, so that no task holds the whole hot group.
     """
-    named = [column.alias(name) for name, column in aggregates.items()]
-    sized = measure(rows.groupBy(*keys).agg(*named, F.count(F.lit(1)).alias("_rows")))
-    values = sized.frame.drop("_rows")
-    if sized.small(limits):
+    named = [aggregate(part).alias(name) for name, part in aggregates.items()]
+    groups = measure(rows.groupBy(*keys).agg(*named, F.count(F.lit(1)).alias("_rows")))
+    values = groups.frame.drop("_rows")
+    if groups.small(limits):
         return join_values(rows, F.broadcast(values), keys)
-    largest = sized.frame.agg(F.max("_rows")).first()[0] or 0
+    largest = groups.frame.agg(F.max("_rows")).first()[0] or 0
     if largest <= limits.window_group_rows:
         window = Window.partitionBy(*keys)
-        return rows.select("*", *[column.over(window).alias(name) for name, column in aggregates.items()])
+        spread = [aggregate(part, lambda a: a.over(window)).alias(name) for name, part in aggregates.items()]
+        return rows.select("*", *spread)
     return join_values(rows, values, keys)
 
 
@@ -113,12 +119,10 @@ def ordinal(
     partition numbers its own rows and adds the row count of those before it.
     """
     position = F.row_number().over(Window.orderBy(*order)).cast("long") - 1
-    if bound is not None and bound <= limits.broadcast_rows:
-        return df.select(position.alias(name), "*")
-    sized = measure(df)
-    if sized.small(limits):
-        return sized.frame.select(position.alias(name), "*")
-    spread = cut(sized.frame.repartitionByRange(*order).select(F.spark_partition_id().alias("_slice"), "*"))
+    rows = Measured(df, bound) if bound is not None else measure(df)
+    if rows.small(limits):
+        return rows.frame.select(position.alias(name), "*")
+    spread = cut(rows.frame.repartitionByRange(*order).select(F.spark_partition_id().alias("_slice"), "*"))
     # one row per partition from here on: bounded by the partition count
     counts = spread.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,12 +152,11 @@ def inequality_join(
     condition = F.col(low) <= F.col(high) if or_equal else F.col(low) < F.col(high)
     left = left.filter(F.col(low).isNotNull())
     right = right.filter(F.col(high).isNotNull())
-    left_rows = left.count()
-    right_rows = right.count()
-    for frame, rows, is_right in ((right, right_rows, True), (left, left_rows, False)):
-        if rows <= limits.broadcast_rows and rows * row_bytes(frame.schema) <= limits.broadcast_bytes:
-            pair = (left, F.broadcast(right)) if is_right else (F.broadcast(left), right)
-            return pair[0].join(pair[1], condition)
+    left_rows, right_rows = left.count(), right.count()
+    if Measured(right, right_rows).small(limits):
+        return left.join(F.broadcast(right), condition)
+    if Measured(left, left_rows).small(limits):
+        return F.broadcast(left).join(right, condition)
     steps = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(right.select(F.percentile_approx(F.col(high), steps)).first()[0]))
     edges = F.array(*[F.lit(c) for c in cuts])

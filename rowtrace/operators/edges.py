@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrace.functions.portable import bucket_of
-from rowtrace.operators.attach import attach, ordinal
+from rowtrace.operators.attach import attach, ordinal, sized
 from rowtrace.session import DEFAULT_LIMITS, Limits
 
 
@@ -77,6 +77,6 @@ def segments(
     return grouped.agg((F.concat_ws(",", packed) if as_text else packed).alias("rids"))
 
 
-def lookup(edges: DataFrame, ids: DataFrame, column: str = "out_id") -> DataFrame:
-    """Edges of the wanted output ids; `ids` must be bounded (it ends in a LIMIT)."""
-    return edges.join(F.broadcast(ids), column)
+def lookup(edges: DataFrame, ids: DataFrame, column: str = "out_id", bound: int | None = None) -> DataFrame:
+    """Edges of the wanted output ids; `bound` is their number, if known."""
+    return edges.join(sized(ids, bound=bound), column)

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtrace.operators.attach import attach, inequality_join, join_values, matching, measure, ordinal, over_groups
+from rowtrace.functions.exact import Aggregate, aggregate
+from rowtrace.operators.attach import attach, inequality_join, join_values, matching, measure, ordinal, over_groups, sized
 from rowtrace.session import DEFAULT_LIMITS, Limits, keep
 
 On = Sequence[tuple[str, str]]
@@ -71,9 +72,7 @@ class Traced:
 
     def product(self, other: Traced) -> Traced:
         """Every pair of rows; the smaller side is broadcast if it was measured to be small."""
-        small = measure(other.df)
-        right = F.broadcast(small.frame) if small.small(DEFAULT_LIMITS) else small.frame
-        return Traced(self.df.join(right, how="cross"), self.rids + other.rids, self.subs + other.subs)
+        return Traced(self.df.join(sized(other.df), how="cross"), self.rids + other.rids, self.subs + other.subs)
 
     def join_below(self, other: Traced, low: str, high: str, or_equal: bool = False) -> Traced:
         """Theta join on self.low < other.high (or <=)."""
@@ -132,9 +131,9 @@ class Traced:
         """Distinct values of the data columns (ids are dropped)."""
         return self.df.select(*columns).distinct()
 
-    def kept(self) -> Traced:
-        """Persisted, because both the result and its lineage read it."""
-        return replace(self, df=keep(self.df))
+    def kept(self, reuse: bool = True) -> Traced:
+        """Persisted if a result and its lineage are both going to read it."""
+        return replace(self, df=keep(self.df)) if reuse else self
 
 
 @dataclass(frozen=True)
@@ -148,6 +147,7 @@ class Lineage:
     having      filter over keys and aggregates
     base        ready-made result relation, where it is cheaper than core's own
     base_rids   ids found in `base`, one per output row
+    base_rows   row count of `base`, where it was counted
     levels      inner group-bys: (keys, aggregates) whose values are group keys further out
     order       total order of the outputs, and `limit` on it
     """
@@ -156,12 +156,13 @@ class Lineage:
     outputs: tuple[str, ...]
     order: tuple[Column, ...]
     keys: tuple[str, ...] = ()
-    aggregates: dict[str, Column] = field(default_factory=dict)
+    aggregates: dict[str, Aggregate] = field(default_factory=dict)
     finish: dict[str, Column] = field(default_factory=dict)
     having: Column | None = None
     base: DataFrame | None = None
     base_rids: tuple[str, ...] = ()
-    levels: tuple[tuple[tuple[str, ...], dict[str, Column]], ...] = ()
+    base_rows: int | None = None
+    levels: tuple[tuple[tuple[str, ...], dict[str, Aggregate]], ...] = ()
     limit: int | None = None
     limits: Limits = DEFAULT_LIMITS
 
@@ -183,7 +184,7 @@ class Lineage:
             return self.base.select(*self.outputs, *[c for c in extra if c not in self.outputs])
         if not self.aggregates:
             return self._finished(self.core.df, extra)
-        named = [column.alias(name) for name, column in self.aggregates.items()]
+        named = [aggregate(part).alias(name) for name, part in self.aggregates.items()]
         return self._finished(self.core.df.groupBy(*self.keys).agg(*named), extra)
 
     def result(self) -> DataFrame:
@@ -199,6 +200,19 @@ class Lineage:
             frame = frame.orderBy(*self.order).limit(self.limit)
         return frame
 
+    def pinned(self) -> Lineage:
+        """The same query with its outputs computed once, written down and counted.
+
+        For questions that read the outputs several times.
+        """
+        if not (self.grouped and self.keys):
+            return self
+        top = measure(self._top())
+        return replace(self, base=top.frame, base_rows=top.rows, aggregates={}, finish={}, having=None)
+
+    def _bound(self) -> int | None:
+        return self.limit if self.base_rows is None else self.base_rows
+
     # -- lineage --------------------------------------------------------------
 
     def links(self) -> list[str]:
@@ -213,7 +227,7 @@ class Lineage:
             if strategy == "window":
                 rows = over_groups(rows, list(keys), aggregates, self.limits)
             else:
-                named = [column.alias(name) for name, column in aggregates.items()]
+                named = [aggregate(part).alias(name) for name, part in aggregates.items()]
                 rows = join_values(rows, rows.groupBy(*keys).agg(*named), list(keys))
         return rows
 
@@ -241,11 +255,11 @@ class Lineage:
         else:
             top = self._top()
             if indexed and self.keys:
-                top = ordinal(top, list(self.order), limits=self.limits, bound=self.limit)
+                top = ordinal(top, list(self.order), limits=self.limits, bound=self._bound())
             elif indexed:
                 top = top.select(F.lit(0).cast("long").alias("out_index"), "*")
             own = dict.fromkeys([*self.keys, *carried, *self.core.rids])
-            rows = attach(rows.select(*own), top, list(self.keys), self.limits, self.limit)
+            rows = attach(rows.select(*own), top, list(self.keys), self.limits, self._bound())
         head = ["out_index"] if indexed else list(self.outputs)
         rids = [*self.base_rids, *self.core.rids]
         for sub in singles:
@@ -278,7 +292,8 @@ class Lineage:
         on the link columns, so its size is the sum of the branches where the
         joined form would be their product.
         """
-        main = self.main(strategy, indexed)
+        source = self.pinned() if indexed else self
+        main = source.main(strategy, indexed)
         branches = self.branches(main)
         if not branches:
             return main
@@ -289,21 +304,27 @@ class Lineage:
             )
         return whole
 
-    def flat(self, strategy: str = "join") -> DataFrame:
-        """Joined form: every main row with every sub row it depends on.
+    def flat(self, by: Sequence[str], wanted: DataFrame, bound: int | None = None) -> DataFrame:
+        """Joined form for chosen outputs: each main row with every sub row it depends on.
 
-        Its size is the product of the branches: ask for it on traced
-        selections, not on whole tables.
+        Its size is the product of the branches, hence only for a selection;
+        `frame` holds the same lineage for all outputs.
         """
-        rows = self.main(strategy)
+        rows = self._chosen(self.main(), by, wanted, bound)
         for sub, frame in self.branches(rows):
             if sub.link:
                 rows = self._expand(rows, replace(sub, frame=frame))
             else:
-                rows = rows.join(frame, how="cross")
+                rows = rows.join(sized(frame, self.limits), how="cross")
         links = [c for c in self.links() if c not in self.outputs]
         return rows.drop(*links)
 
+    def _chosen(self, main: DataFrame, by: Sequence[str], wanted: DataFrame, bound: int | None) -> DataFrame:
+        """Main rows whose outputs have their columns `by` in `wanted`."""
+        picked = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by])
+        condition = matching([F.col(c) for c in by], [F.col(f"_w_{c}") for c in by])
+        return main.join(sized(picked, self.limits, bound), condition, "left_semi")
+
     def recover(self) -> DataFrame:
         """The result, read back from its lineage."""
         outputs = self.main().select(*self.outputs)
@@ -314,17 +335,21 @@ class Lineage:
         top = self._top().select(*self.outputs) if self.grouped else self.result()
         return top.orderBy(*by).limit(rows) if by else top
 
-    def backward(self, by: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
-        """Per chosen output: number of joined lineage rows, and the largest id per relation.
+    def backward(
+        self, by: Sequence[str], rows: int | None = None, wanted: DataFrame | None = None, bound: int | None = None
+    ) -> DataFrame:
+        """Per output: number of joined lineage rows, and the largest id per relation.
 
-        `wanted` holds distinct values of the columns `by`; all outputs if None.
-        Counts of linked branches multiply, so the product is never built.
+        Asked for the outputs in `wanted` (distinct values of the columns `by`),
+        for the first `rows` in the order of `by`, or for all of them. Counts of
+        linked branches multiply, so the product is never built.
         """
-        main = self.main()
+        source = self.pinned()
+        main = source.main()
+        if rows is not None and wanted is None and by:
+            wanted, bound = source.wanted(rows, by), rows
         if wanted is not None and by:
-            picked = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by])
-            condition = matching([F.col(c) for c in by], [F.col(f"_w_{c}") for c in by])
-            main = main.join(F.broadcast(picked) if self.few(wanted) else picked, condition, "left_semi")
+            main = self._chosen(main, by, wanted, bound)
         subs = self.branches(main)
         links = [c for c in self.links() if c not in by]
         main_rids = [c for c in main.columns if c.endswith("_rid")]
@@ -340,10 +365,6 @@ class Lineage:
         totals = [F.sum("n").alias("n"), *[F.max(c).alias(c) for c in rids]]
         return step.groupBy(*by).agg(*totals) if by else step.agg(*totals)
 
-    def few(self, wanted: DataFrame) -> bool:
-        """Whether `wanted` is known to be bounded (it ends in a LIMIT)."""
-        return "Limit" in wanted._jdf.queryExecution().logical().nodeName()
-
     def main_and_sub_rows(self) -> DataFrame:
         """Size of the lineage: stored rows per branch."""
         frame = self.frame()

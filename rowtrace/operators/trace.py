@@ -7,24 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtrace.operators.attach import matching
+from rowtrace.operators.attach import matching, sized
 from rowtrace.operators.lineage import Lineage
 
 
-def by_key(lineage: DataFrame, wanted: DataFrame, keys: Sequence[str], few: bool = True) -> DataFrame:
+def by_key(lineage: DataFrame, wanted: DataFrame, keys: Sequence[str], bound: int | None = None) -> DataFrame:
     """Lineage rows of the outputs whose keys are in `wanted` (null matches null).
 
-    `few` promises that `wanted` is bounded, so that it can be broadcast.
+    `bound`: row count of `wanted`, if it is known; otherwise it is measured.
     """
     picked = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in keys]).distinct()
     condition = matching([F.col(k) for k in keys], [F.col(f"_w_{k}") for k in keys])
-    return lineage.join(F.broadcast(picked) if few else picked, condition, "left_semi")
+    return lineage.join(sized(picked, bound=bound), condition, "left_semi")
 
 
 def sizes(lineage: Lineage, keys: Sequence[str], rows: int | None) -> DataFrame:
     """Smallest, largest and mean lineage size over the first `rows` outputs (None: all)."""
-    wanted = lineage.wanted(rows, keys) if rows is not None and keys else None
-    counted = lineage.backward(keys, wanted)
+    counted = lineage.backward(keys, rows)
     return counted.agg(
         F.count(F.lit(1)).alias("outputs"),
         F.min("n").alias("min_n"),

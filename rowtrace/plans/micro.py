@@ -254,7 +254,7 @@ def lookup_counts(edges: DataFrame, column: str = "out_id") -> DataFrame:
     wanted = edges.select(column).distinct().orderBy(column).limit(most)
     # at most `most` rows from here on
     ranked = E.ordinal(wanted, [c(column)], "rank", bound=most)
-    found = E.lookup(edges, ranked, column).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    found = E.lookup(edges, ranked, column, most).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     sizes = F.explode(F.array(*[F.lit(n).cast("long") for n in LOOKUPS]))
     per_size = found.select("n", "rank", sizes.alias("n_ids")).filter(c("rank") < c("n_ids"))
     return per_size.groupBy("n_ids").agg(F.sum("n").alias("n_rows"))
@@ -268,7 +268,7 @@ def first_parts(t: Tables) -> DataFrame:
 
 
 def index_none(t: Tables) -> DataFrame:
-    return E.lookup(store_plain(group_edges(t)), first_parts(t))
+    return E.lookup(store_plain(group_edges(t)), first_parts(t), bound=max(LOOKUPS))
 
 
 def index_zone(t: Tables) -> DataFrame:
@@ -277,12 +277,12 @@ def index_zone(t: Tables) -> DataFrame:
     low, high = wanted.agg(F.min("out_id"), F.max("out_id")).first()
     if low is not None:
         stored = stored.filter(c("out_id").between(low, high))
-    return E.lookup(stored, wanted)
+    return E.lookup(stored, wanted, bound=max(LOOKUPS))
 
 
 def index_group(t: Tables) -> DataFrame:
     stored = store_grouped(group_edges(t), limits=SEGMENT)
-    return E.lookup(stored, first_parts(t)).select("out_id", F.explode("rids").alias("in_id"))
+    return E.lookup(stored, first_parts(t), bound=max(LOOKUPS)).select("out_id", F.explode("rids").alias("in_id"))
 
 
 def jobs() -> dict[str, Job]:

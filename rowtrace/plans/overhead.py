@@ -460,7 +460,7 @@ def avg_lineage_size(t: Tables) -> DataFrame:
 
 def trace_by_key(t: Tables) -> DataFrame:
     wanted = t.spark.createDataFrame([("MAIL",)], "l_shipmode string")
-    return by_key(query("q12", t).frame(), wanted, ["l_shipmode"])
+    return by_key(query("q12", t).frame(), wanted, ["l_shipmode"], bound=1)
 
 
 def trace_sample(t: Tables, rows: int | None = 10) -> DataFrame:

@@ -16,7 +16,7 @@ SAMPLE = 10
 
 
 def _result(name: str) -> Job:
-    return lambda t: query(name, t).result()
+    return lambda t: query(name, t, reuse=False).result()
 
 
 def _lineage(name: str, strategy: str) -> Job:
@@ -32,11 +32,7 @@ def _edges(name: str) -> Job:
 
 
 def _backward(name: str) -> Job:
-    def job(t: Tables) -> DataFrame:
-        lineage, keys = query(name, t), TRACE_KEYS[name]
-        return lineage.backward(keys, lineage.wanted(SAMPLE, keys) if keys else None)
-
-    return job
+    return lambda t: query(name, t).backward(TRACE_KEYS[name], SAMPLE)
 
 
 def jobs() -> dict[str, Job]:

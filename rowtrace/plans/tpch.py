@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowtrace.functions.exact import ExactSum, cents, net, real
 from rowtrace.operators.attach import join_values
 from rowtrace.operators.lineage import Lineage, Traced
 from rowtrace.plans.params import GIVEN, Params
-from rowtrace.sources.tables import Tables, money, rate
+from rowtrace.sources.tables import Tables
 
 scan = Traced.scan
 c = F.col
@@ -25,36 +26,27 @@ def between_days(column: str, start: str, end: str) -> Column:
     return (c(column) >= day(start)) & (c(column) < day(end))
 
 
-def net() -> Column:
-    """Discounted price, exact."""
-    return money("l_extendedprice") * (F.lit(1) - rate("l_discount"))
-
-
-def real(name: str) -> Column:
-    return c(name).cast("double")
-
-
-def q01(t: Tables, p: Params) -> Lineage:
+def q01(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     lines = scan(t.lineitem).where(c("l_shipdate") <= day(p["until"]))
     return Lineage(
         core=lines,
         keys=("l_returnflag", "l_linestatus"),
         aggregates={
-            "qty": F.sum(money("l_quantity")),
-            "price": F.sum(money("l_extendedprice")),
-            "disc_price": F.sum(net()),
-            "charge": F.sum(net() * (F.lit(1) + rate("l_tax"))),
-            "disc": F.sum(rate("l_discount")),
+            "qty": ExactSum(cents("l_quantity")),
+            "price": ExactSum(cents("l_extendedprice")),
+            "disc_price": ExactSum(net()),
+            "charge": ExactSum(net() * (100 + cents("l_tax"))),
+            "disc": ExactSum(cents("l_discount")),
             "count_order": F.count(F.lit(1)),
         },
         finish={
-            "sum_qty": real("qty"),
-            "sum_base_price": real("price"),
-            "sum_disc_price": real("disc_price"),
-            "sum_charge": real("charge"),
-            "avg_qty": real("qty") / c("count_order"),
-            "avg_price": real("price") / c("count_order"),
-            "avg_disc": real("disc") / c("count_order"),
+            "sum_qty": real("qty", 2),
+            "sum_base_price": real("price", 2),
+            "sum_disc_price": real("disc_price", 4),
+            "sum_charge": real("charge", 6),
+            "avg_qty": real("qty", 2) / c("count_order"),
+            "avg_price": real("price", 2) / c("count_order"),
+            "avg_disc": real("disc", 2) / c("count_order"),
         },
         outputs=(
             "l_returnflag", "l_linestatus", "sum_qty", "sum_base_price", "sum_disc_price",
@@ -64,7 +56,7 @@ def q01(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q02(t: Tables, p: Params) -> Lineage:
+def q02(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     places = scan(t.nation).join(scan(t.region).where(c("r_name") == p["region"]), [("n_regionkey", "r_regionkey")])
     sellers = scan(t.supplier).join(places, [("s_nationkey", "n_nationkey")])
     wanted = scan(t.part).where(c("p_size") == p["size"], c("p_type").like(p["type"]))
@@ -75,7 +67,7 @@ def q02(t: Tables, p: Params) -> Lineage:
         .select(
             "p_partkey", "ps_supplycost", "s_acctbal", "s_name", "n_name", "p_mfgr", "s_address", "s_phone", "s_comment"
         )
-        .kept()
+        .kept(reuse)
     )
     cheapest = offers.df.groupBy("p_partkey").agg(F.min("ps_supplycost").alias("least"))
     rows = join_values(offers.df, cheapest, ["p_partkey"]).filter(c("ps_supplycost") == c("least"))
@@ -89,23 +81,23 @@ def q02(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q03(t: Tables, p: Params) -> Lineage:
+def q03(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     buyers = scan(t.customer).where(c("c_mktsegment") == p["segment"])
     placed = scan(t.orders).where(c("o_orderdate") < day(p["ordered_before"]))
     lines = scan(t.lineitem).where(c("l_shipdate") > day(p["shipped_after"]))
     rows = lines.join(placed.join(buyers, [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")])
     return Lineage(
-        core=rows.select("l_orderkey", "o_orderdate", "o_shippriority", net().alias("net")).kept(),
+        core=rows.select("l_orderkey", "o_orderdate", "o_shippriority", net().alias("net")).kept(reuse),
         keys=("l_orderkey", "o_orderdate", "o_shippriority"),
-        aggregates={"total": F.sum("net")},
-        finish={"revenue": real("total")},
+        aggregates={"total": ExactSum(c("net"))},
+        finish={"revenue": real("total", 4)},
         outputs=("l_orderkey", "revenue", "o_orderdate", "o_shippriority"),
         order=(c("revenue").desc(), c("o_orderdate"), c("l_orderkey")),
         limit=10,
     )
 
 
-def q04(t: Tables, p: Params) -> Lineage:
+def q04(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     placed = scan(t.orders).where(between_days("o_orderdate", p["start"], p["end"]))
     late = scan(t.lineitem).where(c("l_commitdate") < c("l_receiptdate"))
     return Lineage(
@@ -117,7 +109,7 @@ def q04(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q05(t: Tables, p: Params) -> Lineage:
+def q05(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     places = scan(t.nation).join(scan(t.region).where(c("r_name") == p["region"]), [("n_regionkey", "r_regionkey")])
     sellers = scan(t.supplier).join(places, [("s_nationkey", "n_nationkey")])
     placed = scan(t.orders).where(between_days("o_orderdate", p["start"], p["end"]))
@@ -128,16 +120,16 @@ def q05(t: Tables, p: Params) -> Lineage:
         .join(bought, [("l_orderkey", "o_orderkey"), ("s_nationkey", "c_nationkey")])
     )
     return Lineage(
-        core=rows.select("n_name", net().alias("net")).kept(),
+        core=rows.select("n_name", net().alias("net")).kept(reuse),
         keys=("n_name",),
-        aggregates={"total": F.sum("net")},
-        finish={"revenue": real("total")},
+        aggregates={"total": ExactSum(c("net"))},
+        finish={"revenue": real("total", 4)},
         outputs=("n_name", "revenue"),
         order=(c("revenue").desc(), c("n_name")),
     )
 
 
-def q06(t: Tables, p: Params) -> Lineage:
+def q06(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     rows = scan(t.lineitem).where(
         between_days("l_shipdate", p["start"], p["end"]),
         c("l_discount").between(p["low"], p["high"]),
@@ -145,14 +137,14 @@ def q06(t: Tables, p: Params) -> Lineage:
     )
     return Lineage(
         core=rows,
-        aggregates={"total": F.sum(money("l_extendedprice") * rate("l_discount"))},
-        finish={"revenue": real("total")},
+        aggregates={"total": ExactSum(cents("l_extendedprice") * cents("l_discount"))},
+        finish={"revenue": real("total", 4)},
         outputs=("revenue",),
         order=(),
     )
 
 
-def q07(t: Tables, p: Params) -> Lineage:
+def q07(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     pair = [p["one"], p["other"]]
     from_nation = scan(t.occurrence("nation", "n1")).where(c("n1_name").isin(pair))
     to_nation = scan(t.occurrence("nation", "n2")).where(c("n2_name").isin(pair))
@@ -173,16 +165,16 @@ def q07(t: Tables, p: Params) -> Lineage:
         )
     )
     return Lineage(
-        core=rows.kept(),
+        core=rows.kept(reuse),
         keys=("supp_nation", "cust_nation", "l_year"),
-        aggregates={"total": F.sum("net")},
-        finish={"revenue": real("total")},
+        aggregates={"total": ExactSum(c("net"))},
+        finish={"revenue": real("total", 4)},
         outputs=("supp_nation", "cust_nation", "l_year", "revenue"),
         order=(c("supp_nation"), c("cust_nation"), c("l_year")),
     )
 
 
-def q08(t: Tables, p: Params) -> Lineage:
+def q08(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     buyer_places = scan(t.occurrence("nation", "n1")).join(
         scan(t.region).where(c("r_name") == p["region"]), [("n1_regionkey", "r_regionkey")]
     )
@@ -198,19 +190,19 @@ def q08(t: Tables, p: Params) -> Lineage:
         .select(F.year("o_orderdate").cast("long").alias("o_year"), net().alias("net"), "n2_name")
     )
     return Lineage(
-        core=rows.kept(),
+        core=rows.kept(reuse),
         keys=("o_year",),
         aggregates={
-            "ours": F.sum(F.when(c("n2_name") == p["nation"], c("net")).otherwise(0)),
-            "total": F.sum("net"),
+            "ours": ExactSum(F.when(c("n2_name") == p["nation"], c("net")).otherwise(0)),
+            "total": ExactSum(c("net")),
         },
-        finish={"mkt_share": real("ours") / real("total")},
+        finish={"mkt_share": real("ours", 4) / real("total", 4)},
         outputs=("o_year", "mkt_share"),
         order=(c("o_year"),),
     )
 
 
-def q09(t: Tables, p: Params) -> Lineage:
+def q09(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(scan(t.nation), [("s_nationkey", "n_nationkey")])
     rows = (
         scan(t.lineitem)
@@ -221,55 +213,56 @@ def q09(t: Tables, p: Params) -> Lineage:
         .select(
             c("n_name").alias("nation"),
             F.year("o_orderdate").cast("long").alias("o_year"),
-            (net() - c("ps_supplycost") * money("l_quantity")).alias("amount"),
+            (net() - cents("ps_supplycost") * cents("l_quantity")).alias("amount"),
         )
     )
     return Lineage(
-        core=rows.kept(),
+        core=rows.kept(reuse),
         keys=("nation", "o_year"),
-        aggregates={"total": F.sum("amount")},
-        finish={"sum_profit": real("total")},
+        aggregates={"total": ExactSum(c("amount"))},
+        finish={"sum_profit": real("total", 4)},
         outputs=("nation", "o_year", "sum_profit"),
         order=(c("nation"), c("o_year").desc()),
     )
 
 
-def q10(t: Tables, p: Params) -> Lineage:
+def q10(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     placed = scan(t.orders).where(between_days("o_orderdate", p["start"], p["end"]))
     buyers = scan(t.customer).join(scan(t.nation), [("c_nationkey", "n_nationkey")])
     returned = scan(t.lineitem).where(c("l_returnflag") == p["flag"])
     keys = ("c_custkey", "c_name", "c_acctbal", "n_name", "c_address", "c_phone", "c_comment")
     rows = returned.join(placed, [("l_orderkey", "o_orderkey")]).join(buyers, [("o_custkey", "c_custkey")])
     return Lineage(
-        core=rows.select(*keys, net().alias("net")).kept(),
+        core=rows.select(*keys, net().alias("net")).kept(reuse),
         keys=keys,
-        aggregates={"total": F.sum("net")},
-        finish={"revenue": real("total")},
+        aggregates={"total": ExactSum(c("net"))},
+        finish={"revenue": real("total", 4)},
         outputs=("c_custkey", "c_name", "revenue", "c_acctbal", "n_name", "c_address", "c_phone", "c_comment"),
         order=(c("revenue").desc(), c("c_custkey")),
         limit=20,
     )
 
 
-def q11(t: Tables, p: Params) -> Lineage:
+def q11(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
-    worth = (c("ps_supplycost") * c("ps_availqty").cast("decimal(12,0)")).alias("worth")
-    stock = scan(t.partsupp).join(sellers, [("ps_suppkey", "s_suppkey")]).select("ps_partkey", worth).kept()
-    threshold = stock.df.agg((F.sum("worth").cast("double") * p["fraction"]).alias("threshold"))
+    worth = (cents("ps_supplycost") * c("ps_availqty")).alias("worth")
+    stock = scan(t.partsupp).join(sellers, [("ps_suppkey", "s_suppkey")]).select("ps_partkey", worth).kept(reuse)
+    threshold = stock.df.agg(ExactSum(c("worth")).column().alias("total"))
+    threshold = threshold.select((real("total", 2) * p["fraction"]).alias("threshold"))
     return Lineage(
         core=stock.depends_on(stock.prefixed("sub_")),
         keys=("ps_partkey",),
-        aggregates={"total": F.sum("worth")},
-        having=real("total") > threshold.scalar(),
-        finish={"value": real("total")},
+        aggregates={"total": ExactSum(c("worth"))},
+        having=real("total", 2) > threshold.scalar(),
+        finish={"value": real("total", 2)},
         outputs=("ps_partkey", "value"),
         order=(c("value").desc(), c("ps_partkey")),
     )
 
 
-def q12(t: Tables, p: Params) -> Lineage:
+def q12(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     lines = scan(t.lineitem).where(
         c("l_shipmode").isin(p["modes"]),
         c("l_commitdate") < c("l_receiptdate"),
@@ -281,7 +274,7 @@ def q12(t: Tables, p: Params) -> Lineage:
     high = F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
     rows = lines.join(scan(t.orders), [("l_orderkey", "o_orderkey")])
     return Lineage(
-        core=rows.select("l_shipmode", high.alias("high")).kept(),
+        core=rows.select("l_shipmode", high.alias("high")).kept(reuse),
         keys=("l_shipmode",),
         aggregates={"high_line_count": F.sum("high"), "low_line_count": F.sum(1 - c("high"))},
         outputs=("l_shipmode", "high_line_count", "low_line_count"),
@@ -289,7 +282,7 @@ def q12(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q13(t: Tables, p: Params) -> Lineage:
+def q13(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     plain = scan(t.orders).where(~c("o_comment").like(p["comment"]))
     rows = scan(t.customer).join(plain, [("c_custkey", "o_custkey")], "left")
     placed = plain.df.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
@@ -305,31 +298,31 @@ def q13(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q14(t: Tables, p: Params) -> Lineage:
+def q14(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     lines = scan(t.lineitem).where(between_days("l_shipdate", p["start"], p["end"]))
     rows = lines.join(scan(t.part), [("l_partkey", "p_partkey")]).select("p_type", net().alias("net"))
     return Lineage(
-        core=rows.kept(),
+        core=rows.kept(reuse),
         aggregates={
-            "promo": F.sum(F.when(c("p_type").like(p["type"]), c("net")).otherwise(0)),
-            "total": F.sum("net"),
+            "promo": ExactSum(F.when(c("p_type").like(p["type"]), c("net")).otherwise(0)),
+            "total": ExactSum(c("net")),
         },
-        finish={"promo_revenue": F.lit(100.0) * real("promo") / real("total")},
+        finish={"promo_revenue": F.lit(100.0) * real("promo", 4) / real("total", 4)},
         outputs=("promo_revenue",),
         order=(),
     )
 
 
-def q15(t: Tables, p: Params) -> Lineage:
+def q15(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     window = scan(t.lineitem).where(
         c("l_shipdate") >= day(p["start"]), c("l_shipdate") < F.add_months(day(p["start"]), p["months"])
     )
     lines = window.select(c("l_suppkey").alias("s_suppkey"), net().alias("net"))
-    revenue = lines.df.groupBy("s_suppkey").agg(F.sum("net").alias("total"))
+    revenue = lines.df.groupBy("s_suppkey").agg(ExactSum(c("net")).column().alias("total"))
     best = revenue.agg(F.max("total").alias("best"))
     winners = revenue.filter(c("total") == best.scalar())
     base = t.supplier.join(winners, "s_suppkey").select(
-        "s_suppkey", "s_name", "s_address", "s_phone", real("total").alias("total_revenue"), "s_rid"
+        "s_suppkey", "s_name", "s_address", "s_phone", real("total", 4).alias("total_revenue"), "s_rid"
     )
     return Lineage(
         core=lines.depends_on(window.prefixed("sub_")),
@@ -341,7 +334,7 @@ def q15(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q16(t: Tables, p: Params) -> Lineage:
+def q16(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     wanted = scan(t.part).where(
         c("p_brand") != p["brand"], ~c("p_type").like(p["type"]), c("p_size").isin(p["sizes"])
     )
@@ -349,7 +342,7 @@ def q16(t: Tables, p: Params) -> Lineage:
     rows = scan(t.partsupp).join(wanted, [("ps_partkey", "p_partkey")])
     rows = rows.not_in("ps_suppkey", unhappy, "s_suppkey").select("p_brand", "p_type", "p_size", "ps_suppkey")
     return Lineage(
-        core=rows.kept(),
+        core=rows.kept(reuse),
         keys=("p_brand", "p_type", "p_size"),
         aggregates={"supplier_cnt": F.count_distinct("ps_suppkey")},
         outputs=("p_brand", "p_type", "p_size", "supplier_cnt"),
@@ -357,48 +350,48 @@ def q16(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q17(t: Tables, p: Params) -> Lineage:
+def q17(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     wanted = scan(t.part).where(c("p_brand") == p["brand"], c("p_container") == p["container"])
     lines = (
         scan(t.lineitem)
         .join(wanted, [("l_partkey", "p_partkey")])
-        .select("l_partkey", "l_quantity", money("l_extendedprice").alias("price"))
-        .kept()
+        .select("l_partkey", "l_quantity", cents("l_extendedprice").alias("price"))
+        .kept(reuse)
     )
     usual = lines.df.groupBy("l_partkey").agg(F.avg("l_quantity").alias("usual"))
     rows = join_values(lines.df, usual, ["l_partkey"]).filter(c("l_quantity") < F.lit(0.2) * c("usual"))
     looked_at = Traced(lines.df, ("l_rid",)).prefixed("sub_")
     return Lineage(
         core=Traced(rows, lines.rids).depends_on(looked_at, ["l_partkey"]),
-        aggregates={"total": F.sum("price")},
-        finish={"avg_yearly": real("total") / F.lit(7.0)},
+        aggregates={"total": ExactSum(c("price"))},
+        finish={"avg_yearly": real("total", 2) / F.lit(7.0)},
         outputs=("avg_yearly",),
         order=(),
     )
 
 
-def q18(t: Tables, p: Params) -> Lineage:
-    sums = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_quantity")).alias("qty"))
-    large = sums.filter(c("qty") > p["quantity"]).select("l_orderkey")
+def q18(t: Tables, p: Params, reuse: bool = True) -> Lineage:
+    sums = t.lineitem.groupBy("l_orderkey").agg(ExactSum(cents("l_quantity")).column().alias("qty"))
+    large = sums.filter(c("qty") > 100 * p["quantity"]).select("l_orderkey")
     placed = scan(t.orders)
     placed = Traced(placed.df.join(large, c("o_orderkey") == c("l_orderkey"), "left_semi"), placed.rids)
     bought = placed.join(scan(t.customer), [("o_custkey", "c_custkey")])
     rows = scan(t.lineitem).join(bought, [("l_orderkey", "o_orderkey")])
     keys = ("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    rows = rows.select(*keys, money("l_quantity").alias("qty")).kept()
+    rows = rows.select(*keys, cents("l_quantity").alias("qty")).kept(reuse)
     looked_at = scan(t.lineitem).select(c("l_orderkey").alias("o_orderkey")).prefixed("sub_")
     return Lineage(
         core=rows.depends_on(looked_at, ["o_orderkey"]),
         keys=keys,
-        aggregates={"total": F.sum("qty")},
-        finish={"sum_l_quantity": real("total")},
+        aggregates={"total": ExactSum(c("qty"))},
+        finish={"sum_l_quantity": real("total", 2)},
         outputs=(*keys, "sum_l_quantity"),
         order=(c("o_totalprice").desc(), c("o_orderdate"), c("o_orderkey")),
         limit=100,
     )
 
 
-def q19(t: Tables, p: Params) -> Lineage:
+def q19(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     brands = [case[0] for case in p["cases"]]
     lines = scan(t.lineitem).where(
         c("l_shipmode").isin(p["modes"]), c("l_shipinstruct") == p["instruct"]
@@ -414,15 +407,15 @@ def q19(t: Tables, p: Params) -> Lineage:
         )
     rows = lines.join(parts, [("l_partkey", "p_partkey")]).where(allowed).select(net().alias("net"))
     return Lineage(
-        core=rows.kept(),
-        aggregates={"total": F.sum("net")},
-        finish={"revenue": real("total")},
+        core=rows.kept(reuse),
+        aggregates={"total": ExactSum(c("net"))},
+        finish={"revenue": real("total", 4)},
         outputs=("revenue",),
         order=(),
     )
 
 
-def q20(t: Tables, p: Params) -> Lineage:
+def q20(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
@@ -433,7 +426,7 @@ def q20(t: Tables, p: Params) -> Lineage:
     stock = scan(t.partsupp).join(scan(t.part).where(c("p_name").like(p["name"])), [("ps_partkey", "p_partkey")])
     ample = stock.df.join(half, (c("ps_partkey") == c("h_partkey")) & (c("ps_suppkey") == c("h_suppkey")))
     ample = ample.filter(c("ps_availqty") > c("half"))
-    stock = Traced(ample, stock.rids).select("ps_partkey", "ps_suppkey").kept()
+    stock = Traced(ample, stock.rids).select("ps_partkey", "ps_suppkey").kept(reuse)
     behind = stock.join(shipped, [("ps_partkey", "l_partkey"), ("ps_suppkey", "l_suppkey")])
     behind = behind.select(c("ps_suppkey").alias("s_suppkey"))
     chosen = sellers.df.join(stock.df.select("ps_suppkey"), c("s_suppkey") == c("ps_suppkey"), "left_semi")
@@ -444,7 +437,7 @@ def q20(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q21(t: Tables, p: Params) -> Lineage:
+def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
@@ -472,7 +465,7 @@ def q21(t: Tables, p: Params) -> Lineage:
         others.df.join(blamed, (c("l_orderkey") == c("b_orderkey")) & (c("l_suppkey") != c("culprit"))), others.rids
     )
     return Lineage(
-        core=rows.select("s_name", "l_orderkey").kept().depends_on(others, ["l_orderkey"]),
+        core=rows.select("s_name", "l_orderkey").kept(reuse).depends_on(others, ["l_orderkey"]),
         keys=("s_name",),
         aggregates={"numwait": F.count(F.lit(1))},
         outputs=("s_name", "numwait"),
@@ -481,30 +474,32 @@ def q21(t: Tables, p: Params) -> Lineage:
     )
 
 
-def q22(t: Tables, p: Params) -> Lineage:
+def q22(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     code = F.substring("c_phone", 1, 2)
     coded = scan(t.customer).where(code.isin(p["codes"]))
     solvent = coded.where(c("c_acctbal") > 0.0)
-    balance = money("c_acctbal")
-    average = solvent.df.agg((F.sum(balance).cast("double") / F.count(F.lit(1))).alias("average"))
+    balance = cents("c_acctbal")
+    average = solvent.df.agg(ExactSum(balance).column().alias("total"), F.count(F.lit(1)).alias("n"))
+    average = average.select((real("total", 2) / c("n")).alias("average"))
     placed = t.orders if p["priority"] is None else t.orders.filter(c("o_orderpriority") == p["priority"])
     rows = coded.where(c("c_acctbal") > average.scalar()).not_exists(placed, [("c_custkey", "o_custkey")])
     return Lineage(
-        core=rows.select(code.alias("cntrycode"), balance.alias("balance")).kept().depends_on(solvent.prefixed("sub_")),
+        core=rows.select(code.alias("cntrycode"), balance.alias("balance")).kept(reuse).depends_on(solvent.prefixed("sub_")),
         keys=("cntrycode",),
-        aggregates={"numcust": F.count(F.lit(1)), "total": F.sum("balance")},
-        finish={"totacctbal": real("total")},
+        aggregates={"numcust": F.count(F.lit(1)), "total": ExactSum(c("balance"))},
+        finish={"totacctbal": real("total", 2)},
         outputs=("cntrycode", "numcust", "totacctbal"),
         order=(c("cntrycode"),),
     )
 
 
-QUERIES: dict[str, Callable[[Tables, Params], Lineage]] = {
+QUERIES: dict[str, Callable[[Tables, Params, bool], Lineage]] = {
     "q01": q01, "q02": q02, "q03": q03, "q04": q04, "q05": q05, "q06": q06, "q07": q07, "q08": q08,
     "q09": q09, "q10": q10, "q11": q11, "q12": q12, "q13": q13, "q14": q14, "q15": q15, "q16": q16,
     "q17": q17, "q18": q18, "q19": q19, "q20": q20, "q21": q21, "q22": q22,
 }
 
 
-def query(name: str, tables: Tables, params: Params | None = None) -> Lineage:
-    return QUERIES[name](tables, GIVEN[name] if params is None else params)
+def query(name: str, tables: Tables, params: Params | None = None, reuse: bool = True) -> Lineage:
+    """`reuse=False` when only the plain result is wanted: nothing is kept for its lineage."""
+    return QUERIES[name](tables, GIVEN[name] if params is None else params, reuse)

@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
-RATE = "decimal(4,2)"
 
 
 def money(name: str) -> Column:
     return F.col(name).cast(MONEY)
 
 
-def rate(name: str) -> Column:
-    return F.col(name).cast(RATE)
-
-
 def _text(*parts: Column | str) -> Column:
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.concat_ws("-", *[c.cast("string") for c in columns])
@@ -131,7 +126,7 @@ class Tables:
         """One row per (part, supplier) that lineitem knows."""
         pairs = self.raw("lineitem").groupBy("l_partkey", "l_suppkey")
         return pairs.agg(
-            F.min(money("l_extendedprice")).alias("ps_supplycost"),
+            F.min("l_extendedprice").alias("ps_supplycost"),
             F.sum(F.col("l_quantity").cast("int")).alias("ps_availqty"),
         ).select(
             _text("l_partkey", "l_suppkey").alias("ps_rid"),
