@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import micro_sql, runs_sql
-from oracles.tpch_sql import SPECS, backward_sql, base_sql, lineage_sql
+from oracles.tpch_sql import SPECS, backward_sql, base_sql, lineage_sql, long_sql
 
 DECORRELATED = ("q02", "q04", "q15", "q16", "q17", "q20", "q21", "q22")
 WINDOWED = ("q01", "q02", "q04", "q05", "q07", "q09", "q11", "q12", "q13", "q15", "q22")
@@ -17,6 +17,9 @@ def sql() -> dict[str, str]:
         found[f"back_{name}"] = backward_sql(name)
         found[f"recover_{name}"] = base_sql(name)
         found[f"edges_{name}"] = lineage_sql(name, indexed=True)
+        found[f"best_{name}"] = lineage_sql(name)
+        if SPECS[name].sub:
+            found[f"fact_{name}"] = long_sql(name)
     for name in DECORRELATED:
         found[f"opt_{name}"] = lineage_sql(name)
     for name in WINDOWED:

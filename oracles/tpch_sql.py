@@ -379,6 +379,19 @@ def lineage_sql(name: str, indexed: bool = False) -> str:
     )
 
 
+def long_sql(name: str) -> str:
+    """(out_id, branch, relation, rid), one row per id."""
+    spec = SPECS[name]
+
+    def ident(columns: list[str]) -> str:
+        return "concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in columns) + ")" if columns else "'*'"
+
+    parts = [f"select {ident(spec.keys)} as out_id, 'main' as branch, '{r}' as relation, cast({r} as varchar) as rid from main"
+             for r in spec.rids]
+    parts += [f"select {ident(spec.link)}, 'sub', '{r}', cast({r} as varchar) from sub" for r in spec.sub_rids]
+    return _with(spec) + " union all ".join(parts)
+
+
 def _joined(spec: Spec) -> str:
     """Every main row with every sub row it depends on."""
     if not spec.sub:

@@ -83,6 +83,20 @@ def join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFram
     return rows.join(renamed, condition).select(*rows.columns, *added)
 
 
+def left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """Left outer join on equal columns, as matched rows plus unmatched left rows.
+
+    Adaptive execution may split a hot key on either side of an inner join, but
+    only on the left of an outer one.
+    """
+    condition = F.lit(True)
+    for a, b in on:
+        condition = condition & (F.col(a) == F.col(b))
+    known = right.select(*[F.col(b) for _, b in on]).distinct()
+    unmatched = left.join(known, condition, "left_anti")
+    return left.join(right, condition).unionByName(unmatched, allowMissingColumns=True)
+
+
 def over_groups(
     rows: DataFrame, keys: list[str], aggregates: dict[str, Aggregate], limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:

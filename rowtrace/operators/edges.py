@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrace.functions.portable import bucket_of
-from rowtrace.operators.attach import attach, ordinal, sized
+from rowtrace.operators.attach import attach, left_join, ordinal, sized
 from rowtrace.session import DEFAULT_LIMITS, Limits
 
 
@@ -49,7 +49,8 @@ def compose(
     how="left" keeps upper edges without a lower one (outer joins).
     """
     below = lower.withColumnsRenamed({c: f"_b_{c}" for c in lower.columns})
-    joined = upper.join(below, F.col(via) == F.col(f"_b_{to}"), how)
+    on = (via, f"_b_{to}")
+    joined = left_join(upper, below, [on]) if how == "left" else upper.join(below, F.col(on[0]) == F.col(on[1]), how)
     kept = [F.col(c) for c in upper.columns if c != via]
     added = [F.col(f"_b_{c}").alias(c) for c in lower.columns if c != to]
     return joined.select(*kept, *added)

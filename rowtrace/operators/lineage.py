@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrace.functions.exact import Aggregate, aggregate
-from rowtrace.operators.attach import attach, inequality_join, join_values, matching, measure, ordinal, over_groups, sized
+from rowtrace.operators.attach import attach, inequality_join, join_values, left_join, matching, measure, ordinal, over_groups, sized
 from rowtrace.session import DEFAULT_LIMITS, Limits, keep
 
 On = Sequence[tuple[str, str]]
@@ -66,8 +66,10 @@ class Traced:
 
     def join(self, other: Traced, on: On | Column, how: str = "inner") -> Traced:
         """Equi or theta join; with how="left" the right ids are null where unmatched."""
-        condition = on if isinstance(on, Column) else _pairs(on)
-        joined = self.df.join(other.df, condition, how)
+        if how == "left" and not isinstance(on, Column):
+            joined = left_join(self.df, other.df, list(on))
+        else:
+            joined = self.df.join(other.df, on if isinstance(on, Column) else _pairs(on), how)
         return Traced(joined, self.rids + other.rids, self.subs + other.subs)
 
     def product(self, other: Traced) -> Traced:
@@ -87,15 +89,17 @@ class Traced:
 
     def exists(self, inner: Traced, on: On, name: str = "sub", single: bool = False) -> Traced:
         """EXISTS / IN: each outer row also depends on every inner row it matches."""
-        df = self.df.join(inner.df.select(*{r for _, r in on}), _pairs(on), "left_semi")
+        # distinct first: a hot key on the inner side is reduced before the shuffle
+        known = inner.df.select(*dict.fromkeys(r for _, r in on)).distinct()
+        df = self.df.join(known, _pairs(on), "left_semi")
         renamed = inner.df.select(*[F.col(r).alias(l) for l, r in on], *inner.rids)
         sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single)
         return Traced(df, self.rids, self.subs + (sub,) + inner.subs)
 
-    def not_exists(self, inner: DataFrame, on: On | Column) -> Traced:
+    def not_exists(self, inner: DataFrame, on: On) -> Traced:
         """NOT EXISTS: what is absent adds no dependency."""
-        condition = on if isinstance(on, Column) else _pairs(on)
-        return replace(self, df=self.df.join(inner, condition, "left_anti"))
+        known = inner.select(*dict.fromkeys(r for _, r in on)).distinct()
+        return replace(self, df=self.df.join(known, _pairs(on), "left_anti"))
 
     def not_in(self, column: str, inner: Traced, value: str, name: str = "sub", capture: str = "all") -> Traced:
         """NOT IN: depends on the whole inner result (capture="all") or on nothing ("none").
@@ -107,7 +111,8 @@ class Traced:
         facts = values.agg(
             F.count(F.lit(1)).alias("n"), F.count("_value").alias("known")
         ).select(F.struct("n", "known").alias("facts"))
-        df = self.df.join(values.filter("_value is not null"), F.col(column) == F.col("_value"), "left_anti")
+        known = values.filter("_value is not null").distinct()
+        df = self.df.join(known, F.col(column) == F.col("_value"), "left_anti")
         df = df.withColumn("_facts", facts.scalar())
         df = df.filter(
             (F.col("_facts.n") == 0) | (F.col(column).isNotNull() & (F.col("_facts.n") == F.col("_facts.known")))
@@ -304,6 +309,25 @@ class Lineage:
             )
         return whole
 
+    def long(self, by: Sequence[str], strategy: str = "join") -> DataFrame:
+        """Whole lineage as (out_id, branch, relation, rid), one row per id.
+
+        out_id is the text of the columns `by` for main rows, of the link columns
+        for linked sub rows, and "*" (every output) for other sub rows.
+        """
+        main = self.main(strategy)
+
+        def unpivot(rows: DataFrame, ident: Sequence[str], branch: str, rids: Sequence[str]) -> DataFrame:
+            out_id = F.concat_ws("|", *[F.col(c).cast("string") for c in ident]) if ident else F.lit("*")
+            pairs = [F.struct(F.lit(r).alias("relation"), F.col(r).cast("string").alias("rid")) for r in rids]
+            rows = rows.select(out_id.alias("out_id"), F.lit(branch).alias("branch"), F.explode(F.array(*pairs)).alias("x"))
+            return rows.select("out_id", "branch", "x.relation", "x.rid").filter("rid is not null")
+
+        whole = unpivot(main, by, "main", [c for c in main.columns if c.endswith("_rid")])
+        for sub, rows in self.branches(main):
+            whole = whole.union(unpivot(rows, sub.link, sub.name, sub.rids))
+        return whole
+
     def flat(self, by: Sequence[str], wanted: DataFrame, bound: int | None = None) -> DataFrame:
         """Joined form for chosen outputs: each main row with every sub row it depends on.
 
@@ -365,13 +389,6 @@ class Lineage:
         totals = [F.sum("n").alias("n"), *[F.max(c).alias(c) for c in rids]]
         return step.groupBy(*by).agg(*totals) if by else step.agg(*totals)
 
-    def main_and_sub_rows(self) -> DataFrame:
-        """Size of the lineage: stored rows per branch."""
-        frame = self.frame()
-        branch = F.col("branch") if "branch" in frame.columns else F.lit("main")
-        return frame.groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 def attach_counts(step: DataFrame, counted: DataFrame, link: Sequence[str]) -> DataFrame:
     """Multiplies main counts by the counts of a sub branch."""
     if link:

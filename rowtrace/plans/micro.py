@@ -213,7 +213,7 @@ def theta_edges(t: Tables) -> DataFrame:
 
 def outer_edges(t: Tables) -> DataFrame:
     placed = t.orders.filter(c("o_orderpriority") == "1-URGENT").select("o_custkey", "o_rid")
-    joined = t.customer.select("c_custkey", "c_rid").join(placed, c("c_custkey") == c("o_custkey"), "left")
+    joined = scan(t.customer).select("c_custkey").join(scan(placed), [("c_custkey", "o_custkey")], "left").df
     return E.join_edges(joined, "c_rid", "o_rid")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from rowtrace.plans import micro, overhead
-from rowtrace.plans.params import BEST, DECORRELATED, TRACE_KEYS, WINDOWED
+from rowtrace.plans.params import BEST, DECORRELATED, FACTORISED, TRACE_KEYS, WINDOWED
 from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.sources.tables import Tables
 
@@ -23,6 +23,15 @@ def _lineage(name: str, strategy: str) -> Job:
     return lambda t: query(name, t).frame(strategy)
 
 
+def _best(name: str) -> Job:
+    """The default rewrite; the decorrelated ones are joins on the correlation key."""
+    return _lineage(name, {"decorrelated": "join"}.get(BEST[name], BEST[name]))
+
+
+def _factorised(name: str, keys: tuple[str, ...]) -> Job:
+    return lambda t: query(name, t).long(keys)
+
+
 def _recover(name: str) -> Job:
     return lambda t: query(name, t).recover()
 
@@ -43,6 +52,9 @@ def jobs() -> dict[str, Job]:
         found[f"back_{name}"] = _backward(name)
         found[f"recover_{name}"] = _recover(name)
         found[f"edges_{name}"] = _edges(name)
+        found[f"best_{name}"] = _best(name)
+    for name, keys in FACTORISED.items():
+        found[f"fact_{name}"] = _factorised(name, keys)
     for name in DECORRELATED:
         found[f"opt_{name}"] = _lineage(name, "join")
     for name in WINDOWED:

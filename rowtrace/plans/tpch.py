@@ -429,7 +429,7 @@ def q20(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     stock = Traced(ample, stock.rids).select("ps_partkey", "ps_suppkey").kept(reuse)
     behind = stock.join(shipped, [("ps_partkey", "l_partkey"), ("ps_suppkey", "l_suppkey")])
     behind = behind.select(c("ps_suppkey").alias("s_suppkey"))
-    chosen = sellers.df.join(stock.df.select("ps_suppkey"), c("s_suppkey") == c("ps_suppkey"), "left_semi")
+    chosen = sellers.df.join(stock.df.select("ps_suppkey").distinct(), c("s_suppkey") == c("ps_suppkey"), "left_semi")
     return Lineage(
         core=Traced(chosen, sellers.rids).depends_on(behind, ["s_suppkey"], single=True),
         outputs=("s_name", "s_address"),
