@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +57,7 @@ class Traced:
         return Traced(df, tuple(c for c in df.columns if c.endswith("_rid")))
 
     def where(self, *conditions: Column) -> Traced:
-        df = self.df
-        for condition in conditions:
-            df = df.filter(condition)
-        return replace(self, df=df)
+        return replace(self, df=self.df.filter(reduce(Column.__and__, conditions)))
 
     def select(self, *columns: Column | str) -> Traced:
         return replace(self, df=self.df.select(*columns, *self.rids))

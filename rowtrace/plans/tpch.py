@@ -457,6 +457,7 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         .filter((c("first") != c("last")) & (c("culprit") == c("last_late")))
         .select("b_orderkey", "culprit")
     )
+    blamed = Traced(blamed, ()).kept(reuse).df
     late = scan(t.lineitem).where(is_late).join(sellers, [("l_suppkey", "s_suppkey")])
     rows = late.join(placed, [("l_orderkey", "o_orderkey")])
     rows = Traced(rows.df.join(blamed, c("l_orderkey") == c("b_orderkey")), rows.rids)

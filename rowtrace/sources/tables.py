@@ -12,6 +12,26 @@ def money(name: str) -> Column:
     return F.col(name).cast(MONEY)
 
 
+# Columns of the base tables. Known ahead, so that no read starts with a look into the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
+def names(table: str) -> list[str]:
+    return [part.split()[0] for part in SCHEMAS[table].split(",")]
+
+
 def _text(*parts: Column | str) -> Column:
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.concat_ws("-", *[c.cast("string") for c in columns])
@@ -25,8 +45,8 @@ def _pick(remainder: Column, values: list[str]) -> Column:
     return chosen.otherwise(values[-1])
 
 
-def _shift(day: str, days: Column) -> Column:
-    return F.date_add(F.col(day), days.cast("int"))
+def _shift(day: Column, days: Column) -> Column:
+    return F.date_add(day, days.cast("int"))
 
 
 class Tables:
@@ -42,20 +62,27 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.rid = rid
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+            self._raw[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
+
+    def with_rid(self, name: str, rid: str, keys: list[str], **derived: Column) -> DataFrame:
+        """Table, its row id, and derived columns (which may replace stored ones).
 
-    def with_rid(self, name: str, rid: str, keys: list[str]) -> DataFrame:
-        """Raw table plus its row id; `_metadata` has to be read next to the scan."""
-        frame = self.raw(name)
+        `_metadata` has to be read next to the scan, hence one select for all.
+        """
         if self.rid == "keys":
             value = F.col(keys[0]) if len(keys) == 1 else _text(*keys)
         else:
             value = F.concat_ws(
                 "#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")
             )
-        return frame.select("*", value.alias(rid))
+        stored = [c for c in names(name) if c not in derived]
+        return self.raw(name).select(*stored, value.alias(rid), *[v.alias(k) for k, v in derived.items()])
 
     @property
     def region(self) -> DataFrame:
@@ -67,58 +94,65 @@ class Tables:
 
     @property
     def supplier(self) -> DataFrame:
-        return self.with_rid("supplier", "s_rid", ["s_suppkey"]).select(
-            "*",
-            F.concat(F.lit("saddr-"), F.col("s_suppkey").cast("string")).alias("s_address"),
-            _text(F.col("s_nationkey") + 10, "s_suppkey").alias("s_phone"),
-            F.when(F.col("s_acctbal") < 0, "Customer has Complaints").otherwise("quiet").alias("s_comment"),
+        return self.with_rid(
+            "supplier",
+            "s_rid",
+            ["s_suppkey"],
+            s_address=F.concat(F.lit("saddr-"), F.col("s_suppkey").cast("string")),
+            s_phone=_text(F.col("s_nationkey") + 10, "s_suppkey"),
+            s_comment=F.when(F.col("s_acctbal") < 0, "Customer has Complaints").otherwise("quiet"),
         )
 
     @property
     def customer(self) -> DataFrame:
-        return self.with_rid("customer", "c_rid", ["c_custkey"]).select(
-            "*",
-            F.concat(F.lit("caddr-"), F.col("c_custkey").cast("string")).alias("c_address"),
-            _text(F.col("c_nationkey") + 10, "c_custkey").alias("c_phone"),
-            F.concat(F.lit("c"), (F.col("c_custkey") % 97).cast("string")).alias("c_comment"),
+        return self.with_rid(
+            "customer",
+            "c_rid",
+            ["c_custkey"],
+            c_address=F.concat(F.lit("caddr-"), F.col("c_custkey").cast("string")),
+            c_phone=_text(F.col("c_nationkey") + 10, "c_custkey"),
+            c_comment=F.concat(F.lit("c"), (F.col("c_custkey") % 97).cast("string")),
         )
 
     @property
     def part(self) -> DataFrame:
         size = _pick(F.col("p_partkey") % 3, ["SM", "MED", "LG"])
         shape = _pick(F.col("p_partkey") % 4, ["CASE", "BOX", "PACK", "PKG"])
-        return self.with_rid("part", "p_rid", ["p_partkey"]).select(
-            "*",
-            F.concat(F.lit("Manufacturer#"), (F.col("p_partkey") % 5 + 1).cast("string")).alias("p_mfgr"),
-            F.concat(size, F.lit(" "), shape).alias("p_container"),
+        return self.with_rid(
+            "part",
+            "p_rid",
+            ["p_partkey"],
+            p_mfgr=F.concat(F.lit("Manufacturer#"), (F.col("p_partkey") % 5 + 1).cast("string")),
+            p_container=F.concat(size, F.lit(" "), shape),
         )
 
     @property
     def orders(self) -> DataFrame:
-        frame = self.with_rid("orders", "o_rid", ["o_orderkey"])
-        return frame.withColumns(
-            {
-                "o_orderdate": F.col("o_orderdate").cast("date"),
-                "o_shippriority": F.lit(0),
-                "o_comment": F.when(F.col("o_orderkey") % 5 == 0, "special packages requests").otherwise("plain"),
-            }
+        return self.with_rid(
+            "orders",
+            "o_rid",
+            ["o_orderkey"],
+            o_orderdate=F.col("o_orderdate").cast("date"),
+            o_shippriority=F.lit(0),
+            o_comment=F.when(F.col("o_orderkey") % 5 == 0, "special packages requests").otherwise("plain"),
         )
 
     @property
     def lineitem(self) -> DataFrame:
         order, line = F.col("l_orderkey"), F.col("l_linenumber")
         part, supp = F.col("l_partkey"), F.col("l_suppkey")
-        keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-        frame = self.with_rid("lineitem", "l_rid", keys)
-        frame = frame.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
-        return frame.select(
-            "*",
-            _shift("l_shipdate", (order * 7 + line * 13 + part) % 61 - 30).alias("l_commitdate"),
-            _shift("l_shipdate", (order * 5 + line * 11 + supp) % 30 + 1).alias("l_receiptdate"),
-            _pick((order + line) % 7, ["MAIL", "SHIP", "AIR", "AIR REG", "RAIL", "TRUCK", "FOB"]).alias("l_shipmode"),
-            _pick(
+        shipped = F.col("l_shipdate").cast("date")
+        return self.with_rid(
+            "lineitem",
+            "l_rid",
+            ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+            l_shipdate=shipped,
+            l_commitdate=_shift(shipped, (order * 7 + line * 13 + part) % 61 - 30),
+            l_receiptdate=_shift(shipped, (order * 5 + line * 11 + supp) % 30 + 1),
+            l_shipmode=_pick((order + line) % 7, ["MAIL", "SHIP", "AIR", "AIR REG", "RAIL", "TRUCK", "FOB"]),
+            l_shipinstruct=_pick(
                 (part + line) % 4, ["DELIVER IN PERSON", "COLLECT COD", "NONE", "TAKE BACK RETURN"]
-            ).alias("l_shipinstruct"),
+            ),
         )
 
     @property

@@ -62,8 +62,8 @@ class Restricted(Tables):
     def _cut(self, frame, name, rid):
         return frame.join(self.ids[name], F.col(rid) == F.col("_id"), "left_semi") if name in self.ids else frame
 
-    def with_rid(self, name, rid, keys):
-        return self._cut(super().with_rid(name, rid, keys), name, rid)
+    def with_rid(self, name, rid, keys, **derived):
+        return self._cut(super().with_rid(name, rid, keys, **derived), name, rid)
 
     @property
     def partsupp(self):
