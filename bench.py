@@ -38,6 +38,8 @@ def run(job: Callable[[Tables], DataFrame], tables: Tables) -> float:
 def main() -> None:
     spark = build_session(CPUS, int(CPUS), "bench")
     tables = Tables(spark, FOLDER)
+    scale = os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")
+    GIVEN["q11"]["fraction"] = 2e-5 / float(scale)  # defined per scale factor
     known = jobs()
     names = [*GIVEN, *[f"rid_{q}" for q in GIVEN], *OTHERS]
     queries: dict[str, float] = {}
@@ -55,7 +57,7 @@ def main() -> None:
         "base_total": round(base, 3),
         "capture_total": round(capture, 3),
         "capture_over_base": round(capture / base, 3),
-        "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
+        "sf": scale,
     }
     print(json.dumps(report))
     spark.stop()

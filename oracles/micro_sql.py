@@ -13,7 +13,8 @@ SEGMENT = 5000
 
 def u(ident: str, stream: int) -> str:
     (a, b), (p, q) = STEPS[stream % 4], STEPS[(stream + 1) % 4]
-    return f"(cast(((((({ident}) % {M}) * {a} + {b}) % {M}) * {p} + {q}) % {M} as double) / cast({M} as double))"
+    folded = f"((({ident}) % {M} + (({ident}) // {M}) * 69069) % {M})"
+    return f"(cast(((({folded} * {a} + {b}) % {M}) * {p} + {q}) % {M} as double) / cast({M} as double))"
 
 
 def place(ident: str, n: str) -> str:

@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 # Linear congruential steps, multiplier and increment, modulus 2**31.
 STEPS = ((1103515245, 12345), (1140671485, 12820163), (1103495837, 7919), (1140690005, 104729))
 MODULUS = 2147483648
+FOLD = 69069
 
 
 def uniform(ident: Column, stream: int = 0) -> Column:
     """Repeatable number in [0, 1) from an integer id; different streams are not correlated."""
     first, second = STEPS[stream % len(STEPS)], STEPS[(stream + 1) % len(STEPS)]
-    value = F.pmod(ident, F.lit(MODULUS))
+    # ids beyond the modulus are mixed in, so that the sequence does not simply repeat
+    value = (F.pmod(ident, F.lit(MODULUS)) + F.shiftright(ident, 31) * F.lit(FOLD).cast("long")) % F.lit(MODULUS)
     for factor, add in (first, second):
         value = (value * F.lit(factor).cast("long") + F.lit(add)) % F.lit(MODULUS).cast("long")
     return value.cast("double") / F.lit(MODULUS).cast("double")

@@ -139,6 +139,15 @@ class Traced:
         return replace(self, df=keep(self.df)) if reuse else self
 
 
+@dataclass(frozen=True)
+class Level:
+    """An inner group-by of the core rows; `groups` holds its result where that is cheaper to get elsewhere."""
+
+    keys: tuple[str, ...]
+    aggregates: dict[str, Aggregate]
+    groups: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Lineage:
     """A query: its result, and for every output row the base rows behind it.
@@ -151,7 +160,7 @@ class Lineage:
     base        ready-made result relation, where it is cheaper than core's own
     base_rids   ids found in `base`, one per output row
     base_rows   row count of `base`, where it was counted
-    levels      inner group-bys: (keys, aggregates) whose values are group keys further out
+    levels      inner group-bys, whose values are group keys further out
     order       total order of the outputs, and `limit` on it
     """
 
@@ -165,7 +174,7 @@ class Lineage:
     base: DataFrame | None = None
     base_rids: tuple[str, ...] = ()
     base_rows: int | None = None
-    levels: tuple[tuple[tuple[str, ...], dict[str, Aggregate]], ...] = ()
+    levels: tuple[Level, ...] = ()
     limit: int | None = None
     limits: Limits = DEFAULT_LIMITS
 
@@ -226,12 +235,13 @@ class Lineage:
     def _levelled(self, strategy: str) -> DataFrame:
         """Core rows with the values of the inner group-bys they belong to."""
         rows = self.core.df
-        for keys, aggregates in self.levels:
+        for level in self.levels:
             if strategy == "window":
-                rows = over_groups(rows, list(keys), aggregates, self.limits)
+                rows = over_groups(rows, list(level.keys), level.aggregates, self.limits)
             else:
-                named = [aggregate(part).alias(name) for name, part in aggregates.items()]
-                rows = join_values(rows, rows.groupBy(*keys).agg(*named), list(keys))
+                named = [aggregate(part).alias(name) for name, part in level.aggregates.items()]
+                groups = rows.groupBy(*level.keys).agg(*named) if level.groups is None else level.groups
+                rows = join_values(rows, groups, list(level.keys))
         return rows
 
     def main(self, strategy: str = "join", indexed: bool = False) -> DataFrame:

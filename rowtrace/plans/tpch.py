@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtrace.functions.exact import ExactSum, cents, net, real
 from rowtrace.operators.attach import join_values
-from rowtrace.operators.lineage import Lineage, Traced
+from rowtrace.operators.lineage import Level, Lineage, Traced
 from rowtrace.plans.params import GIVEN, Params
 from rowtrace.sources.tables import Tables
 
@@ -286,11 +286,13 @@ def q13(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     plain = scan(t.orders).where(~c("o_comment").like(p["comment"]))
     rows = scan(t.customer).join(plain, [("c_custkey", "o_custkey")], "left")
     placed = plain.df.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
-    per_customer = t.customer.select("c_custkey").join(placed, c("c_custkey") == c("o_custkey"), "left")
-    base = per_customer.groupBy(F.coalesce("n", F.lit(0)).alias("c_count")).agg(F.count(F.lit(1)).alias("custdist"))
+    per_customer = t.customer.join(placed, c("c_custkey") == c("o_custkey"), "left").select(
+        "c_custkey", F.coalesce("n", F.lit(0)).alias("c_count")
+    )
+    base = per_customer.groupBy("c_count").agg(F.count(F.lit(1)).alias("custdist"))
     return Lineage(
         core=rows.select("c_custkey", "o_orderkey"),
-        levels=((("c_custkey",), {"c_count": F.count("o_orderkey")}),),
+        levels=(Level(("c_custkey",), {"c_count": F.count("o_orderkey")}, per_customer),),
         keys=("c_count",),
         base=base,
         outputs=("c_count", "custdist"),

@@ -53,7 +53,7 @@ class Tables:
     """Reads one data folder; every property is a DataFrame with a `<prefix>_rid` column.
 
     rid="keys": ids made of the key columns, the same in any engine.
-    rid="file": file name and position in the file, for tables without a key.
+    rid="file": file path and position in the file, for tables without a key.
     """
 
     def __init__(self, spark: SparkSession, folder: str, rid: str = "keys"):
@@ -79,7 +79,7 @@ class Tables:
             value = F.col(keys[0]) if len(keys) == 1 else _text(*keys)
         else:
             value = F.concat_ws(
-                "#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")
+                "#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
             )
         stored = [c for c in names(name) if c not in derived]
         return self.raw(name).select(*stored, value.alias(rid), *[v.alias(k) for k, v in derived.items()])

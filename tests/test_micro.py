@@ -116,3 +116,11 @@ def test_list_forms_hold_the_rows_of_the_join_form(small, name):
 
 def test_filters_before_and_after_the_scan_agree(small):
     assert rows(jobs()["rid_filter"](small)) == rows(jobs()["rid_filter_late"](small))
+
+
+def test_values_of_ids_beyond_the_modulus_differ(spark):
+    far = spark.range(2**33, 2**33 + 500).select(F.col("id").alias("idx"))
+    near = spark.range(500).select(F.col("id").alias("idx"))
+    same = G.uniform_groups(far, 1000).select(F.col("idx") - 2**33, "z", "v").intersect(G.uniform_groups(near, 1000))
+    assert same.count() < 5
+    assert G.uniform_groups(far, 1000).filter("z < 0 or z >= 1000 or v < 0 or v >= 100").count() == 0

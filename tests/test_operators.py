@@ -179,3 +179,27 @@ def test_lineage_of_linked_subqueries_multiplies_only_on_request(spark):
     assert rows(flat.select("o", "m_rid", "s_rid")) == sorted(
         [("a", 1, 10), ("a", 1, 11), ("a", 2, 10), ("a", 2, 11), ("b", 3, 12)]
     )
+
+
+def test_hot_keys_are_split_where_values_are_too_many_to_broadcast(spark):
+    """One key holds a third of the rows: adaptive execution cuts its partition in the shuffled form."""
+    ids = spark.range(300_000).repartition(16)
+    rows_ = ids.select(F.md5(c("id").cast("string")).alias("f_rid"), F.when(c("id") % 3 == 0, 0).otherwise(c("id")).alias("k"))
+    values = ids.select(c("id").alias("k"), (c("id") * 2).alias("v"))
+    tuned = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {name: spark.conf.get(name) for name in tuned}
+    for name, value in tuned.items():
+        spark.conf.set(name, value)
+    try:
+        joined = attach(rows_, values, ["k"], TINY)
+        counted = joined.groupBy().agg(F.count("*").alias("n"), F.sum(c("v") - 2 * c("k")).alias("off"), F.max("f_rid"))
+        assert tuple(counted.collect()[0])[:2] == (300_000, 0)
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
