@@ -43,8 +43,9 @@ def main() -> None:
     known = jobs()
     names = [*GIVEN, *[f"rid_{q}" for q in GIVEN], *OTHERS]
     queries: dict[str, float] = {}
+    for name in names:  # class loading and code generation, not timed
+        run(known[name], tables)
     for name in names:
-        run(known[name], tables)  # class loading and code generation
         queries[name] = round(run(known[name], tables), 3)
         print(name, queries[name], file=sys.stderr, flush=True)
     base = sum(queries[q] for q in GIVEN)
