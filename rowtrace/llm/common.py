@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+Batches = Iterator[pa.RecordBatch]
+
 _own_folder: list[str] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +54,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application; Spark serves the file."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="rowtrace-code-")) / "rowtrace_code.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
+def in_arrow(df: DataFrame, job: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """`mapInArrow` with the package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(job, schema)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about `limit` bytes each; a longer text is a slice of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    group = np.cumsum(sizes) // limit
+    edges = (np.flatnonzero(np.diff(group)) + 1).tolist()
+    for start, stop in zip([0, *edges], [*edges, len(sizes)], strict=True):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

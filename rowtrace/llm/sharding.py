@@ -23,10 +23,10 @@ SHARDS = 16
 def shard_by_bytes(rows: DataFrame, order: list[str], size: str, shards: int = SHARDS) -> DataFrame:
     """Adds `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard) to rows of positive integer sizes."""
     placed = prefix_sums(rows, order, [size])
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"))  # one row
+    total = rows.agg(F.sum(size)).first()[0] or 1
     middle = F.col(f"before_{size}") * 2 + F.col(size)
-    cut_at = placed.crossJoin(F.broadcast(total)).withColumn(
-        "shard", F.least(F.floor(middle * shards / (F.col("total_bytes") * 2)), F.lit(shards - 1)).cast("int")
+    cut_at = placed.withColumn(
+        "shard", F.least(F.floor(middle * shards / F.lit(total * 2)), F.lit(shards - 1)).cast("int")
     )
     # first row of each shard: one row per shard
     firsts = cut_at.groupBy("shard").agg(F.min("before_rows").alias("first_row"))

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from rowtrace.llm.common import cut, table
 
-BUCKETS = 32768
+BUCKETS = 65536
 SIZES = (3, 4, 5)
 STEPS = 20
-RIDGE = 0.3
+RIDGE = 0.1
 MOMENTUM = 0.85
 #: (host and path prefix, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -55,7 +55,7 @@ def labelled_urls() -> list[tuple[str, int]]:
     """(url, 1 to block or 0 to allow), a few hundred in all."""
     rows = []
     for words, label in ((UNWANTED, 1), (WANTED, 0)):
-        for step in (0, 1, 3, 7, 11) if label else (0, 5):
+        for step in (0, 1, 2, 3, 5, 7, 11, 13) if label else (0, 5, 17):
             for i, word in enumerate(words):
                 name = word if step == 0 else f"{word}-{words[(i + step) % len(words)]}"
                 k = i + 5 * step
