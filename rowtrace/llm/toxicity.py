@@ -1,7 +1,6 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding: compatibility forms and accents are taken off, look-alike letters of
-other scripts and digits or signs that stand for letters inside words become those
+Folding: compatibility forms are made plain, look-alike letters of other scripts and digits or signs that stand for letters inside words become those
 letters, case is dropped, and every run of other characters is one space. A space
 stands at either end, so an entry that begins with a space matches only at the
 beginning of a word.
@@ -42,8 +41,9 @@ from rowtrace.llm.common import Batches, cut, in_arrow, slices, table
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 ENTRIES = 5_000  # of the lexicon, and of the exceptions, at most
-LEAST_DOCUMENTS = 4  # toxic training documents that hold an entry
-LEAST_RATIO = 8.0  # likelier in toxic documents by
+LEAST_DOCUMENTS = 5  # toxic training documents that hold an entry
+LEAST_RATIO = 15.0  # likelier in toxic documents by
+STRONGEST = 3  # entries of a document that may explain its label
 STEMS = (3, 4, 5, 6, 7)  # lengths of beginnings
 SAMPLE = 16_000  # labelled rows to learn from, half of either label
 BATCH_BYTES = 4 << 20
@@ -60,8 +60,7 @@ class _Folding(dict):
     """Folding of single characters, worked out when first met."""
 
     def __missing__(self, code: int) -> str:
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        plain = plain.lower().translate(LOOKALIKES)
+        plain = unicodedata.normalize("NFKC", chr(code)).lower().translate(LOOKALIKES)
         self[code] = out = "".join(x if x.isalnum() or x in "@$!" else " " for x in plain)
         return out
 
@@ -107,7 +106,13 @@ def phrases(built: ahocorasick.Automaton, folded: str) -> set[str]:
     return found
 
 
-def _counted(lexicon: dict[str, float] | None) -> Callable[[Batches], Batches]:
+def strongest(built: ahocorasick.Automaton, folded: str) -> set[str]:
+    """The heaviest few entries that a folded text holds."""
+    held = {(weight, folded[end - length + 1 : end + 1]) for end, (length, weight) in built.iter(folded)}
+    return {entry for _, entry in sorted(held)[-STRONGEST:]}
+
+
+def _counted(lexicon: dict[str, float] | None, of: str) -> Callable[[Batches], Batches]:
     """Documents by label that hold a feature (or, with a lexicon, a phrase), summed in the task before they are moved."""
 
     def run(batches: Batches) -> Batches:
@@ -117,7 +122,8 @@ def _counted(lexicon: dict[str, float] | None) -> Callable[[Batches], Batches]:
                 counts: dict[str, list[int]] = {}
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                     folded = fold(text or "")
-                    for feature in phrases(built, folded) if built else features(folded):
+                    found = features(folded) if built is None else KINDS[of](built, folded)
+                    for feature in found:
                         counts.setdefault(feature, [0, 0])[toxic] += 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,8 +137,11 @@ def _counted(lexicon: dict[str, float] | None) -> Callable[[Batches], Batches]:
     return run
 
 
-def _summed(training: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:
-    counted = in_arrow(training.select("text", "toxic"), _counted(lexicon), "feature string, clean long, bad long")
+KINDS = {"phrases": phrases, "strongest": strongest}
+
+
+def _summed(training: DataFrame, lexicon: dict[str, float] | None = None, of: str = "") -> DataFrame:
+    counted = in_arrow(training.select("text", "toxic"), _counted(lexicon, of), "feature string, clean long, bad long")
     return counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
 
 
@@ -157,8 +166,11 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], list[str]]:
     entries = {f: w for f, w in weights.items() if not _covered(f, weights)}
     if not entries:
         return {}, []
+    # entries that only stand beside heavier ones, as the plain words of a copied toxic text, explain nothing
+    needed = _summed(training, entries, "strongest").filter(F.col("bad") >= STRONGEST).select("feature").collect()
+    entries = {r["feature"]: entries[r["feature"]] for r in needed}
     exceptions = (
-        _summed(training, entries)
+        _summed(training, entries, "phrases")
         .filter((F.col("clean") >= LEAST_DOCUMENTS) & (ratio < 1))
         .orderBy(F.desc("clean"), "feature")
         .limit(ENTRIES)
