@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rowtrace.llm.merkle import op5_fingerprints
 from rowtrace.llm.mixing import op10_mixing
 from rowtrace.llm.sharding import op6_sharding
+from rowtrace.llm.substrings import op2_substring_dedup
 from rowtrace.llm.tokens import op7_token_counts
 from rowtrace.llm.toxicity import op4_toxicity
 from rowtrace.llm.urls import op1_url_filters
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_url_filters,
+            op2_substring_dedup,
             op4_toxicity,
             op5_fingerprints,
             op6_sharding,
