@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowtrace.llm.decontamination import op3_decontamination
 from rowtrace.llm.merkle import op5_fingerprints
 from rowtrace.llm.mixing import op10_mixing
 from rowtrace.llm.sharding import op6_sharding
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_url_filters,
             op2_substring_dedup,
+            op3_decontamination,
             op4_toxicity,
             op5_fingerprints,
             op6_sharding,
