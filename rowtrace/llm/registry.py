@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rowtrace.llm.decontamination import op3_decontamination
 from rowtrace.llm.merkle import op5_fingerprints
 from rowtrace.llm.mixing import op10_mixing
+from rowtrace.llm.neardup import op8_near_duplicates
 from rowtrace.llm.sharding import op6_sharding
 from rowtrace.llm.substrings import op2_substring_dedup
 from rowtrace.llm.tokens import op7_token_counts
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
             op5_fingerprints,
             op6_sharding,
             op7_token_counts,
+            op8_near_duplicates,
             op10_mixing,
         )
     }
