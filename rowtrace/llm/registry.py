@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtrace.llm.decontamination import op3_decontamination
+from rowtrace.llm.html import op9_html_extraction
 from rowtrace.llm.merkle import op5_fingerprints
 from rowtrace.llm.mixing import op10_mixing
 from rowtrace.llm.neardup import op8_near_duplicates
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
             op6_sharding,
             op7_token_counts,
             op8_near_duplicates,
+            op9_html_extraction,
             op10_mixing,
         )
     }
