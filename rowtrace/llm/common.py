@@ -84,6 +84,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
             yield batch.slice(start, stop - start)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows as one column `row` beside further columns, so that names cannot clash; `row.*` unpacks them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

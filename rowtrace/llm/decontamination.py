@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import Batches, cut, in_arrow, prefix_sums, slices, table
+from rowtrace.llm.common import Batches, boxed, cut, in_arrow, prefix_sums, slices, table, written
 from rowtrace.llm.hashing import mix, powers, word_hashes
 
 #: Fixed masks: 1 counts, 0 is ignored.
@@ -183,8 +183,9 @@ def overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item overlaps."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    rows = boxed(docs, F.col("doc_id").alias("id"))
+    return rows.join(leaked, F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import cut, prefix_sums, table, word_count
+from rowtrace.llm.common import boxed, cut, prefix_sums, table, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -119,7 +119,7 @@ def balance(histogram: DataFrame, targets: DataFrame, ceiling: int = CEILING, st
 
 
 def mix(docs: DataFrame, ceiling: int = CEILING, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every document (columns doc_id, source, text)."""
+    """doc_id, source, size, source_size, target, copies, and hash of id and text of every document (columns doc_id, source, text)."""
     text = F.col("text")
     light = cut(
         docs.select(
@@ -158,6 +158,7 @@ def mix(docs: DataFrame, ceiling: int = CEILING, weights: tuple[int, ...] = WEIG
     open_room = (F.col("whole") < ceiling) & (F.col("size") > 0)
     ready = placed.select(
         "doc_id",
+        F.col("_hash").alias("hash"),
         "source",
         "size",
         "source_size",
@@ -181,6 +182,7 @@ def mix(docs: DataFrame, ceiling: int = CEILING, weights: tuple[int, ...] = WEIG
     second = (F.col("short") > 0) & (reached <= F.col("target"))
     return filled.select(
         "doc_id",
+        "hash",
         "source",
         "size",
         "source_size",
@@ -189,6 +191,16 @@ def mix(docs: DataFrame, ceiling: int = CEILING, weights: tuple[int, ...] = WEIG
     )
 
 
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The documents, each as often as the mix takes it. Rows equal in id and text share the largest of their copies."""
+    counts = mix(docs).groupBy("hash", F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies"))
+    taken = written(counts.filter("copies > 0"), "copies")
+    rows = boxed(docs, F.xxhash64("doc_id", "text").alias("row_hash"), F.col("doc_id").alias("row_id"))
+    same = (F.col("row_hash") == F.col("hash")) & F.col("row_id").eqNullSafe(F.col("id"))
+    joined = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return joined.select("row.*")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
     mixed = mix(table(spark, folder, "documents"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import Batches, in_arrow, slices, table, written
+from rowtrace.llm.common import Batches, boxed, in_arrow, slices, table, written
 from rowtrace.llm.components import components
 from rowtrace.llm.hashing import mix
 from rowtrace.llm.substrings import LOWEST, Words
@@ -290,15 +290,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class: the one with the smallest id, of equal ids that with the smallest text hash."""
     classed = written(near_duplicates(docs).select("k1", "k2", "root"), "classed")
     first = written(classed.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("at")).select("at.k1", "at.k2"), "firsts")
-    keyed = docs.select(
-        "*",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_k1"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_k2"),
+    keyed = boxed(
+        docs,
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k1"),
+        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k2"),
     )
-    kept = keyed.join(first, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    kept = keyed.join(first, ["k1", "k2"])
     if has_repeated_rows(classed):
-        kept = kept.dropDuplicates(["_k1", "_k2"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select("row.*")
 
 
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import Batches, cut, in_arrow, slices, table
+from rowtrace.llm.common import Batches, boxed, cut, in_arrow, slices, table
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -282,6 +282,20 @@ class Judge:
         return in_arrow(rows, job, f"{schema}, score double")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below the threshold."""
+    judge = Judge(docs, labels)
+    rows = boxed(docs, F.col("text").alias("text"))
+    if judge.curve is None:
+        return docs
+    scored = in_arrow(
+        rows,
+        _scorer(judge.lexicon, judge.exceptions, judge.curve, ["row"]),
+        f"row {rows.schema['row'].dataType.simpleString()}, score double",
+    )
+    return scored.filter(F.col("score") < THRESHOLD).select("row.*")
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, folder, "documents")
