@@ -50,11 +50,17 @@ class Pieces:
             return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts])
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in UTF-8 bytes; words are runs of bytes other than 0x20 and 0x09-0x0D."""
+def word_spans(data: np.ndarray, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in UTF-8 bytes; words are runs of bytes other than 0x20 and 0x09-0x0D, and end at
+    the borders of texts."""
     word = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
-    edges = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    apart = np.zeros(len(data) + 1, bool)
+    if borders is not None:
+        apart[borders] = True
+    none = np.zeros(1, bool)
+    begins = word & (~np.concatenate((none, word[:-1])) | apart[:-1])
+    stops = word & (~np.concatenate((word[1:], none)) | apart[1:])
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
 _byte_values = {s: mix(np.arange(256, dtype=np.uint64), 100 + s) for s in (0, 1)}

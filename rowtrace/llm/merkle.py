@@ -54,7 +54,7 @@ def trees(texts: list[bytes]) -> list[str]:
     is_line[lines] = True
     is_line[ends] = True
     is_line[ends - lengths] = True
-    starts, stops = word_spans(data)
+    starts, stops = word_spans(data, np.concatenate(([0], ends)))
     if len(starts):
         line_of = np.searchsorted(np.flatnonzero(is_line), starts, side="right")
         short = np.bincount(line_of)[line_of] <= SHORT

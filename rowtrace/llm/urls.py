@@ -1,9 +1,9 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams of host and path.
 
 The model is fitted to a small labelled URL table by gradient steps scaled by a
-bound of the Hessian's diagonal, with momentum; each step is one aggregation over (url, bucket) rows. Its weights fill an
-array of fixed length (`BUCKETS`), which is all that reaches the driver, and
-scoring looks them up in that array: no shuffle and no row leaves its task.
+bound of the Hessian's diagonal, with momentum; each step joins and aggregates (url, bucket) rows. The weights are a table of
+at most BUCKETS rows, which bounds what scoring broadcasts; a page's n-grams are
+joined with it and summed where they are read, before one row a page is moved.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits
 no rule and is judged by the model (its intercept); repeated rows are judged
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from rowtrace.llm.common import cut, table
 
-BUCKETS = 65536
-SIZES = (3, 4, 5)
+BUCKETS = 1 << 18
+HOST_SIZES, PATH_SIZES = (3, 4, 5), (3,)
 STEPS = 20
 RIDGE = 0.1
 MOMENTUM = 0.85
@@ -87,7 +87,7 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
 def buckets(host: Column, path: Column, size: int = BUCKETS) -> Column:
     """Array of bucket numbers (from 1) of the distinct character n-grams of `^host$` and `path`."""
 
-    def grams(text: Column, tag: str) -> Column:
+    def grams(text: Column, tag: str, sizes: tuple[int, ...]) -> Column:
         found = [
             F.transform(
                 F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
@@ -95,57 +95,53 @@ def buckets(host: Column, path: Column, size: int = BUCKETS) -> Column:
                 ),
                 lambda i, n=n: (F.pmod(F.xxhash64(F.lit(tag), F.substring(text, i, F.lit(n))), F.lit(size)) + 1).cast("int"),
             )
-            for n in SIZES
+            for n in sizes
         ]
         return F.concat(*found)
 
-    return F.array_distinct(F.concat(grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), grams(path, "p")))
+    whole = F.concat(F.lit("^"), host, F.lit("$"))
+    return F.array_distinct(F.concat(grams(whole, "h", HOST_SIZES), grams(path, "p", PATH_SIZES)))
 
 
-def packed(weights: list[float]) -> Column:
-    """A constant array: parsed once, when the plan is optimised."""
-    return F.split(F.lit(",".join(repr(float(w)) for w in weights)), ",").cast("array<double>")
+def fit(labelled: DataFrame, steps: int = STEPS, ridge: float = RIDGE, size: int = BUCKETS) -> DataFrame:
+    """(bucket, weight) from rows of (url, label); bucket 0 is the intercept.
 
-
-def margin(features: Column, weights: Column, intercept: float) -> Column:
-    return F.aggregate(features, F.lit(float(intercept)), lambda total, i: total + F.element_at(weights, i))
-
-
-def fit(labelled: DataFrame, steps: int = STEPS, ridge: float = RIDGE, size: int = BUCKETS) -> tuple[float, list[float]]:
-    """Intercept and weights from rows of (url, label).
-
-    The table is meant to be small, but nothing here depends on it: each step sums
-    gradient and curvature by bucket, and only `size` sums are read back.
+    The labelled table is small by its nature, so its features lie in one partition,
+    and a step is one task; larger ones could be dealt by url and bucket as they are.
     """
     host, path = host_and_path(F.col("url"))
-    rows = cut(labelled.select(F.col("label").cast("double").alias("label"), buckets(host, path, size).alias("features")))
-    weights, speed = [0.0] * (size + 1), [0.0] * (size + 1)
+    rows = labelled.select("url", F.col("label").cast("double").alias("label"), buckets(host, path, size).alias("features"))
+    seen = cut(
+        rows.select(
+            "url", "label", F.size("features").alias("k"), F.explode(F.concat(F.array(F.lit(0)), "features")).alias("bucket")
+        ).coalesce(1)
+    )
+    zero = F.lit(0.0)
+    weights = cut(seen.select("bucket").distinct().select("bucket", zero.alias("weight"), zero.alias("speed")))
     for _ in range(steps):
-        p = 1 / (1 + F.exp(-margin(F.col("features"), packed(weights[1:]), weights[0])))
-        # bucket 0 is the intercept; a row's curvature counts once for each of its features, as they move together
-        seen = rows.select(
-            F.explode(F.concat(F.array(F.lit(0)), F.col("features"))).alias("bucket"),
-            (F.col("label") - p).alias("error"),
-            (F.greatest(p * (1 - p), F.lit(0.02)) * F.size("features")).alias("curve"),
-        )
-        sums = seen.groupBy("bucket").agg(F.sum("error").alias("g"), F.sum("curve").alias("h")).collect()
-        for row in sums:  # at most one row for each bucket
-            k = row["bucket"]
-            speed[k] = MOMENTUM * speed[k] + (row["g"] - (ridge * weights[k] if k else 0.0)) / (row["h"] + ridge)
-            weights[k] += speed[k]
-    return weights[0], weights[1:]
-
-
-def judge(
-    pages: DataFrame, intercept: float, weights: list[float], rules: tuple[tuple[str, str], ...] = RULES
-) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of rows with page_id and url."""
+        margin = seen.join(weights, "bucket").groupBy("url", "label", "k").agg(F.sum("weight").alias("margin"))
+        p = 1 / (1 + F.exp(-F.col("margin")))
+        # a row's curvature counts once for each of its features, as they move together
+        curve = F.greatest(p * (1 - p), F.lit(0.02)) * F.col("k")
+        errors = margin.select("url", (F.col("label") - p).alias("error"), curve.alias("curve"))
+        sums = seen.join(errors, "url").groupBy("bucket").agg(F.sum("error").alias("g"), F.sum("curve").alias("h"))
+        pull = F.when(F.col("bucket") > 0, F.col("weight") * ridge).otherwise(0.0)
+        speed = F.col("speed") * MOMENTUM + (F.col("g") - pull) / (F.col("h") + ridge)
+        moved = sums.join(weights, "bucket").select("bucket", "weight", speed.alias("speed"))
+        weights = cut(moved.select("bucket", (F.col("weight") + F.col("speed")).alias("weight"), "speed"))
+    return weights.select("bucket", "weight")
+
+
+def judge(pages: DataFrame, weights: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, size: int = BUCKETS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of rows with page_id and url. `weights` has a row for each bucket at most."""
     host, path = host_and_path(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    features = buckets(F.col("host"), F.col("path"), len(weights))
-    score = 1 / (1 + F.exp(-margin(features, packed(weights), intercept)))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("place"))
+    features = F.explode(F.concat(F.array(F.lit(0)), buckets(F.col("host"), F.col("path"), size))).alias("bucket")
+    met = split.select("*", features).join(F.broadcast(weights), "bucket", "left")
+    summed = met.groupBy("page_id", "host", "path", "place").agg(F.sum("weight").alias("margin"))
+    score = 1 / (1 + F.exp(-F.col("margin")))
     rule, outcome = matching_rule(F.col("host"), F.col("path"), rules)
-    return split.select(
+    return summed.select(
         "page_id",
         "host",
         "path",
@@ -156,12 +152,11 @@ def judge(
 
 
 def labels_table(spark: SparkSession) -> DataFrame:
-    """The labelled table as rows."""
+    """The labelled table as rows of (url, label)."""
     rows = ", ".join(f"('{url}', {label})" for url, label in labelled_urls())
     return spark.sql(f"select * from values {rows} as t(url, label)")
 
 
 def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, host, path, rule, verdict (and the model's score) of every page's url."""
-    intercept, weights = fit(labels_table(spark))
-    return judge(table(spark, folder, "pages"), intercept, weights)
+    return judge(table(spark, folder, "pages"), fit(labels_table(spark)))
