@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtrace.llm.common import Batches, boxed, in_arrow, slices, table, written
@@ -49,13 +49,15 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62  # five standard deviations below the threshold
-BIG = 200  # nodes of a bucket beyond which it is dealt by other bands as well
-BATCH_BYTES = 2 << 20
+ENOUGH = int(LEAST_AGREEMENT * COMPONENTS)
+BIG = 1000  # nodes of a bucket beyond which it is dealt by other bands as well
+BATCH_BYTES = 1 << 20
+ROW_COST = 2_000  # bytes that a text's signature takes while it is worked out, at least
 
 
 def multisets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, element, weight), sorted by text and element."""
-    words = Words(texts)
+    words = Words(texts, (0,))
     n = np.diff(np.append(words.first, words.n))
     runs = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     text = np.repeat(np.arange(len(texts)), runs)
@@ -120,7 +122,7 @@ def signatures(count: int, text: np.ndarray, element: np.ndarray, weight: np.nda
 
 def _sign(batches: Batches) -> Batches:
     for whole in batches:
-        for batch in slices(whole, "text", BATCH_BYTES):
+        for batch in slices(whole, "text", BATCH_BYTES, ROW_COST):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             text, element, weight = multisets(texts)
             values = mix(signatures(len(texts), text, element, weight))
@@ -131,29 +133,27 @@ def _sign(batches: Batches) -> Batches:
                 powers = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, ROWS + 1, dtype=np.uint64)
                 bands = (values.reshape(len(texts), BANDS, ROWS) * powers).sum(axis=2, dtype=np.uint64)
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9), 62)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, len(texts) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64))
-            )
-            short = (values & np.uint64(255)).astype(np.uint8)
+            short = (values & np.uint64(255)).astype(np.uint8).view(np.int8)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "k1", "k2")),
                     pa.array(mix(node, 63).view(np.int64)),
-                    lists,
-                    pa.array([row.tobytes() for row in short], pa.binary()),
+                    _lists(bands.view(np.int64)),
+                    _lists(short),
                 ],
                 names=["doc_id", "k1", "k2", "node", "bands", "short"],
             )
 
 
-def _agreeing(batches: Batches) -> Batches:
-    """Pairs whose signatures allow the threshold."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for c in ("short_a", "short_b"))
-        keep = (a == b).mean(axis=1) >= LEAST_AGREEMENT
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A list column from the rows of an array."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1]) if len(rows) else np.zeros(1, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Number of components in which two signatures agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, same: n + same)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -212,12 +212,12 @@ class Search:
         )
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.signed = written(
-            in_arrow(self.texts, _sign, f"doc_id {kind}, k1 long, k2 long, node long, bands array<long>, short binary"),
+            in_arrow(self.texts, _sign, f"doc_id {kind}, k1 long, k2 long, node long, bands array<long>, short array<tinyint>"),
             "signatures",
         )
         # one row for each node: its first document, which has the node's text
         self.nodes = written(
-            self.signed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("short").alias("short")), "nodes"
+            self.signed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("bands").alias("bands"), F.first("short").alias("short")), "nodes"
         )
         rows = self.signed.select("node", F.explode("bands").alias("bucket"))
         shared = written(
@@ -233,21 +233,22 @@ class Search:
         short = self.nodes.select("node", "short")
         left = pairs.join(short.withColumnsRenamed({"node": "a", "short": "short_a"}), "a")
         both = left.join(short.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
-        return in_arrow(both.select("a", "b", "short_a", "short_b"), _agreeing, "a long, b long")
+        return both.filter(agreement(F.col("short_a"), F.col("short_b")) >= ENOUGH).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose texts reach the threshold."""
-        likely = written(self.agreeing(pairs), "likely")
+        """Of pairs (a, b), those whose texts reach the threshold. The texts are moved once, whatever the number of pairs."""
+        likely = written(pairs, "likely")
         wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
         places = written(self.nodes.join(wanted, "node").select("node", "at.k1", "at.k2"), "places")
-        found = self.texts.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("node", "text")
+        found = self.texts.select("k1", "k2", "text").join(places.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
         fetched = written(found.dropDuplicates(["node"]) if has_repeated_rows(self.signed) else found, "texts")
         with_a = likely.join(fetched.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         both = with_a.join(fetched.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         return in_arrow(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long")
 
     def other_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components that share a bucket, but for those with the bucket's pivot."""
+        """Pairs of nodes of different components that share a bucket and whose signatures allow the threshold, but for those
+        with the bucket's pivot."""
         placed = self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = written(placed, "placed")
         mixed = (
@@ -260,13 +261,19 @@ class Search:
             placed.filter("node <> pivot").join(written(mixed, "mixed"), F.col("bucket") == F.col("_bucket")).drop("_bucket", "pivot"),
             "open",
         )
-        bands = self.signed.select("node", "bands").dropDuplicates(["node"])
-        small = open_.filter(F.col("n") <= BIG).select("node", "root", "bucket", F.lit(0).cast("long").alias("sub"))
-        large = open_.filter(F.col("n") > BIG).join(bands, "node")
-        large = large.select("node", "root", "bucket", F.explode("bands").alias("sub")).filter("sub <> bucket")
-        side = small.unionAll(large)
-        other = side.select(F.col("node").alias("b"), F.col("root").alias("_root"), F.col("bucket").alias("_b"), F.col("sub").alias("_s"))
-        met = (F.col("bucket") == F.col("_b")) & (F.col("sub") == F.col("_s")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("_root"))
+        known = open_.join(self.nodes.select("node", "bands", "short"), "node")
+        small = known.filter(F.col("n") <= BIG).select("node", "root", "short", "bucket", F.lit(0).cast("long").alias("sub"))
+        large = known.filter(F.col("n") > BIG)
+        large = large.select("node", "root", "short", "bucket", F.explode("bands").alias("sub")).filter("sub <> bucket")
+        side = written(small.unionAll(large), "sides")
+        other = side.withColumnsRenamed({"node": "b", "root": "_root", "short": "_short", "bucket": "_bucket", "sub": "_sub"})
+        met = (
+            (F.col("bucket") == F.col("_bucket"))
+            & (F.col("sub") == F.col("_sub"))
+            & (F.col("node") < F.col("b"))
+            & (F.col("root") != F.col("_root"))
+            & (agreement(F.col("short"), F.col("_short")) >= ENOUGH)
+        )
         return side.join(other, met).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -274,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 and class_id (the smallest id of the class; null if that is a null id) of every row."""
     search = Search(docs)
     stars = search.members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(search.verified(stars), "links")
+    links = written(search.verified(search.agreeing(stars)), "links")
     roots = written(components(links), "roots")
     more = written(search.verified(search.other_pairs(roots)), "links")
     if more.limit(1).count():

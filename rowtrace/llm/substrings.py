@@ -54,12 +54,12 @@ WINDOW = [("w1", "<u8"), ("w2", "<u8"), ("k1", "<i8"), ("k2", "<u4"), ("start",
 class Words:
     """Words of a batch of texts with their hashes, and which text each belongs to."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], streams: tuple[int, ...] = (0, 1)) -> None:
         # a separator keeps words of different texts apart
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         starts, ends = word_spans(data)
-        self.streams = [Pieces(mix(word_hashes(data, starts, ends, s), s), s) for s in (0, 1)]
+        self.streams = [Pieces(mix(word_hashes(data, starts, ends, s), s), s) for s in streams]
         self.text = np.searchsorted(np.cumsum(lengths + 1) - 1, starts, side="left")
         self.first = np.searchsorted(self.text, np.arange(len(texts)))  # first word of each text
         self.n = len(starts)
