@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +84,21 @@ def join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFram
     return rows.join(renamed, condition).select(*rows.columns, *added)
 
 
+def known_keys_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str) -> DataFrame:
+    """Semi or anti join on equal columns, with a hot key on either side.
+
+    The right keys are made distinct, which reduces a hot key there before the
+    shuffle. They are then free of nulls, so null-safe equality means the same as
+    plain equality; it makes the join shuffle both sides anew instead of building on
+    the exchange of the aggregate, and only so adaptive execution may split a hot
+    key on the left.
+    """
+    names = [f"_k{i}" for i in range(len(on))]
+    keys = right.select(*[F.col(b).alias(n) for n, (_, b) in zip(names, on, strict=True)])
+    keys = keys.dropna().distinct()
+    return left.join(keys, matching([F.col(a) for a, _ in on], [F.col(n) for n in names]), how)
+
+
 def left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """Left outer join on equal columns, as matched rows plus unmatched left rows.
 
@@ -92,32 +108,26 @@ def left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> D
     condition = F.lit(True)
     for a, b in on:
         condition = condition & (F.col(a) == F.col(b))
-    known = right.select(*[F.col(b) for _, b in on]).distinct()
-    unmatched = left.join(known, condition, "left_anti")
+    unmatched = known_keys_join(left, right, on, "left_anti")
     return left.join(right, condition).unionByName(unmatched, allowMissingColumns=True)
 
 
 def over_groups(
     rows: DataFrame, keys: list[str], aggregates: dict[str, Aggregate], limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """Every row with the aggregates of its group (whole-partition window functions).
+    """Every row with the aggregates of its group, by whole-partition window functions.
 
-    The groups are pre-aggregated and measured. Few groups: their values are
-    broadcast to the rows. Many groups, none larger than a task can sort: real
-    window functions. Many groups with a hot one: shuffled join, which adaptive
-    execution splits, so that no task holds the whole hot group.
+    A window brings a group into one task, so the largest group is counted first;
+    only if it exceeds what a task can sort, the pre-aggregated values are joined to
+    the rows instead, with the same result.
     """
-    named = [aggregate(part).alias(name) for name, part in aggregates.items()]
-    groups = measure(rows.groupBy(*keys).agg(*named, F.count(F.lit(1)).alias("_rows")))
-    values = groups.frame.drop("_rows")
-    if groups.small(limits):
-        return join_values(rows, F.broadcast(values), keys)
-    largest = groups.frame.agg(F.max("_rows")).first()[0] or 0
-    if largest <= limits.window_group_rows:
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"))
+    if (counted.first()[0] or 0) <= limits.window_group_rows:
         window = Window.partitionBy(*keys)
         spread = [aggregate(part, lambda a: a.over(window)).alias(name) for name, part in aggregates.items()]
         return rows.select("*", *spread)
-    return join_values(rows, values, keys)
+    named = [aggregate(part).alias(name) for name, part in aggregates.items()]
+    return join_values(rows, rows.groupBy(*keys).agg(*named), keys)
 
 
 def ordinal(

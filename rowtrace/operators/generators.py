@@ -8,22 +8,32 @@ idx = 0 .. n-1 without gaps.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtrace.functions.portable import uniform
+from rowtrace.operators.attach import sized
 
 # A prime step and an offset that permute 0 .. n-1.
 STEP = 1000003
 OFFSET = 7919
-GROUP_BOUND = 100_000
+#: Groups whose running sums are worked out together.
+BLOCK = 65_536
+
+
+def step_for(n: int) -> int:
+    """The first step from STEP on that has no common divisor with n, so that multiples of it permute 0 .. n-1."""
+    step = STEP
+    while gcd(step, n) != 1:
+        step += 1
+    return step
 
 
 def shuffled(idx: Column, n: int) -> Column:
     """A permutation of 0 .. n-1: any k of its values are hit by exactly k rows."""
-    if n % STEP == 0:
-        raise ValueError(f"n must not be a multiple of {STEP}")
-    return (F.pmod(idx, F.lit(n).cast("long")) * F.lit(STEP).cast("long") + F.lit(OFFSET)) % F.lit(n).cast("long")
+    return (F.pmod(idx, F.lit(n).cast("long")) * F.lit(step_for(n)).cast("long") + F.lit(OFFSET)) % F.lit(n).cast("long")
 
 
 def uniform_groups(ids: DataFrame, groups: int, top: float = 100.0) -> DataFrame:
@@ -35,18 +45,28 @@ def uniform_groups(ids: DataFrame, groups: int, top: float = 100.0) -> DataFrame
 
 def zipf_ranges(ids: DataFrame, groups: int, theta: float) -> DataFrame:
     """(z, low, high): the share of the unit interval that belongs to each group."""
-    if groups > GROUP_BOUND:
-        raise ValueError(f"at most {GROUP_BOUND} groups")
     ranks = ids.sparkSession.range(groups).select(
-        F.col("id").alias("z"), (F.lit(1.0) / F.pow(F.col("id") + 1, F.lit(theta))).alias("weight")
+        F.col("id").alias("z"),
+        F.floor(F.col("id") / BLOCK).alias("block"),
+        (F.lit(1.0) / F.pow(F.col("id") + 1, F.lit(theta))).alias("weight"),
+    )
+    # running sums within blocks of groups, and over the blocks' totals: one row for each block
+    totals = ranks.groupBy("block").agg(F.sum("weight").alias("total"))
+    blocks = Window.orderBy("block")
+    starts = totals.select(
+        F.col("block").alias("_block"),
+        F.coalesce(F.sum("total").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"),
+        F.sum("total").over(blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
     )
-    # numbering and running sums over at most GROUP_BOUND rows
-    running = Window.orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("z").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = ranks.select("z", "weight", F.sum("weight").over(running).alias("upto"), F.sum("weight").over(whole).alias("all"))
-    high = F.when(F.col("z") == groups - 1, 1.0).otherwise(F.col("upto") / F.col("all"))
-    low = F.lag("high", 1, 0.0).over(Window.orderBy("z"))
-    return edges.select("z", high.alias("high")).select("z", low.alias("low"), "high")
+    in_block = Window.partitionBy("block").orderBy("z")
+    upto = F.sum("weight").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) + F.col("start")
+    high = F.when(F.col("z") == groups - 1, 1.0).otherwise(upto / F.col("all"))
+    edges = ranks.join(starts, F.col("block") == F.col("_block")).select("z", "block", high.alias("high"))
+    # a group begins exactly where the one before it ends, across blocks too
+    ends = edges.groupBy((F.col("block") + 1).alias("_block")).agg(F.max("high").alias("end"))
+    joined = edges.join(ends, F.col("block") == F.col("_block"), "left")
+    low = F.coalesce(F.lag("high").over(in_block), F.col("end"), F.lit(0.0))
+    return joined.select("z", low.alias("low"), "high")
 
 
 def zipf_groups(ids: DataFrame, groups: int, theta: float, top: float = 100.0) -> DataFrame:
@@ -66,8 +86,7 @@ def zipf_groups(ids: DataFrame, groups: int, theta: float, top: float = 100.0) -
     idx = F.col("idx")
     rows = ids.select("idx", uniform(idx, 0).alias("u"), (uniform(idx, 2) * top).alias("v"))
     rows = rows.select("*", F.floor(F.col("u") * cells).alias("cell"))
-    # at most cells + groups <= 17 * GROUP_BOUND short rows
-    found = rows.join(F.broadcast(listed), "cell").filter((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high")))
+    found = rows.join(sized(listed), "cell").filter((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high")))
     return found.select("idx", "z", "v")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrace.functions.exact import Aggregate, aggregate
-from rowtrace.operators.attach import attach, inequality_join, join_values, left_join, matching, measure, ordinal, over_groups, sized
+from rowtrace.operators.attach import attach, inequality_join, join_values, known_keys_join, left_join, matching, measure, ordinal, over_groups, sized
 from rowtrace.session import DEFAULT_LIMITS, Limits, keep
 
 On = Sequence[tuple[str, str]]
@@ -87,17 +87,18 @@ class Traced:
 
     def exists(self, inner: Traced, on: On, name: str = "sub", single: bool = False) -> Traced:
         """EXISTS / IN: each outer row also depends on every inner row it matches."""
-        # distinct first: a hot key on the inner side is reduced before the shuffle
-        known = inner.df.select(*dict.fromkeys(r for _, r in on)).distinct()
-        df = self.df.join(known, _pairs(on), "left_semi")
+        df = known_keys_join(self.df, inner.df, on, "left_semi")
         renamed = inner.df.select(*[F.col(r).alias(l) for l, r in on], *inner.rids)
         sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single)
         return Traced(df, self.rids, self.subs + (sub,) + inner.subs)
 
     def not_exists(self, inner: DataFrame, on: On) -> Traced:
         """NOT EXISTS: what is absent adds no dependency."""
-        known = inner.select(*dict.fromkeys(r for _, r in on)).distinct()
-        return replace(self, df=self.df.join(known, _pairs(on), "left_anti"))
+        return replace(self, df=known_keys_join(self.df, inner, on, "left_anti"))
+
+    def exists_only(self, inner: DataFrame, on: On) -> Traced:
+        """Keeps the rows that have a partner, as a filter that adds no dependency."""
+        return replace(self, df=known_keys_join(self.df, inner, on, "left_semi"))
 
     def not_in(self, column: str, inner: Traced, value: str, name: str = "sub", capture: str = "all") -> Traced:
         """NOT IN: depends on the whole inner result (capture="all") or on nothing ("none").
@@ -109,8 +110,7 @@ class Traced:
         facts = values.agg(
             F.count(F.lit(1)).alias("n"), F.count("_value").alias("known")
         ).select(F.struct("n", "known").alias("facts"))
-        known = values.filter("_value is not null").distinct()
-        df = self.df.join(known, F.col(column) == F.col("_value"), "left_anti")
+        df = known_keys_join(self.df, values, [(column, "_value")], "left_anti")
         df = df.withColumn("_facts", facts.scalar())
         df = df.filter(
             (F.col("_facts.n") == 0) | (F.col(column).isNotNull() & (F.col("_facts.n") == F.col("_facts.known")))
@@ -294,7 +294,7 @@ class Lineage:
                 continue
             frame = sub.frame
             if sub.link:
-                frame = frame.join(main.select(*sub.link).distinct(), list(sub.link), "left_semi")
+                frame = known_keys_join(frame, main, [(c, c) for c in sub.link], "left_semi")
             found.append((sub, frame.select(*sub.link, *sub.rids)))
         return found
 

@@ -268,8 +268,6 @@ def q12(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         c("l_commitdate") < c("l_receiptdate"),
         c("l_shipdate") < c("l_commitdate"),
         between_days("l_receiptdate", p["start"], p["end"]),
-        # a line is received 1 to 30 days after it is shipped: lets the scan skip files
-        c("l_shipdate").between(F.date_sub(day(p["start"]), 30), day(p["end"])),
     )
     high = F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
     rows = lines.join(scan(t.orders), [("l_orderkey", "o_orderkey")])
@@ -289,6 +287,7 @@ def q13(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     per_customer = t.customer.join(placed, c("c_custkey") == c("o_custkey"), "left").select(
         "c_custkey", F.coalesce("n", F.lit(0)).alias("c_count")
     )
+    per_customer = Traced(per_customer, ()).kept(reuse).df
     base = per_customer.groupBy("c_count").agg(F.count(F.lit(1)).alias("custdist"))
     return Lineage(
         core=rows.select("c_custkey", "o_orderkey"),
@@ -375,13 +374,14 @@ def q17(t: Tables, p: Params, reuse: bool = True) -> Lineage:
 def q18(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sums = t.lineitem.groupBy("l_orderkey").agg(ExactSum(cents("l_quantity")).column().alias("qty"))
     large = sums.filter(c("qty") > 100 * p["quantity"]).select("l_orderkey")
-    placed = scan(t.orders)
-    placed = Traced(placed.df.join(large, c("o_orderkey") == c("l_orderkey"), "left_semi"), placed.rids)
-    bought = placed.join(scan(t.customer), [("o_custkey", "c_custkey")])
-    rows = scan(t.lineitem).join(bought, [("l_orderkey", "o_orderkey")])
+    # the lines of the few large orders: what both the joined rows and the subquery's rows come from
+    few = scan(t.lineitem).exists_only(large, [("l_orderkey", "l_orderkey")])
+    few = few.select("l_orderkey", cents("l_quantity").alias("qty")).kept(reuse)
+    bought = scan(t.orders).join(scan(t.customer), [("o_custkey", "c_custkey")])
+    rows = few.join(bought, [("l_orderkey", "o_orderkey")])
     keys = ("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    rows = rows.select(*keys, cents("l_quantity").alias("qty")).kept(reuse)
-    looked_at = scan(t.lineitem).select(c("l_orderkey").alias("o_orderkey")).prefixed("sub_")
+    rows = rows.select(*keys, "qty").kept(reuse)
+    looked_at = few.select(c("l_orderkey").alias("o_orderkey")).prefixed("sub_")
     return Lineage(
         core=rows.depends_on(looked_at, ["o_orderkey"]),
         keys=keys,
@@ -421,11 +421,13 @@ def q20(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
+    parts = scan(t.part).where(c("p_name").like(p["name"]))
     shipped = scan(t.lineitem).where(between_days("l_shipdate", p["start"], p["end"]))
+    shipped = shipped.exists_only(parts.df, [("l_partkey", "p_partkey")])
     half = shipped.df.groupBy("l_partkey", "l_suppkey").agg(
         (F.lit(0.5) * F.sum("l_quantity")).alias("half")
     ).withColumnsRenamed({"l_partkey": "h_partkey", "l_suppkey": "h_suppkey"})
-    stock = scan(t.partsupp).join(scan(t.part).where(c("p_name").like(p["name"])), [("ps_partkey", "p_partkey")])
+    stock = scan(t.partsupp).join(parts, [("ps_partkey", "p_partkey")])
     ample = stock.df.join(half, (c("ps_partkey") == c("h_partkey")) & (c("ps_suppkey") == c("h_suppkey")))
     ample = ample.filter(c("ps_availqty") > c("half"))
     stock = Traced(ample, stock.rids).select("ps_partkey", "ps_suppkey").kept(reuse)
@@ -446,10 +448,13 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     placed = scan(t.orders).where(c("o_orderstatus") == p["status"])
     is_late = c("l_receiptdate") > c("l_commitdate")
     late_supplier = F.when(is_late, c("l_suppkey"))
-    # Several suppliers, exactly one of them late. One pass of partial aggregates
-    # replaces both existence tests, so lines of an order are never compared in pairs.
+    late = scan(t.lineitem).where(is_late).join(sellers, [("l_suppkey", "s_suppkey")])
+    rows = late.join(placed, [("l_orderkey", "o_orderkey")]).select("s_name", "l_orderkey").kept(reuse)
+    # Several suppliers, exactly one of them late. One pass of partial aggregates over the
+    # orders in question replaces both existence tests: lines are never compared in pairs.
+    asked = scan(t.lineitem).exists_only(rows.df, [("l_orderkey", "l_orderkey")])
     blamed = (
-        t.lineitem.groupBy(c("l_orderkey").alias("b_orderkey"))
+        asked.df.groupBy(c("l_orderkey").alias("b_orderkey"))
         .agg(
             F.min("l_suppkey").alias("first"),
             F.max("l_suppkey").alias("last"),
@@ -460,8 +465,6 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         .select("b_orderkey", "culprit")
     )
     blamed = Traced(blamed, ()).kept(reuse).df
-    late = scan(t.lineitem).where(is_late).join(sellers, [("l_suppkey", "s_suppkey")])
-    rows = late.join(placed, [("l_orderkey", "o_orderkey")])
     rows = Traced(rows.df.join(blamed, c("l_orderkey") == c("b_orderkey")), rows.rids)
     others = scan(t.lineitem).prefixed("sub_")
     others = Traced(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowtrace.session import fresh_path
+
 MONEY = "decimal(12,2)"
 
 
@@ -12,7 +15,7 @@ def money(name: str) -> Column:
     return F.col(name).cast(MONEY)
 
 
-# Columns of the base tables. Known ahead, so that no read starts with a look into the files.
+# Columns of the base tables that every folder has (partsupp as a whole may be missing), and their types.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -24,14 +27,11 @@ SCHEMAS = {
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
     "l_shipdate timestamp_ntz",
+    "partsupp": "ps_partkey long, ps_suppkey long, ps_availqty long, ps_supplycost double",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
 }
 
 
-def names(table: str) -> list[str]:
-    return [part.split()[0] for part in SCHEMAS[table].split(",")]
-
-
 def _text(*parts: Column | str) -> Column:
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.concat_ws("-", *[c.cast("string") for c in columns])
@@ -54,6 +54,10 @@ class Tables:
 
     rid="keys": ids made of the key columns, the same in any engine.
     rid="file": file path and position in the file, for tables without a key.
+
+    Columns that the files hold are read as they are (brought to the types below);
+    only those they lack are derived. A stored `partsupp` is read; otherwise it is
+    derived once for each `Tables` and written to the shared folder.
     """
 
     def __init__(self, spark: SparkSession, folder: str, rid: str = "keys"):
@@ -66,12 +70,21 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
-            self._raw[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._raw[name]
 
-    def with_rid(self, name: str, rid: str, keys: list[str], **derived: Column) -> DataFrame:
-        """Table, its row id, and derived columns (which may replace stored ones).
+    def stored(self, name: str) -> bool:
+        """Whether the folder has this table."""
+        try:
+            self.raw(name)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    def with_rid(self, name: str, rid: str, keys: list[str], days: tuple[str, ...] = (), **derived: Column) -> DataFrame:
+        """Table, its row id, and derived values for the columns that the files lack. `days` are brought to dates.
 
         `_metadata` has to be read next to the scan, hence one select for all.
         """
@@ -81,8 +94,19 @@ class Tables:
             value = F.concat_ws(
                 "#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
             )
-        stored = [c for c in names(name) if c not in derived]
-        return self.raw(name).select(*stored, value.alias(rid), *[v.alias(k) for k, v in derived.items()])
+        found = dict(self.raw(name).dtypes)
+        wanted = {part.split()[0]: part.split()[1].replace("long", "bigint") for part in SCHEMAS[name].split(",")}
+        columns = []
+        for column in dict.fromkeys([*wanted, *derived]):
+            if column not in found and column in derived:
+                columns.append(derived[column].alias(column))
+            elif column in days:
+                columns.append(F.col(column).cast("date").alias(column))
+            elif wanted.get(column, found.get(column)) != found.get(column) and column in found:
+                columns.append(F.col(column).cast(wanted[column]).alias(column))
+            else:
+                columns.append(F.col(column))
+        return self.raw(name).select(*columns, value.alias(rid))
 
     @property
     def region(self) -> DataFrame:
@@ -132,7 +156,7 @@ class Tables:
             "orders",
             "o_rid",
             ["o_orderkey"],
-            o_orderdate=F.col("o_orderdate").cast("date"),
+            days=("o_orderdate",),
             o_shippriority=F.lit(0),
             o_comment=F.when(F.col("o_orderkey") % 5 == 0, "special packages requests").otherwise("plain"),
         )
@@ -146,7 +170,7 @@ class Tables:
             "lineitem",
             "l_rid",
             ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-            l_shipdate=shipped,
+            days=("l_shipdate", "l_commitdate", "l_receiptdate"),
             l_commitdate=_shift(shipped, (order * 7 + line * 13 + part) % 61 - 30),
             l_receiptdate=_shift(shipped, (order * 5 + line * 11 + supp) % 30 + 1),
             l_shipmode=_pick((order + line) % 7, ["MAIL", "SHIP", "AIR", "AIR REG", "RAIL", "TRUCK", "FOB"]),
@@ -157,18 +181,25 @@ class Tables:
 
     @property
     def partsupp(self) -> DataFrame:
-        """One row per (part, supplier) that lineitem knows."""
-        pairs = self.raw("lineitem").groupBy("l_partkey", "l_suppkey")
-        return pairs.agg(
-            F.min("l_extendedprice").alias("ps_supplycost"),
-            F.sum(F.col("l_quantity").cast("int")).alias("ps_availqty"),
-        ).select(
-            _text("l_partkey", "l_suppkey").alias("ps_rid"),
-            F.col("l_partkey").alias("ps_partkey"),
-            F.col("l_suppkey").alias("ps_suppkey"),
-            "ps_supplycost",
-            "ps_availqty",
-        )
+        """The stored table, or one row per (part, supplier) that lineitem knows."""
+        if self.stored("partsupp"):
+            return self.with_rid("partsupp", "ps_rid", ["ps_partkey", "ps_suppkey"])
+        if "partsupp*" not in self._raw:
+            pairs = self.raw("lineitem").groupBy("l_partkey", "l_suppkey")
+            made = pairs.agg(
+                F.min("l_extendedprice").cast("double").alias("ps_supplycost"),
+                F.sum(F.col("l_quantity").cast("int")).alias("ps_availqty"),
+            ).select(
+                _text("l_partkey", "l_suppkey").alias("ps_rid"),
+                F.col("l_partkey").alias("ps_partkey"),
+                F.col("l_suppkey").alias("ps_suppkey"),
+                "ps_supplycost",
+                "ps_availqty",
+            )
+            path = fresh_path(self.spark, "partsupp")
+            made.write.parquet(path)
+            self._raw["partsupp*"] = self.spark.read.schema(made.schema).parquet(path)
+        return self._raw["partsupp*"]
 
     @property
     def events(self) -> DataFrame:
