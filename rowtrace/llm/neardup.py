@@ -14,14 +14,18 @@ cost one hash each.
 Texts with equal multisets are one node. Nodes that share a band are candidates;
 no bucket is expanded into pairs:
 
-1. Every node of a bucket is compared with the bucket's smallest node.
-2. Links found make components. In buckets that still hold several components,
-   nodes of different ones are compared. A bucket with very many nodes left is
-   first dealt again by its nodes' other bands.
-
-A candidate pair whose signatures agree far less than the threshold allows is
-dropped (at five standard deviations); for all others, the texts are fetched and the multisets
-compared. Classes are the components of the verified links.
+1. Every node of a bucket is compared with the bucket's smallest node by
+   signature; what agrees well enough (five standard deviations below the
+   threshold) is likely, and makes clusters.
+2. Nodes of one bucket but different clusters are compared by signature, in the
+   join. A bucket with very many of them is first dealt again by their other bands.
+3. Likely pairs are verified: the texts are fetched once, and the multisets compared.
+4. In clusters that verified links leave in several parts, blocks of bounded size
+   are compared with each other. A task returns only links that connect something.
+
+Step 4 is the only one whose work grows faster than a group: with the square of
+the near copies that are similar to each other, but mostly not similar enough.
+Classes are the components of the verified links.
 
 Defined cases: null, empty and blank texts are the empty multiset, all in one
 class; texts of fewer than five words are one run of all their words; texts are
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import Batches, boxed, in_arrow, slices, table, written
+from rowtrace.llm.common import Batches, boxed, in_arrow, ship, slices, table, written
 from rowtrace.llm.components import components
 from rowtrace.llm.hashing import mix
 from rowtrace.llm.substrings import LOWEST, Words
@@ -50,6 +54,7 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62  # five standard deviations below the threshold
 ENOUGH = int(LEAST_AGREEMENT * COMPONENTS)
+BLOCK = 128  # nodes of a cluster that are compared with as many others in one task
 BIG = 1000  # nodes of a bucket beyond which it is dealt by other bands as well
 BATCH_BYTES = 1 << 20
 ROW_COST = 2_000  # bytes that a text's signature takes while it is worked out, at least
@@ -235,21 +240,17 @@ class Search:
         both = left.join(short.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
         return both.filter(agreement(F.col("short_a"), F.col("short_b")) >= ENOUGH).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose texts reach the threshold. The texts are moved once, whatever the number of pairs."""
-        likely = written(pairs, "likely")
-        wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
+    def fetched(self, pairs: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in pairs (a, b)."""
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         places = written(self.nodes.join(wanted, "node").select("node", "at.k1", "at.k2"), "places")
         found = self.texts.select("k1", "k2", "text").join(places.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
-        fetched = written(found.dropDuplicates(["node"]) if has_repeated_rows(self.signed) else found, "texts")
-        with_a = likely.join(fetched.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
-        both = with_a.join(fetched.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        return in_arrow(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long")
-
-    def other_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components that share a bucket and whose signatures allow the threshold, but for those
-        with the bucket's pivot."""
-        placed = self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return written(found.dropDuplicates(["node"]) if has_repeated_rows(self.signed) else found, "texts")
+
+    def across(self, clusters: DataFrame) -> DataFrame:
+        """Pairs of nodes of different clusters that share a bucket and whose signatures allow the threshold, but for
+        those with the bucket's pivot."""
+        placed = self.members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = written(placed, "placed")
         mixed = (
             placed.groupBy(F.col("bucket").alias("_bucket"))
@@ -276,14 +277,88 @@ class Search:
         )
         return side.join(other, met).select(F.col("node").alias("a"), "b").distinct()
 
+    def within(self, clusters: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between nodes of one cluster that verified links don't connect yet.
+
+        A cluster is dealt into blocks, and every two blocks meet in one task, which
+        returns the links that connect something, not all it finds.
+        """
+        placed = clusters.withColumnRenamed("root", "cluster").join(roots, "node", "left")
+        placed = written(placed.select("node", "cluster", F.coalesce("root", "node").alias("root")), "clusters")
+        mixed = written(
+            placed.groupBy(F.col("cluster").alias("_cluster"))
+            .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("n"))
+            .filter("_low <> _high")
+            .select("_cluster", "n"),
+            "mixed",
+        )
+        rows = placed.join(mixed, F.col("cluster") == F.col("_cluster")).drop("_cluster")
+        rows = rows.join(self.nodes.select("node", "short"), "node").join(texts, "node")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("own", own)
+        meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = rows.select("node", "root", "short", "text", "cluster", "own", meets).select(
+            "node", "root", "short", "text", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        )
+        ship(self.texts.sparkSession)
+        return dealt.groupBy("cluster", "i", "j").applyInArrow(_link_block, "a long, b long")
+
+
+def _link_block(group: pa.Table) -> pa.Table:
+    nodes, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
+    short = np.array(group.column("short").to_pylist(), np.int8).reshape(len(nodes), -1)
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    texts = group.column("text").cast(pa.binary()).to_pylist()
+    links: list[tuple[int, int]] = []
+    if len(parent) > 1:
+        at = 0
+        for part in _runs_of([t or b"" for t in texts]):
+            text, element, weight = multisets(part)
+            edges = np.searchsorted(text, np.arange(len(part) + 1))
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                sets[at] = element[x:y], weight[x:y]
+                at += 1
+        for x in range(len(nodes)):
+            same = (short[x + 1 :] == short[x]).sum(axis=1)
+            # the likeliest first: what they connect, the others need not
+            for k in np.argsort(-same, kind="stable").tolist():
+                if same[k] < ENOUGH:
+                    break
+                y = x + 1 + k
+                a, b = find(int(roots[x])), find(int(roots[y]))
+                if a != b and similarity(sets[x], sets[y]) >= THRESHOLD:
+                    parent[a] = b
+                    links.append((int(nodes[x]), int(nodes[y])))
+    return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose texts reach the threshold."""
+    with_a = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+    both = with_a.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    return in_arrow(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long")
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 and class_id (the smallest id of the class; null if that is a null id) of every row."""
     search = Search(docs)
     stars = search.members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(search.verified(search.agreeing(stars)), "links")
+    near = written(search.agreeing(stars), "near")
+    clusters = written(components(near), "clusters")
+    likely = written(near.unionAll(search.across(clusters)), "likely")
+    texts = search.fetched(likely)
+    links = written(verified(likely, texts), "links")
     roots = written(components(links), "roots")
-    more = written(search.verified(search.other_pairs(roots)), "links")
+    more = written(search.within(clusters, roots, texts), "links")
     if more.limit(1).count():
         roots = written(components(links.unionAll(more)), "roots")
     rows = search.signed.select("doc_id", "k1", "k2", "node").join(roots, "node", "left")

@@ -208,6 +208,7 @@ def test_near_duplicate_classes(spark):
 
 def test_crowded_buckets_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BIG", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
     rows = near_rows()
     got = neardup.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows])).select("doc_id", "class_id").collect()
     want = list(zip([i for i, _ in rows], brute_classes(rows)[0], strict=True))
