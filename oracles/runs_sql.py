@@ -126,7 +126,7 @@ def stats_sql(names: Sequence[str]) -> str:
     """Rows, bytes and distinct ids of each id column of each query's lineage."""
     parts = []
     for name in names:
-        for rid in SPECS[name].rids:
+        for rid in [*SPECS[name].rids, *SPECS[name].sub_rids]:
             parts.append(
                 f"select '{name}' as query, '{rid}' as relation, count({rid}) as rows, cast(sum(length({rid})) as bigint) as bytes, "
                 f"count(distinct {rid}) as distinct_ids from ({lineage_sql(name)})"
@@ -141,15 +141,15 @@ def counts_sql(name: str) -> str:
 
 
 def sample_sql(name: str, rows: int) -> str:
-    return f"""select '{name}' as query, count(*) as outputs, min(n) as min_n, max(n) as max_n,
-      cast(sum(n) as double) / count(*) as avg_n from ({backward_sql(name, rows)})"""
+    return f"""select '{name}' as query, count(*) as outputs, coalesce(min(n), 0) as min_n, coalesce(max(n), 0) as max_n,
+      coalesce(cast(sum(n) as double) / count(*), 0.0) as avg_n from ({backward_sql(name, rows)})"""
 
 
 def sql() -> dict[str, str]:
     raw, both = f"with {RAW}", {}
     for label, keys in (("tpch", TPCH), ("micro", MICRO)):
         both[label] = f"with {chain(keys)},\n{logical(keys)},\n{native(keys)},\nwide as (select * from native union all by name select * from logical)\n"
-    measured = ("q03", "q04", "q05", "q12")
+    measured = tuple(SPECS)
     phases = f"""with {RAW}, {means(["query"], "labelled")},
       costs as (select query, max(runtime) filter (where lineage_type = 'SD_full') as native_capture,
         max(postprocess) filter (where lineage_type = 'SD_stats') as native_post,
@@ -211,14 +211,14 @@ def sql() -> dict[str, str]:
         "break_even": f"""{phases} select query, {r6("native_capture + native_post", "native")},
             {r6("logical_capture", "logical")}, cast(native_capture + native_post > logical_capture as bigint) as dearer from costs""",
         "lineage_stats": f"""select *, bytes::double / 1048576.0::double as mib, cast(ceil(rows / 1024.0) as bigint) as chunks
-            from ({stats_sql(measured)})""",
+            from ({stats_sql(measured)}) where rows > 0""",
         "fanout": f"""select *, case when base > 0 then n::double / base else 0.0 end as fanout from
-            ({" union all ".join(counts_sql(q) for q in (*measured, "q16", "q18"))})""",
+            ({" union all ".join(counts_sql(q) for q in measured)})""",
         "avg_lineage_size": f"""select sum(rows)::double / count(*) as avg_rows from
             (select query, max(rows) as rows from ({stats_sql(measured)}) group by all)""",
         "trace_by_key": f"select * from ({lineage_sql('q12')}) where l_shipmode = 'MAIL'",
-        "trace_sample": " union all ".join(sample_sql(q, 10) for q in ("q01", "q04", "q12", "q16", "q18")),
-        "trace_all": backward_sql("q09", 1_000_000),
+        "trace_sample": " union all ".join(sample_sql(q, 10) for q in measured),
+        "trace_all": " union all ".join(sample_sql(q, 1_000_000) for q in measured),
         "runs_avg": f"with {RAW}, {means(MICRO, 'labelled')} "
         + rounded([*MICRO, "lineage_type"], [*MEANS, *MAXIMA], "means"),
         "runs_avg_query": f"with {RAW}, {means(TPCH, 'labelled')} "

@@ -401,6 +401,16 @@ def _joined(spec: Spec) -> str:
     return "main cross join sub"
 
 
+def flat_sql(name: str, rows: int = 10) -> str:
+    """Main rows with every sub row they depend on, for the first outputs."""
+    spec = SPECS[name]
+    columns = [_column(c, kind) for c, kind in spec.outputs.items()]
+    columns += [f"cast({r} as varchar) as {r}" for r in [*spec.rids, *spec.sub_rids]]
+    keys = ", ".join(spec.trace)
+    chosen = f"select {keys} from ranked order by {keys} limit {rows}"
+    return _with(spec) + f"select {', '.join(columns)} from {_joined(spec)} semi join ({chosen}) w using ({keys})"
+
+
 def backward_sql(name: str, rows: int = 10) -> str:
     spec = SPECS[name]
     rids = [*spec.rids, *spec.sub_rids]

@@ -22,13 +22,13 @@ def by_key(lineage: DataFrame, wanted: DataFrame, keys: Sequence[str], bound: in
 
 
 def sizes(lineage: Lineage, keys: Sequence[str], rows: int | None) -> DataFrame:
-    """Smallest, largest and mean lineage size over the first `rows` outputs (None: all)."""
+    """Smallest, largest and mean lineage size over the first `rows` outputs (None: all); 0 without outputs."""
     counted = lineage.backward(keys, rows)
     return counted.agg(
         F.count(F.lit(1)).alias("outputs"),
-        F.min("n").alias("min_n"),
-        F.max("n").alias("max_n"),
-        (F.sum("n").cast("double") / F.count(F.lit(1))).alias("avg_n"),
+        F.coalesce(F.min("n"), F.lit(0)).alias("min_n"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("max_n"),
+        F.coalesce(F.sum("n").cast("double") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_n"),
     )
 
 

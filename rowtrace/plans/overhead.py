@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowtrace.operators.attach import matching
 from rowtrace.operators.trace import agreement, by_key, id_counts, originals, sizes
 from rowtrace.plans.params import DECORRELATED, TRACE_KEYS
-from rowtrace.plans.tpch import query
+from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.session import fresh_path
 from rowtrace.sources.runs import read_runs, union_families
 from rowtrace.sources.sinks import write_csv
@@ -426,16 +426,13 @@ def csv_families(t: Tables) -> DataFrame:
 
 # -- measures of the captured lineage itself ---------------------------------------
 
-MEASURED = ("q03", "q04", "q05", "q12")
-
-
 def lineage_stats(t: Tables) -> DataFrame:
     parts = [
         id_counts(query(q, t).frame()).select(
             F.lit(q).alias("query"), "relation", "rows", "bytes", "distinct_ids",
             (c("bytes").cast("double") / MIB).alias("mib"), F.ceil(c("rows") / 1024).cast("long").alias("chunks"),
         )
-        for q in MEASURED
+        for q in QUERIES
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -443,7 +440,7 @@ def lineage_stats(t: Tables) -> DataFrame:
 def fanout(t: Tables) -> DataFrame:
     """Joined lineage rows per output row; 0 for an empty result."""
     parts = []
-    for q in (*MEASURED, "q16", "q18"):
+    for q in QUERIES:
         lineage = query(q, t)
         total = lineage.backward(())
         base = lineage.result().agg(F.count(F.lit(1))).scalar()
@@ -455,7 +452,7 @@ def fanout(t: Tables) -> DataFrame:
 
 def avg_lineage_size(t: Tables) -> DataFrame:
     stats = lineage_stats(t).groupBy("query").agg(F.max("rows").alias("rows"))
-    return stats.agg((F.sum("rows").cast("double") / F.count(F.lit(1))).alias("avg_rows"))
+    return stats.agg((F.coalesce(F.sum("rows"), F.lit(0)).cast("double") / len(QUERIES)).alias("avg_rows"))
 
 
 def trace_by_key(t: Tables) -> DataFrame:
@@ -465,13 +462,13 @@ def trace_by_key(t: Tables) -> DataFrame:
 
 def trace_sample(t: Tables, rows: int | None = 10) -> DataFrame:
     parts = []
-    for q in ("q01", "q04", "q12", "q16", "q18"):
+    for q in QUERIES:
         parts.append(sizes(query(q, t), TRACE_KEYS[q], rows).select(F.lit(q).alias("query"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def trace_all(t: Tables) -> DataFrame:
-    return query("q09", t).backward(TRACE_KEYS["q09"])
+    return trace_sample(t, None)
 
 
 def _base(t: Tables, name: str, rid: str) -> DataFrame:
