@@ -177,7 +177,7 @@ def sql() -> dict[str, str]:
             nchunks::double as nchunks, postprocess::double as postprocess from raw""",
         "runs_index_label": f"{raw} select r, op, index_scan, index_join, sel from labelled",
         "plan_flatten": f"""{raw} select r, 'CREATE_TABLE_AS0' as name, mat_time as timing from raw union all
-            select r, 'HASH_GROUP_BY1', op_runtime from raw union all
+            select r, replace(op, '_mtm', '') || '1', op_runtime from raw union all
             select r, 'SEQ_SCAN2', runtime * 0.3::double from raw""",
         "plan_total": f"{raw} select r, plan_runtime as total from raw",
         "plan_op": f"{raw} select r, op_runtime as timing from raw",

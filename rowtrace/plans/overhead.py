@@ -66,16 +66,17 @@ def raw_runs(t: Tables) -> DataFrame:
         kind == "purchase", F.when(ident % 2 == 0, F.concat_ws(",", size, (ident % 40).cast("string"))).otherwise(size)
     )
 
-    def node(name: str, share: float, below: Column) -> Column:
+    def node(name: Column, share: float, below: Column) -> Column:
         return F.concat(
-            F.lit(f'{{"name": "{name}", "timing": '), (value * share).cast("string"), F.lit(', "children": ['), below,
+            F.lit('{"name": "'), name, F.lit('", "timing": '), (value * share).cast("string"), F.lit(', "children": ['), below,
             F.lit("]}"),
         )
 
-    plan = node("CREATE_TABLE_AS", 0.1, node("HASH_GROUP_BY", 0.6, node("SEQ_SCAN", 0.3, F.lit(""))))
+    op = _choice(c("user_id") % 6, OPERATORS)
+    plan = node(F.lit("CREATE_TABLE_AS"), 0.1, node(stem(op), 0.6, node(F.lit("SEQ_SCAN"), 0.3, F.lit(""))))
     return t.raw("events").select(
         number.alias("query"),
-        _choice(c("user_id") % 6, OPERATORS).alias("op"),
+        op.alias("op"),
         ident.alias("r"),
         value.alias("runtime"),
         label.alias("lineage_type"),
@@ -103,16 +104,26 @@ def query_class(number: Column) -> Column:
     )
 
 
+def stem(op: Column) -> Column:
+    """Name of a plan's node for an operator: the many-to-many form of a join runs as the join."""
+    return F.regexp_replace(op, "_mtm$", "")
+
+
 def flat_plan(plan: Column) -> Column:
-    """Nested plan text -> map from operator name + position to its time, depth first.
+    """Plan text -> map from operator name + position to its time, depth first.
 
-    Nodes appear in the text in that order, each with its name before its time.
+    Nested nodes appear in the text in that order, each with its name before its
+    time. A flat text has names (numbered already) and times side by side.
     """
-    pattern = F.lit(r'"name": "([A-Za-z_]+)", "timing": ([-+.0-9Ee]+)')
-    names = F.regexp_extract_all(plan, pattern, F.lit(1))
-    times = F.regexp_extract_all(plan, pattern, F.lit(2))
-    numbered = F.transform(names, lambda name, i: F.concat(name, i.cast("string")))
-    return F.map_from_arrays(numbered, F.transform(times, lambda x: x.cast("double")))
+    nested, flat = F.lit(r'"name":\s*"([^"]+)",\s*"timing":\s*([-+.0-9Ee]+)'), F.lit(r"""['"]([^'"]+)['"]\s*:\s*([-+.0-9Ee]+)""")
+
+    def parts(pattern: Column, numbered: bool) -> Column:
+        names = F.regexp_extract_all(plan, pattern, F.lit(1))
+        times = F.transform(F.regexp_extract_all(plan, pattern, F.lit(2)), lambda x: x.cast("double"))
+        named = F.transform(names, lambda name, i: F.concat(name, i.cast("string"))) if numbered else names
+        return F.map_from_arrays(named, times)
+
+    return F.when(plan.contains('"children"'), parts(nested, True)).otherwise(parts(flat, False))
 
 
 def plan_total(plan: Column) -> Column:
@@ -121,8 +132,7 @@ def plan_total(plan: Column) -> Column:
 
 def plan_op(plan: Column, prefix: Column) -> Column:
     """Time of the first operator whose name starts with `prefix` (a trailing _mtm is ignored)."""
-    stem = F.regexp_replace(prefix, "_mtm$", "")
-    return F.filter(F.map_entries(plan), lambda e: F.startswith(e["key"], stem))[0]["value"]
+    return F.filter(F.map_entries(plan), lambda e: F.startswith(e["key"], stem(prefix)))[0]["value"]
 
 
 def plan_mat(plan: Column) -> Column:
@@ -156,7 +166,7 @@ def runs(t: Tables) -> DataFrame:
     timed = flat.select(
         "*",
         plan_total(c("flat")).alias("plan_runtime"),
-        plan_op(c("flat"), F.lit("HASH_GROUP_BY")).alias("op_runtime"),
+        plan_op(c("flat"), c("op")).alias("op_runtime"),
         plan_mat(c("flat")).alias("mat_time"),
         query_class(c("query")).alias("qtype"),
     ).drop("flat")
@@ -543,7 +553,7 @@ def jobs() -> dict[str, Job]:
         "runs_index_label": lambda t: with_index_label(raw_runs(t)).select("r", "op", "index_scan", "index_join", "sel"),
         "plan_flatten": lambda t: raw_runs(t).select("r", F.explode(flat_plan(c("plan"))).alias("name", "timing")),
         "plan_total": lambda t: raw_runs(t).select("r", plan_total(flat_plan(c("plan"))).alias("total")),
-        "plan_op": lambda t: raw_runs(t).select("r", plan_op(flat_plan(c("plan")), F.lit("HASH_GROUP_BY_mtm")).alias("timing")),
+        "plan_op": lambda t: raw_runs(t).select("r", plan_op(flat_plan(c("plan")), c("op")).alias("timing")),
         "plan_mat": lambda t: raw_runs(t).select("r", plan_mat(flat_plan(c("plan"))).alias("timing")),
         "query_class": lambda t: raw_runs(t).select("r", "query", query_class(c("query")).alias("qtype")),
         "net_of_parse": lambda t: raw_runs(t).filter(c("index_scan") == "True").select(

@@ -47,6 +47,9 @@ def build_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "row
     return spark
 
 
+_own_folder: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, as the session names it.
 
@@ -59,9 +62,11 @@ def work_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="rowtrace-")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="rowtrace-"))
+    return _own_folder[0]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
