@@ -38,5 +38,27 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Windows of 20 words, all but the first occurrence of each, and the words they cover.
+SUBSTRING_DEDUP = r"""
+with texts as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+windows as (
+  select doc_id, start, array_to_string(words[start:start + 19], ' ') as content
+  from (select doc_id, words, unnest(generate_series(1, len(words) - 19)) as start from texts)),
+repeats as (
+  select doc_id, start from windows
+  qualify row_number() over (partition by content order by doc_id, start) > 1),
+covered as (select distinct doc_id, unnest(generate_series(start, start + 19)) as place from repeats),
+placed as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from texts),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by place) as content
+  from placed anti join covered using (doc_id, place) group by doc_id)
+select t.doc_id, len(t.words) as n_words, len(t.words) - coalesce(k.n, 0) as n_removed,
+       sha256(coalesce(k.content, '')) as kept_sha256
+from texts t left join kept k using (doc_id)"""
+
+
 def sql() -> dict[str, str]:
-    return {}
+    """The other queries rest on learned models, signatures, trees, checksums or iterations that SQL lacks."""
+    return {"op2_substring_dedup": SUBSTRING_DEDUP}

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from samples import documents, empty, sentence, texts
 from tokenizers import Tokenizer
 
-from rowtrace.llm import decontamination, merkle, neardup, substrings, tokens
+from rowtrace.llm import decontamination, merkle, neardup, registry, substrings, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,6 +47,15 @@ def test_repeated_words_are_removed(spark):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((i, *want[i, t])) for i, t in rows)
 
 
+def test_removed_words_equal_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = con.execute(registry.sql()["op2_substring_dedup"]).fetchall()
+    got = substrings.op2_substring_dedup(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("length", [6, 13])
 def test_repeats_in_dense_text(spark, length):
     r = random.Random(length)
