@@ -244,6 +244,16 @@ def test_page_text(spark, group_pages):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_open_blocks_beside_main_ones(spark):
+    menu = f"<div>{sentence(1, 12)}</div>"
+    rows = [
+        (i, f"http://h.example/{i}", f"{menu}<article>teaser {i}</article><div><p>Part {i}</p><p>{sentence(900 + i, 30)}</p></div>")
+        for i in range(4)
+    ]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"teaser {i}\n\nPart {i}\n\n{sentence(900 + i, 30)}" for i in range(4)}
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(45)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 350)]
