@@ -254,6 +254,19 @@ def test_open_blocks_beside_main_ones(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"teaser {i}\n\nPart {i}\n\n{sentence(900 + i, 30)}" for i in range(4)}
 
 
+def test_repeats_across_groups_of_a_host(spark):
+    twice = {0: 5, 1: 5, 7: 6, 30: 6, 11: 7, 12: 7, 103: 5}  # page and passage; 103 is of another host
+    rows = [
+        (i, f"http://{'a' if i < 100 else 'b'}.example/{i}", f"<div>{sentence(2000 + i, 20)}</div><div>{sentence(twice.get(i, 3000 + i), 15)}</div>")
+        for i in [*range(40), *range(100, 140)]
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = html.extract_main_text(df, 1000).collect()
+    dealt = html.extract_main_text(df.repartition(3), 2).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, dealt))
+    assert {r["page_id"] for r in dealt if "\n\n" not in r["text"]} == {0, 1, 7, 30, 11, 12}
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(45)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 350)]
