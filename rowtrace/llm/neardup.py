@@ -18,13 +18,16 @@ no bucket is expanded into pairs:
    signature; what agrees well enough (five standard deviations below the
    threshold) is likely, and makes clusters.
 2. Nodes of one bucket but different clusters are compared by signature, in the
-   join. A bucket with very many of them is first dealt again by their other bands.
+   join. A bucket with very many of them is dealt into blocks of bounded size, each
+   two of which meet in one task; it returns only links that connect clusters, and
+   clusters so connected are one from then on.
 3. Likely pairs are verified: the texts are fetched once, and the multisets compared.
 4. In clusters that verified links leave in several parts, blocks of bounded size
    are compared with each other. A task returns only links that connect something.
 
-Step 4 is the only one whose work grows faster than a group: with the square of
-the near copies that are similar to each other, but mostly not similar enough.
+Steps 2 and 4 are those whose work grows faster than a group: with the square of
+the nodes that share a bucket but not a cluster, and of the near copies that are
+similar to each other, but mostly not similar enough.
 Classes are the components of the verified links.
 
 Defined cases: null, empty and blank texts are the empty multiset, all in one
@@ -55,7 +58,7 @@ COMPONENTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62  # five standard deviations below the threshold
 ENOUGH = int(LEAST_AGREEMENT * COMPONENTS)
 BLOCK = 128  # nodes of a cluster that are compared with as many others in one task
-BIG = 1000  # nodes of a bucket beyond which it is dealt by other bands as well
+BIG = 1000  # nodes of a bucket beyond which it is dealt into blocks of as many
 BATCH_BYTES = 1 << 20
 ROW_COST = 2_000  # bytes that a text's signature takes while it is worked out, at least
 
@@ -249,7 +252,7 @@ class Search:
 
     def across(self, clusters: DataFrame) -> DataFrame:
         """Pairs of nodes of different clusters that share a bucket and whose signatures allow the threshold, but for
-        those with the bucket's pivot."""
+        those with the bucket's pivot; of large buckets only pairs that connect all clusters which any pair does."""
         placed = self.members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = written(placed, "placed")
         mixed = (
@@ -263,19 +266,24 @@ class Search:
             "open",
         )
         known = open_.join(self.nodes.select("node", "bands", "short"), "node")
-        small = known.filter(F.col("n") <= BIG).select("node", "root", "short", "bucket", F.lit(0).cast("long").alias("sub"))
-        large = known.filter(F.col("n") > BIG)
-        large = large.select("node", "root", "short", "bucket", F.explode("bands").alias("sub")).filter("sub <> bucket")
-        side = written(small.unionAll(large), "sides")
-        other = side.withColumnsRenamed({"node": "b", "root": "_root", "short": "_short", "bucket": "_bucket", "sub": "_sub"})
+        side = written(known.filter(F.col("n") <= BIG).select("node", "root", "short", "bucket"), "sides")
+        other = side.withColumnsRenamed({"node": "b", "root": "_root", "short": "_short", "bucket": "_bucket"})
         met = (
             (F.col("bucket") == F.col("_bucket"))
-            & (F.col("sub") == F.col("_sub"))
             & (F.col("node") < F.col("b"))
             & (F.col("root") != F.col("_root"))
             & (agreement(F.col("short"), F.col("_short")) >= ENOUGH)
         )
-        return side.join(other, met).select(F.col("node").alias("a"), "b").distinct()
+        small = side.join(other, met).select(F.col("node").alias("a"), "b").distinct()
+        blocks = F.ceil(F.col("n") / BIG).cast("int")
+        large = known.filter(F.col("n") > BIG).select("node", "root", "short", "bucket", blocks.alias("blocks"))
+        large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "node", "root", "short", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        )
+        ship(self.texts.sparkSession)
+        connecting = dealt.groupBy("bucket", "i", "j").applyInArrow(_connect_block, "a long, b long").distinct()
+        return small.withColumn("connecting", F.lit(False)).unionAll(connecting.withColumn("connecting", F.lit(True)))
 
     def within(self, clusters: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
         """Links between nodes of one cluster that verified links don't connect yet.
@@ -305,6 +313,32 @@ class Search:
         return dealt.groupBy("cluster", "i", "j").applyInArrow(_link_block, "a long, b long")
 
 
+def _connect_block(group: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a bucket (or of one with itself) that connect their clusters, by signature."""
+    nodes, roots, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
+    short = np.array(group.column("short").to_pylist(), np.int8).reshape(len(nodes), -1)
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    links: list[tuple[int, int]] = []
+    for k, x in enumerate(left.tolist()):
+        others = right[k + 1 :] if i == j else right
+        likely = (short[others] == short[x]).sum(axis=1) >= ENOUGH
+        for y in others[likely & (roots[others] != roots[x])].tolist():
+            a, b = find(int(roots[x])), find(int(roots[y]))
+            if a != b:
+                parent[a] = b
+                links.append((min(int(nodes[x]), int(nodes[y])), max(int(nodes[x]), int(nodes[y]))))
+    return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
 def _link_block(group: pa.Table) -> pa.Table:
     nodes, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
     short = np.array(group.column("short").to_pylist(), np.int8).reshape(len(nodes), -1)
@@ -354,7 +388,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = search.members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     near = written(search.agreeing(stars), "near")
     clusters = written(components(near), "clusters")
-    likely = written(near.unionAll(search.across(clusters)), "likely")
+    across = written(search.across(clusters), "across")
+    connecting = across.filter("connecting").select("a", "b")
+    if connecting.limit(1).count():
+        clusters = written(components(near.unionAll(connecting)), "clusters")
+    likely = written(near.unionAll(across.select("a", "b")), "likely")
     texts = search.fetched(likely)
     links = written(verified(likely, texts), "links")
     roots = written(components(links), "roots")

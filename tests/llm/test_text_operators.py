@@ -225,6 +225,23 @@ def test_crowded_buckets_are_dealt_again(spark, monkeypatch):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
 
 
+def test_pairs_of_a_crowded_bucket_need_no_other_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BIG", 2)
+    r = np.random.default_rng(4)
+    shorts = {n: r.integers(-128, 128, neardup.COMPONENTS).tolist() for n in range(1, 10)}
+    shorts[9] = shorts[5]
+    shorts[6] = shorts[5][:-20] + shorts[1][-20:]
+    search = neardup.Search.__new__(neardup.Search)
+    search.texts = documents(spark, [])
+    search.members = spark.createDataFrame([(7, n, 1) for n in shorts], "bucket long, node long, pivot long")
+    search.nodes = spark.createDataFrame([(n, [7, 100 + n], s) for n, s in shorts.items()], "node long, bands array<long>, short array<tinyint>")
+    pairs = search.across(spark.createDataFrame([], "node long, root long")).collect()
+    parts = {n: n for n in shorts}
+    for a, b in sorted((p["a"], p["b"]) for p in pairs):
+        parts = {n: parts[a] if root == parts[b] else root for n, root in parts.items()}
+    assert len({parts[n] for n in (5, 6, 9)}) == 1 and len(set(parts.values())) == 7
+
+
 def test_signatures_are_unbiased():
     r = random.Random(3)
     for _ in range(4):
