@@ -6,8 +6,10 @@ the counting tokens of every window of a benchmark item, for each of a few fixed
 masks, are joined with those of every window of every document. A hit puts the
 item beside the document at one offset; there tokens are compared position by
 position, and the best stretch (+1 for equal, -2 for different tokens) is the
-overlap: it goes on over substituted tokens. A document is contaminated by an item
-if the overlap has enough equal tokens, and enough of the item's.
+overlap: it goes on over substituted tokens. Stretches at nearby offsets (words
+inserted or left out between them) are added up. A document is contaminated by an
+item if the overlap has enough equal tokens, and enough of the item's or enough in
+one stretch.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size, each
 of which is sent to all tasks, and every document meets every block. Documents are
@@ -35,6 +37,9 @@ from rowtrace.llm.hashing import mix, powers, word_hashes
 MASKS = ("111111", "11010111", "1100101101", "1010011011")
 LEAST_TOKENS = 8
 LEAST_SHARE = 0.5
+LONG_STRETCH = 13  # equal tokens in one stretch that are enough of any item
+LEAST_STRETCH = 6  # equal tokens of a stretch that is added to others
+NEAR = 8  # tokens between the offsets of stretches that are added up
 PENALTY = 2
 BLOCK_BYTES = 8 << 20  # of benchmark text in a block
 BATCH_BYTES = 2 << 20
@@ -103,13 +108,15 @@ class Block:
             found_b.append(self.places[np.repeat(low, counts) + offsets])
         return np.concatenate(found_d), np.concatenate(found_b)
 
-    def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, first token in the text, equal tokens) of the best overlap of each text and item that meet."""
+    def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first token in the text, equal tokens, those of the best stretch) of the best overlap of each
+        text and item that meet."""
         at, place = self.hits(hashes, first)
         text = np.searchsorted(first, at, side="right") - 1
         item = np.searchsorted(self.first, place, side="right") - 1
         begin = (at - first[text]) - (place - self.first[item])
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        found: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         if not len(at):
             return []
         for t, b, offset in np.unique(np.column_stack((text, item, begin)), axis=0).tolist():
@@ -120,7 +127,14 @@ class Block:
             start, equal = best_stretch(ours == theirs)
             if equal > best.get((t, b), (0, 0))[1]:
                 best[t, b] = (low + start, equal)
-        return [(t, b, start, equal) for (t, b), (start, equal) in best.items()]
+            same = ours == theirs
+            for begin_, end in stretches(same):
+                found.setdefault((t, b), []).append((offset, low + begin_ + np.flatnonzero(same[begin_:end])))
+        whole = []
+        for (t, b), (start, equal) in best.items():
+            more = joined(found.get((t, b), []))
+            whole.append((t, b, *(more if more[1] > equal else (start, equal)), equal))
+        return whole
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -132,6 +146,42 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, int(equal[start:end].sum())
 
 
+def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the stretches that have LEAST_STRETCH equal tokens, each up to its best end; none overlap."""
+    found: list[tuple[int, int]] = []
+    parts = [(0, len(equal))]
+    while parts:
+        low, high = parts.pop()
+        sums = np.concatenate(([0], np.cumsum(np.where(equal[low:high], 1, -PENALTY))))
+        score = sums - np.minimum.accumulate(sums)
+        zeros = np.flatnonzero(score == 0)
+        stops = np.append(zeros[1:], len(score))
+        for k in np.flatnonzero(stops - zeros > LEAST_STRETCH).tolist():
+            a, b = int(zeros[k]), int(stops[k])
+            end = a + int(np.argmax(score[a:b]))
+            if equal[low + a : low + end].sum() >= LEAST_STRETCH:
+                found.append((low + a, low + end))
+            if b - end > LEAST_STRETCH:
+                parts.append((low + end, low + b - 1))
+    return found
+
+
+def joined(found: list[tuple[int, np.ndarray]]) -> tuple[int, int]:
+    """First token in the text and equal tokens of the stretches (offset, equal tokens in the text) at nearby offsets
+    that have the most together; no token counts twice, in the text or in the item."""
+    best = (0, 0)
+    if len(found) < 2:
+        return best
+    found = sorted(found, key=lambda x: x[0])
+    breaks = [k for k in range(1, len(found)) if found[k][0] - found[k - 1][0] > NEAR]
+    for a, b in zip([0, *breaks], [*breaks, len(found)], strict=True):
+        ours = np.unique(np.concatenate([at for _, at in found[a:b]]))
+        theirs = np.unique(np.concatenate([at - offset for offset, at in found[a:b]]))
+        if min(len(ours), len(theirs)) > best[1]:
+            best = int(ours[0]), min(len(ours), len(theirs))
+    return best
+
+
 def matcher(shared, least_tokens: int, least_share: float, id_type: pa.DataType, item_type: pa.DataType) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         block: Block = shared.value
@@ -140,9 +190,9 @@ def matcher(shared, least_tokens: int, least_share: float, id_type: pa.DataType,
                 hashes, first = tokens([t or "" for t in batch.column("text").to_pylist()])
                 names = batch.column("doc_id")
                 rows = []
-                for t, b, start, equal in block.overlaps(hashes, first):
+                for t, b, start, equal, stretch in block.overlaps(hashes, first):
                     length = int(block.first[b + 1] - block.first[b])
-                    if equal >= least_tokens and equal >= least_share * length:
+                    if equal >= least_tokens and (equal >= least_share * length or stretch >= LONG_STRETCH):
                         rows.append((names[t].as_py(), block.ids[b], start, equal, equal / length))
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (id_type, item_type, pa.int64(), pa.int64(), pa.float64())

@@ -99,6 +99,30 @@ def test_overlaps_with_substitutions(spark):
     assert decontamination.overlaps(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_overlaps_in_parts():
+    item = sentence(80, 60).split()
+    block = decontamination.Block([(1, " ".join(item)), (2, " ".join(sentence(81, 300).split()))])
+    around = [sentence(82, 40), sentence(83, 40)]
+    spread = [*item[:20], "inserted", *item[20:40], "again", *item[40:]]
+    back = [*item[:20], "inserted", *item[20:40], *item[41:]]
+    texts_ = [around[0] + " " + " ".join(x) + " " + around[1] for x in (spread, back, sentence(81, 300).split()[50:150], item[5:18], item[5:17])]
+    hashes, first = decontamination.tokens(texts_)
+    got = {(t, b): (start, equal, stretch) for t, b, start, equal, stretch in block.overlaps(hashes, first)}
+    assert got[0, 0][:2] == (40, 60) and got[1, 0][:2] == (40, 59)
+    assert got[2, 1] == (40, 100, 100)
+    assert got[3, 0][2] == 13 and got[4, 0][2] == 12
+
+
+def test_passages_shorter_than_half_an_item(spark):
+    words = sentence(81, 300).split()
+    spread = sentence(80, 60).split()
+    spread = [*spread[:20], "inserted", *spread[20:40], "again", *spread[40:]]
+    rows = [(1, " ".join(words[50:150]), "s"), (2, " ".join(words[50:62]), "s"), (3, " ".join(spread), "s"), (4, sentence(84, 300), "s")]
+    bench = spark.createDataFrame([(1, sentence(80, 60)), (2, " ".join(words))], "item_id long, text string")
+    got = decontamination.overlaps(documents(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["equal_tokens"]) for r in got) == [(1, 2, 100), (3, 1, 60)]
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t, _ in texts() if i is not None]
     ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
