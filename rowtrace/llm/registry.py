@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtrace.llm.decontamination import op3_decontamination
+from rowtrace.llm.divergence import SQL as DIVERGENCE
+from rowtrace.llm.divergence import op13_source_divergence
 from rowtrace.llm.html import op9_html_extraction
 from rowtrace.llm.merkle import op5_fingerprints
 from rowtrace.llm.mixing import op10_mixing
 from rowtrace.llm.neardup import op8_near_duplicates
+from rowtrace.llm.pieces import op11_pieces
+from rowtrace.llm.ranking import SQL as RANKING
+from rowtrace.llm.ranking import op12_ranked_search
 from rowtrace.llm.sharding import op6_sharding
 from rowtrace.llm.substrings import op2_substring_dedup
 from rowtrace.llm.tokens import op7_token_counts
@@ -34,6 +39,9 @@ def queries() -> dict[str, Query]:
             op8_near_duplicates,
             op9_html_extraction,
             op10_mixing,
+            op11_pieces,
+            op12_ranked_search,
+            op13_source_divergence,
         )
     }
 
@@ -61,4 +69,8 @@ from texts t left join kept k using (doc_id)"""
 
 def sql() -> dict[str, str]:
     """The other queries rest on learned models, signatures, trees, checksums or iterations that SQL lacks."""
-    return {"op2_substring_dedup": SUBSTRING_DEDUP}
+    return {
+        "op2_substring_dedup": SUBSTRING_DEDUP,
+        "op12_ranked_search": RANKING,
+        "op13_source_divergence": DIVERGENCE,
+    }
