@@ -42,8 +42,9 @@ SPACE = "▁"  # fixed value: how the model writes a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: kinds of pieces in a model file
 BATCH_BYTES = 2 << 20
 REMEMBERED = 64  # characters of a stretch, at most
-STRETCHES = 300_000
+STRETCHES = 400_000  # in each of two tables
 PAIRS = 2_000_000
+NEVER = float("-inf")
 
 
 @dataclass
@@ -94,10 +95,11 @@ class Model:
         self.stretches = re.compile(r"(?s:.+)" if inner else rf"{mark}*[^{mark}]+|{mark}+")
         self.known = re.compile(rf"[{letters}]+") if letters else re.compile(r"(?!)")
         self.names = [str(i) for i in range(len(self.pieces))]
-        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.surfaces = [self._surface(i) for i in range(len(self.pieces))]
         self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, tuple[list[float], list[str], list[str]]] = {}  # one for each piece, at most
         self.seen: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     # -- encoding -----------------------------------------------------------------
 
@@ -115,13 +117,47 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [len(p) for p in parts]
 
+    def history(self, number: int) -> tuple[list[float], list[str], list[str]]:
+        """How a piece grows by itself: scores of its merges, and its first and last part before each of them and after."""
+        parts = list(self.text_of[number])
+        scores, firsts, lasts = [], [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            best, at = max((self.ranked.get(parts[i] + parts[i + 1], NEVER), -i) for i in range(len(parts) - 1))
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            scores.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        scores.append(NEVER)
+        self.histories[number] = scores, firsts, lasts
+        return self.histories[number]
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the two pieces side by side stay as they are."""
+        """Whether the two pieces side by side stay as they are.
+
+        Until a merge crosses their border, both grow as they do alone, the better merge of the two first and the left
+        one of equal ones; a pair across the border is merged when neither is better (the right one not even equal).
+        """
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        a, b = self.text_of[left], self.text_of[right]
-        known = self.pairs[left * self.span + right] = self.merge(a + b) == [len(a), len(b)]
-        return known
+        one, _, ends = self.histories.get(left) or self.history(left)
+        two, starts, _ = self.histories.get(right) or self.history(right)
+        ranked = self.ranked.get
+        i = j = 0
+        while True:
+            a, b = one[i], two[j]
+            across = ranked(ends[i] + starts[j], NEVER)
+            if across > a and across >= b and across > NEVER:
+                fits = False
+                break
+            if a == b == NEVER:
+                fits = True
+                break
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+        self.pairs[left * self.span + right] = fits
+        return fits
 
     def last_pieces(self, text: str) -> list[int]:
         """For each prefix of a text of known characters, the last piece of its encoding."""
@@ -174,6 +210,16 @@ class Model:
             found += self._as_bytes(character)
         return found
 
+    def recalled(self, stretch: str) -> list[int]:
+        """Ids of a stretch that the younger table lacks. Full, it becomes the older one: what is in use comes back."""
+        ids = self.older.get(stretch) or self.stretch_ids(stretch)
+        if len(stretch) <= REMEMBERED:
+            if len(self.seen) >= STRETCHES:
+                self.older = dict(self.seen)
+                self.seen.clear()
+            self.seen[stretch] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -181,16 +227,9 @@ class Model:
         if self.dummy_prefix:
             marked = SPACE + marked
         found: list[int] = []
-        seen = self.seen
+        known = self.seen.get
         for stretch in self.stretches.findall(marked):
-            ids = seen.get(stretch)
-            if ids is None:
-                ids = self.stretch_ids(stretch)
-                if len(stretch) <= REMEMBERED:
-                    if len(seen) >= STRETCHES:
-                        seen.clear()
-                    seen[stretch] = ids
-            found += ids
+            found += known(stretch) or self.recalled(stretch)
         if not self.byte_fallback:  # unknown characters side by side are one unknown piece
             found = [i for k, i in enumerate(found) if i != self.unknown or k == 0 or found[k - 1] != self.unknown]
         return found
@@ -200,7 +239,7 @@ class Model:
     def _surface(self, number: int) -> bytes:
         kind, piece = self.kinds[number], self.pieces[number]
         if kind == CONTROL:
-            return b""
+            return b"\xff"  # in no text: `decode` takes the long way
         if kind == UNKNOWN:
             return self.unknown_surface.encode("utf-8")
         if kind == BYTE:
@@ -209,17 +248,21 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; each byte that belongs to no character reads as U+FFFD."""
-        first = next((k for k, i in enumerate(ids) if self.kinds[i] != CONTROL), len(ids))
-        parts: list[bytes] = [b""]  # control pieces are not seen, but bytes on their two sides do not meet
-        for inside, run in groupby(ids[first:], lambda i: self.kinds[i] != CONTROL) if self.controls & set(ids) else [(True, ids)]:
-            if inside:
-                parts.append(b"".join([self.surfaces[i] for i in run]))
-        if self.dummy_prefix and first < len(ids) and self.kinds[ids[first]] == NORMAL:
-            parts[1] = parts[1].removeprefix(b" ")
+        data = b"".join(map(self.surfaces.__getitem__, ids))
         try:
-            return "".join([p.decode("utf-8") for p in parts])
+            text = data.decode("utf-8")
         except UnicodeDecodeError:
-            return "".join(map(tolerant, parts))
+            return self._decode_parts(ids)
+        return text[1:] if self.dummy_prefix and ids and text[0] == " " and self.kinds[ids[0]] == NORMAL else text
+
+    def _decode_parts(self, ids: list[int]) -> str:
+        """With control pieces, which are not seen, though bytes on their two sides do not meet, or broken characters."""
+        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+        parts = [
+            tolerant(b"".join([self.surfaces[i] for i in run])) for control, run in groupby(ids, lambda i: self.kinds[i] == CONTROL) if not control
+        ]
+        text = "".join(parts)
+        return text.removeprefix(" ") if self.dummy_prefix and first is not None and self.kinds[first] == NORMAL else text
 
 
 def tolerant(data: bytes) -> str:
@@ -304,7 +347,7 @@ def digests(docs: DataFrame, model: Model) -> DataFrame:
             for text in texts:
                 ids = here.encode(text)
                 counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(",".join([here.names[i] for i in ids]).encode()).hexdigest())
+                ids_digests.append(hashlib.sha256(",".join(map(here.names.__getitem__, ids)).encode()).hexdigest())
                 text_digests.append(hashlib.sha256(here.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)],
