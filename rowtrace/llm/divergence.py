@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ TOP = 10
 SEGMENT = 1 << 13  # terms of a segment
 BLOCK = 64  # groups of a block; blocks of a language are compared two at a time
 BATCH_BYTES = 4 << 20
-ENTRIES = 400_000  # term counts that a task holds before it hands them on
+ENTRIES = 1_000_000  # term counts that a task holds before it hands them on
 CELLS = 1 << 21  # pairs of groups times terms that are followed at once
 
 _term = re.compile(rb"[a-z\x80-\xff]+")
@@ -56,7 +56,7 @@ def terms(text: str) -> list[bytes]:
 
 
 def _rows(counts: dict[tuple[str, str], Counter], docs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """One row of each language and term: documents, and counts by source."""
+    """One row of each language and term: documents, count, and counts by source."""
     by_lang: dict[str, list[tuple[str, Counter]]] = {}
     for (lang, source), counted in counts.items():
         by_lang.setdefault(lang, []).append((source, counted))
@@ -74,9 +74,10 @@ def _rows(counts: dict[tuple[str, str], Counter], docs: dict[str, Counter]) -> I
                 pa.array([lang] * len(found), pa.string()),
                 pa.array([t.decode("utf-8") for t in found], pa.string()),
                 pa.array(list(docs[lang].values()), pa.int64()),
+                pa.array(np.add.reduceat(numbers[order], ends[:-1]) if len(found) else numbers),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
             ],
-            names=["lang", "term", "docs", "counts"],
+            names=["lang", "term", "docs", "n", "counts"],
         )
         for begin in range(0, len(found), 20_000):
             yield whole.slice(begin, 20_000)
@@ -104,8 +105,8 @@ def _counted(batches: Batches) -> Batches:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs, counts by source) of parts of the documents; a term has a row for each part that holds it."""
-    schema = "lang string, term string, docs long, counts array<struct<source:string,n:long>>"
+    """(lang, term, docs, n, counts by source) of parts of the documents; a term has a row for each part that holds it."""
+    schema = "lang string, term string, docs long, n long, counts array<struct<source:string,n:long>>"
     return in_arrow(docs.select("text", "lang", "source"), _counted, schema)
 
 
@@ -175,7 +176,7 @@ def prices(trees: Trees, totals: np.ndarray, left: np.ndarray, right: np.ndarray
     return out
 
 
-def _priced(key: tuple, counts: pa.Table, groups: pa.Table) -> pa.Table:
+def _priced(block: int, key: tuple, counts: pa.Table, groups: pa.Table) -> pa.Table:
     """One segment and two blocks: a row (lang, one, two, value) for each pair of groups of the two blocks."""
     lang, _, low, high = (k.as_py() for k in key)
     number, total, width = (groups.column(c).to_numpy() for c in ("number", "total", "width"))
@@ -186,7 +187,7 @@ def _priced(key: tuple, counts: pa.Table, groups: pa.Table) -> pa.Table:
         row = np.searchsorted(number, counts.column("number").to_numpy())
         matrix[row, counts.column("place").to_numpy()] = counts.column("n").to_numpy()
     one, two = np.triu_indices(len(number), 1)
-    wanted = (number[one] // BLOCK == low) & (number[two] // BLOCK == high)
+    wanted = (number[one] // block == low) & (number[two] // block == high)
     one, two = one[wanted], two[wanted]
     value = prices(Trees(matrix), total, one, two)
     return pa.table(
@@ -195,6 +196,10 @@ def _priced(key: tuple, counts: pa.Table, groups: pa.Table) -> pa.Table:
     )
 
 
+def pricing(block: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    return lambda key, counts, groups: _priced(block, key, counts, groups)
+
+
 # -- the audit --------------------------------------------------------------------
 
 
@@ -204,25 +209,23 @@ def _share(count: Column, words: Column, kept: Column) -> Column:
     return F.floor(F.call_function("div", wide, (words + 2 * kept).cast("decimal(20,0)"))).cast("long") + 1
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, segment: int = SEGMENT) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: each group's distance to the other groups of its language (part `pair`),
     and the terms that set it most apart from the language (part `term`)."""
     spark = docs.sparkSession
     ship(spark)
     named = docs.select("text", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in ("lang", "source")])
     parts = written(term_counts(named), "terms")
-    kept = parts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("total")
-    )
+    kept = parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"))
     kept = kept.filter(F.col("docs") >= least_docs).select("lang", "term", "total", (-F.col("total")).alias("order"))
     ranked = prefix_sums(kept, ["order", "term"], [], ["lang"])
     ranked = written(ranked.select("lang", "term", "total", F.col("before_rows").alias("id")), "ids")
     langs = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_words"))
-    single = parts.select("lang", "term", F.explode("counts").alias("x")).select("lang", "term", "x.source", "x.n")
-    summed = single.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    keys = ranked.select(F.col("lang").alias("_l"), F.col("term").alias("_t"), "total", "id")
-    counts = summed.join(keys, (F.col("lang") == F.col("_l")) & (F.col("term") == F.col("_t")))
-    counts = written(counts.select("lang", "source", "term", "id", "n", "total"), "counts")
+    # the many rare terms go before the counts are taken apart; Spark sends the kept ones to all tasks if they are few
+    keys = ranked.select(F.col("lang").alias("_l"), F.col("term").alias("_t"), "id")
+    known = parts.join(keys, (F.col("lang") == F.col("_l")) & (F.col("term") == F.col("_t")))
+    single = known.select("lang", "id", F.inline("counts"))
+    counts = written(single.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), "counts")
 
     present = named.select("lang", "source").distinct()
     words = counts.groupBy("lang", "source").agg(F.sum("n").alias("words"))
@@ -237,16 +240,16 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, segment
         ),
         "groups",
     )
-    result = _pairs(counts, groups, segment).unionByName(_terms(counts, groups, top))
+    result = _pairs(counts, groups, segment, block).unionByName(_terms(counts, ranked, groups, top))
     return result.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
-def _pairs(counts: DataFrame, groups: DataFrame, segment: int) -> DataFrame:
+def _pairs(counts: DataFrame, groups: DataFrame, segment: int, size: int) -> DataFrame:
     """Every other source of each group's language, by falling distance."""
-    blocks = groups.groupBy(F.col("lang").alias("_b")).agg((F.max("number") / BLOCK).cast("long").alias("last_block"))
+    blocks = groups.groupBy(F.col("lang").alias("_b")).agg((F.max("number") / size).cast("long").alias("last_block"))
     # a block of groups meets every block of its language, so its counts are sent once for each
     meetings = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_block"))).alias("other")
-    block = F.floor(F.col("number") / BLOCK).cast("long")
+    block = F.floor(F.col("number") / size).cast("long")
     unit = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
     placed = groups.join(blocks, F.col("lang") == F.col("_b"))
     rows = counts.join(
@@ -267,7 +270,7 @@ def _pairs(counts: DataFrame, groups: DataFrame, segment: int) -> DataFrame:
     sides = sides.select("lang", "segment", *unit, "number", "total", "width")
     sides = sides.toDF(*sides.columns)  # columns of its own: both sides come from `groups`
     keys = ["lang", "segment", "low", "high"]
-    priced = rows.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(_priced, "lang string, one long, two long, value long")
+    priced = rows.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(pricing(size), "lang string, one long, two long, value long")
     priced = priced.groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))
     both = priced.unionAll(priced.select("lang", F.col("two").alias("one"), F.col("one").alias("two"), "value"))
     both = both.select(F.col("lang").alias("_pl"), F.col("one").alias("_one"), F.col("two").alias("_two"), "value")
@@ -282,10 +285,12 @@ def _pairs(counts: DataFrame, groups: DataFrame, segment: int) -> DataFrame:
     return valued.withColumn("rank", F.row_number().over(ranked))
 
 
-def _terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+def _terms(counts: DataFrame, ranked: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """The terms that a group has more of than its language, by falling price, up to rank `top`."""
     sides = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "words", "kept", "lang_words")
-    rows = counts.join(sides, (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s")))
+    rows = counts.join(sides, (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s"))).drop("_l", "_s")
+    names = ranked.select(F.col("lang").alias("_l"), F.col("id").alias("_i"), "term", "total")
+    rows = rows.join(names, (F.col("lang") == F.col("_l")) & (F.col("id") == F.col("_i")))
     rows = rows.select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
         _share(F.col("n"), F.col("words"), F.col("kept")).alias("p"),
@@ -293,8 +298,8 @@ def _terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     ).filter(F.col("p") > F.col("q"))
     gap = F.col("p") - F.col("q")
     valued = rows.select("lang", "source", "part", "item", F.call_function("div", gap * gap, F.col("p") + F.col("q")).alias("value"))
-    ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    return valued.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
+    best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    return valued.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
