@@ -77,8 +77,12 @@ def in_arrow(df: DataFrame, job: Callable[[Batches], Batches], schema: str) -> D
 def slices(batch: pa.RecordBatch, column: str, limit: int, row_cost: int = 0) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `limit` bytes each; a longer text is a slice of its own. `row_cost` is
     added for each row."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    group = np.cumsum(sizes + row_cost) // limit
+    yield from slices_by(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64) + row_cost, limit)
+
+
+def slices_by(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose rows have about `limit` together; a larger row is a slice of its own."""
+    group = np.cumsum(sizes) // limit
     edges = (np.flatnonzero(np.diff(group)) + 1).tolist()
     for start, stop in zip([0, *edges], [*edges, len(sizes)], strict=True):
         if stop > start:
