@@ -18,12 +18,15 @@ no bucket is expanded into pairs:
    signature; what agrees well enough (five standard deviations below the
    threshold) is likely, and makes clusters.
 2. Nodes of one bucket but different clusters are compared by signature, in the
-   join. A bucket with very many of them is dealt into blocks of bounded size, each
-   two of which meet in one task; it returns only links that connect clusters, and
-   clusters so connected are one from then on.
-3. Likely pairs are verified: the texts are fetched once, and the multisets compared.
-4. In clusters that verified links leave in several parts, blocks of bounded size
-   are compared with each other. A task returns only links that connect something.
+   join or, where a bucket has very many of them, in blocks of bounded size, each
+   two of which meet in one task. Only links that connect clusters come out, one for
+   each two clusters, and clusters so connected are one from then on.
+3. Each node's likeliest pair is verified, and the pairs of step 2: the texts are
+   fetched once, and the multisets compared.
+4. In clusters that verified links leave in several parts, nodes of different parts
+   are compared exactly: blocks of bounded size meet in one task, which counts common
+   elements through an inverted list and returns the links that connect something.
+   Nodes of the largest part are not compared with each other.
 
 Steps 2 and 4 are those whose work grows faster than a group: with the square of
 the nodes that share a bucket but not a cluster, and of the near copies that are
@@ -57,7 +60,8 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62  # five standard deviations below the threshold
 ENOUGH = int(LEAST_AGREEMENT * COMPONENTS)
-BLOCK = 128  # nodes of a cluster that are compared with as many others in one task
+BLOCK = 1024  # nodes of a cluster that are compared with as many others in one task
+BLOCK_BYTES = 4 << 20  # of their texts
 BIG = 1000  # nodes of a bucket beyond which it is dealt into blocks of as many
 BATCH_BYTES = 1 << 20
 ROW_COST = 2_000  # bytes that a text's signature takes while it is worked out, at least
@@ -237,22 +241,21 @@ class Search:
         )
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose signatures allow the threshold."""
+        """Of pairs (a, b), those whose signatures allow the threshold, and in how many components they agree."""
         short = self.nodes.select("node", "short")
         left = pairs.join(short.withColumnsRenamed({"node": "a", "short": "short_a"}), "a")
         both = left.join(short.withColumnsRenamed({"node": "b", "short": "short_b"}), "b")
-        return both.filter(agreement(F.col("short_a"), F.col("short_b")) >= ENOUGH).select("a", "b")
+        return both.select("a", "b", agreement(F.col("short_a"), F.col("short_b")).alias("same")).filter(F.col("same") >= ENOUGH)
 
-    def fetched(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in pairs (a, b)."""
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        places = written(self.nodes.join(wanted, "node").select("node", "at.k1", "at.k2"), "places")
+    def fetched(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in `wanted`, which has each once."""
+        places = written(self.nodes.join(wanted.select("node"), "node").select("node", "at.k1", "at.k2"), "places")
         found = self.texts.select("k1", "k2", "text").join(places.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
         return written(found.dropDuplicates(["node"]) if has_repeated_rows(self.signed) else found, "texts")
 
     def across(self, clusters: DataFrame) -> DataFrame:
-        """Pairs of nodes of different clusters that share a bucket and whose signatures allow the threshold, but for
-        those with the bucket's pivot; of large buckets only pairs that connect all clusters which any pair does."""
+        """Pairs (a, b) of nodes that share a bucket and whose signatures allow the threshold: enough of them to connect all
+        clusters which any such pair connects, and at most one for two clusters and, in large buckets, block."""
         placed = self.members.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = written(placed, "placed")
         mixed = (
@@ -268,13 +271,13 @@ class Search:
         known = open_.join(self.nodes.select("node", "bands", "short"), "node")
         side = written(known.filter(F.col("n") <= BIG).select("node", "root", "short", "bucket"), "sides")
         other = side.withColumnsRenamed({"node": "b", "root": "_root", "short": "_short", "bucket": "_bucket"})
-        met = (
-            (F.col("bucket") == F.col("_bucket"))
-            & (F.col("node") < F.col("b"))
-            & (F.col("root") != F.col("_root"))
-            & (agreement(F.col("short"), F.col("_short")) >= ENOUGH)
+        met = (F.col("bucket") == F.col("_bucket")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("_root"))
+        alike = agreement(F.col("short"), F.col("_short"))
+        pairs = side.join(other, met & (alike >= ENOUGH)).select(
+            F.col("node").alias("a"), "b", alike.alias("same"), F.least("root", "_root").alias("r"), F.greatest("root", "_root").alias("s")
         )
-        small = side.join(other, met).select(F.col("node").alias("a"), "b").distinct()
+        # the likeliest pair of each two clusters
+        small = pairs.groupBy("r", "s").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b")
         blocks = F.ceil(F.col("n") / BIG).cast("int")
         large = known.filter(F.col("n") > BIG).select("node", "root", "short", "bucket", blocks.alias("blocks"))
         large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -283,32 +286,42 @@ class Search:
         )
         ship(self.texts.sparkSession)
         connecting = dealt.groupBy("bucket", "i", "j").applyInArrow(_connect_block, "a long, b long").distinct()
-        return small.withColumn("connecting", F.lit(False)).unionAll(connecting.withColumn("connecting", F.lit(True)))
+        return small.unionAll(connecting)
 
     def within(self, clusters: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
         """Links between nodes of one cluster that verified links don't connect yet.
 
-        A cluster is dealt into blocks, and every two blocks meet in one task, which
+        The nodes of a cluster's largest part and the others are dealt into blocks
+        apart. Two blocks meet in one task, unless both are of the largest part; it
         returns the links that connect something, not all it finds.
         """
         placed = clusters.withColumnRenamed("root", "cluster").join(roots, "node", "left")
         placed = written(placed.select("node", "cluster", F.coalesce("root", "node").alias("root")), "clusters")
-        mixed = written(
-            placed.groupBy(F.col("cluster").alias("_cluster"))
-            .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("n"))
-            .filter("_low <> _high")
-            .select("_cluster", "n"),
-            "mixed",
+        parts = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = (
+            parts.groupBy(F.col("cluster").alias("_cluster"))
+            .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+            .filter("parts > 1")
+            .select("_cluster", F.col("most.root").alias("largest"), F.col("most.n").alias("n_largest"), "all")
+        )
+        mixed = written(mixed, "mixed")
+        sizes = placed.join(mixed, F.col("cluster") == F.col("_cluster")).drop("_cluster").join(texts, "node")
+        sizes = written(sizes.withColumn("inner", F.col("root") == F.col("largest")), "compared")
+        heavy = sizes.groupBy(F.col("cluster").alias("_cluster"), F.col("inner").alias("_inner")).agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / BLOCK_BYTES)).cast("int").alias("blocks")
+        )
+        counts = heavy.groupBy("_cluster").agg(
+            F.max(F.when(F.col("_inner"), F.col("blocks"))).alias("inner_blocks"), F.max(F.when(~F.col("_inner"), F.col("blocks"))).alias("outer_blocks")
         )
-        rows = placed.join(mixed, F.col("cluster") == F.col("_cluster")).drop("_cluster")
-        rows = rows.join(self.nodes.select("node", "short"), "node").join(texts, "node")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("blocks", blocks).withColumn("own", own)
-        meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = rows.select("node", "root", "short", "text", "cluster", "own", meets).select(
-            "node", "root", "short", "text", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        rows = sizes.join(counts, F.col("cluster") == F.col("_cluster"))
+        # blocks of the largest part are numbered after the others; those meet all, these only the others
+        own = F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(F.xxhash64("node"), F.col("inner_blocks"))).otherwise(
+            F.pmod(F.xxhash64("node"), F.col("outer_blocks"))
         )
+        others = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks"))
+        dealt = rows.select(
+            "node", "root", "text", "cluster", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))).alias("other")
+        ).select("node", "root", "text", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         ship(self.texts.sparkSession)
         return dealt.groupBy("cluster", "i", "j").applyInArrow(_link_block, "a long, b long")
 
@@ -339,9 +352,33 @@ def _connect_block(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
 
+class Holders:
+    """Which of some sets hold an element."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(element, kind="stable")
+        self.count, self.element, self.owner = len(sets), element[order], owner[order]
+
+    def common(self, elements: np.ndarray) -> np.ndarray:
+        """How many of the distinct `elements` each set holds."""
+        low = np.searchsorted(self.element, elements, side="left")
+        n = np.searchsorted(self.element, elements, side="right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=self.count)
+
+
+def occurrences(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence of the elements of a multiset: the common ones of two are their common weight."""
+    number = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return mix(np.repeat(element, weight) + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 64)
+
+
 def _link_block(group: pa.Table) -> pa.Table:
-    nodes, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
-    short = np.array(group.column("short").to_pylist(), np.int8).reshape(len(nodes), -1)
+    """Verified links of two blocks of a cluster (or of one with itself) that connect their parts."""
+    nodes, roots, own = (group.column(c).to_numpy() for c in ("node", "root", "own"))
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     parent = {r: r for r in roots.tolist()}
 
     def find(r: int) -> int:
@@ -350,29 +387,26 @@ def _link_block(group: pa.Table) -> pa.Table:
             r = parent[r]
         return r
 
-    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    texts = group.column("text").cast(pa.binary()).to_pylist()
     links: list[tuple[int, int]] = []
-    if len(parent) > 1:
-        at = 0
-        for part in _runs_of([t or b"" for t in texts]):
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    if len(parent) > 1 and len(left) and len(right):
+        whole: list[np.ndarray] = []  # occurrences of each node
+        for part in _runs_of([t or b"" for t in group.column("text").cast(pa.binary()).to_pylist()]):
             text, element, weight = multisets(part)
             edges = np.searchsorted(text, np.arange(len(part) + 1))
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                sets[at] = element[x:y], weight[x:y]
-                at += 1
-        for x in range(len(nodes)):
-            same = (short[x + 1 :] == short[x]).sum(axis=1)
-            # the likeliest first: what they connect, the others need not
-            for k in np.argsort(-same, kind="stable").tolist():
-                if same[k] < ENOUGH:
-                    break
-                y = x + 1 + k
+            whole += [occurrences(element[x:y], weight[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        total = np.array([len(w) for w in whole])
+        holders = Holders([whole[y] for y in right])
+        for x in left.tolist():
+            common = holders.common(whole[x])
+            united = total[x] + total[right] - common
+            alike = np.where(united > 0, common >= THRESHOLD * united, True) & (roots[right] != roots[x])
+            for y in right[alike].tolist():
                 a, b = find(int(roots[x])), find(int(roots[y]))
-                if a != b and similarity(sets[x], sets[y]) >= THRESHOLD:
+                if a != b:
                     parent[a] = b
                     links.append((int(nodes[x]), int(nodes[y])))
-    return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -387,14 +421,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     search = Search(docs)
     stars = search.members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     near = written(search.agreeing(stars), "near")
-    clusters = written(components(near), "clusters")
+    clusters = written(components(near.select("a", "b")), "clusters")
     across = written(search.across(clusters), "across")
-    connecting = across.filter("connecting").select("a", "b")
-    if connecting.limit(1).count():
-        clusters = written(components(near.unionAll(connecting)), "clusters")
-    likely = written(near.unionAll(across.select("a", "b")), "likely")
-    texts = search.fetched(likely)
-    links = written(verified(likely, texts), "links")
+    if across.limit(1).count():
+        clusters = written(components(near.select("a", "b").unionAll(across)), "clusters")
+    texts = search.fetched(clusters)
+    best = near.groupBy("a").agg(F.max(F.struct("same", "b")).alias("best")).select("a", "best.b")
+    links = written(verified(best.unionAll(across), texts), "links")
     roots = written(components(links), "roots")
     more = written(search.within(clusters, roots, texts), "links")
     if more.limit(1).count():
