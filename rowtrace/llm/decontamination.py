@@ -17,7 +17,8 @@ not moved.
 
 Defined cases: null and empty texts have no tokens; items with fewer tokens than
 the least overlap contaminate nothing; equal items are each reported; repeated
-documents are each judged; items without an id are reported with a null id; an
+documents are each judged, also those that share an id (or have none) and differ in
+their texts; items without an id are reported with a null id; an
 empty table gives an empty result; other columns are left alone.
 """
 
@@ -188,17 +189,17 @@ def matcher(shared, least_tokens: int, least_share: float, id_type: pa.DataType,
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 hashes, first = tokens([t or "" for t in batch.column("text").to_pylist()])
-                names = batch.column("doc_id")
+                names, keys = batch.column("doc_id"), batch.column("text_key")
                 rows = []
                 for t, b, start, equal, stretch in block.overlaps(hashes, first):
                     length = int(block.first[b + 1] - block.first[b])
                     if equal >= least_tokens and (equal >= least_share * length or stretch >= LONG_STRETCH):
-                        rows.append((names[t].as_py(), block.ids[b], start, equal, equal / length))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (id_type, item_type, pa.int64(), pa.int64(), pa.float64())
+                        rows.append((names[t].as_py(), keys[t].as_py(), block.ids[b], start, equal, equal / length))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (id_type, pa.int64(), item_type, pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["doc_id", "item_id", "start", "equal_tokens", "share"],
+                    names=["doc_id", "text_key", "item_id", "start", "equal_tokens", "share"],
                 )
 
     return run
@@ -211,14 +212,14 @@ def _arrow_type(kind: str) -> pa.DataType:
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, least_tokens: int = LEAST_TOKENS, least_share: float = LEAST_SHARE, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """doc_id, item_id, start, equal_tokens, share of every document and item that overlap enough."""
+    """doc_id, text_key (a hash of the text), item_id, start, equal_tokens, share of every document and item that overlap enough."""
     spark = docs.sparkSession
     items = benchmark.filter(F.length("text") > 0).select("item_id", "text")
     sized = prefix_sums(items.withColumn("bytes", F.octet_length("text").cast("long")), ["item_id", "text"], ["bytes"])
     blocks = cut(sized.select("item_id", "text", F.floor(F.col("before_bytes") / block_bytes).alias("block")))
     last = blocks.agg(F.max("block")).first()[0]
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, equal_tokens long, share double"
+    schema = f"doc_id {kinds[0]}, text_key long, item_id {kinds[1]}, start long, equal_tokens long, share double"
     result = None
     for number in range(0 if last is None else last + 1):
         rows = blocks.filter(F.col("block") == number).orderBy("item_id", "text").collect()  # at most block_bytes and an item
@@ -226,18 +227,20 @@ def overlaps(
             continue
         shared = spark.sparkContext.broadcast(Block([(r["item_id"], r["text"]) for r in rows]))
         job = matcher(shared, least_tokens, least_share, _arrow_type(kinds[0]), _arrow_type(kinds[1]))
-        found = in_arrow(docs.select("doc_id", "text"), job, schema)
+        found = in_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), job, schema)
         result = found if result is None else result.unionAll(found)
     return spark.createDataFrame([], schema) if result is None else result
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no benchmark item overlaps."""
-    leaked = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    rows = boxed(docs, F.col("doc_id").alias("id"))
-    return rows.join(leaked, F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
+    """The documents that no benchmark item overlaps. Rows are told apart by id and text, so neither other texts of the
+    same id nor other rows without an id go with a contaminated one."""
+    leaked = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked"), "text_key").distinct(), "leaked")
+    rows = boxed(docs, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    same = (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("leaked"))
+    return rows.join(leaked, same, "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of doc_id and item_id that overlap, with the place and size of the overlap."""
-    return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")

@@ -16,12 +16,15 @@ source misses its target by half a short document, provided its target lies with
 
 Defined cases: null texts have size 0; documents of size 0 are given no copies;
 null sources are a source of their own, last in order; repeated rows are mixed
-independently; ties in the hash go by id and place; an empty table gives an empty
+each, and may have different numbers of copies; sources whose rates do not settle
+within the steps are reported by a warning; ties in the hash go by id and place; an empty table gives an empty
 result; further columns are left alone.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ SHARE = 1.5
 CEILING = 2
 STEPS = 60
 TOLERANCE = 1e-6
+BROADCAST_ROWS = 100_000  # rows of numbers and ids that may be sent to all tasks
 
 
 def source_targets(
@@ -115,6 +119,9 @@ def balance(histogram: DataFrame, targets: DataFrame, ceiling: int = CEILING, st
         )
         if not ended.agg(F.max("_open")).first()[0]:
             break
+    else:
+        gap = ended.agg(F.sum("_open"), F.max(F.abs(excess) / F.col("target"))).first()
+        warnings.warn(f"{gap[0]} sources are not balanced after {steps} steps, by up to {gap[1]} of their target", stacklevel=2)
     return state
 
 
@@ -192,13 +199,32 @@ def mix(docs: DataFrame, ceiling: int = CEILING, weights: tuple[int, ...] = WEIG
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it. Rows equal in id and text share the largest of their copies."""
-    counts = mix(docs).groupBy("hash", F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies"))
-    taken = written(counts.filter("copies > 0"), "copies")
-    rows = boxed(docs, F.xxhash64("doc_id", "text").alias("row_hash"), F.col("doc_id").alias("row_id"))
-    same = (F.col("row_hash") == F.col("hash")) & F.col("row_id").eqNullSafe(F.col("id"))
-    joined = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return joined.select("row.*")
+    """The documents, each as often as the mix takes it. Where rows equal in id, text and source have different numbers
+    of copies, they are numbered and the larger number goes to as many of them as have it in the mix."""
+    counts = mix(docs).groupBy("hash", F.col("doc_id").alias("id"), F.col("source").alias("from")).agg(
+        F.min("copies").cast("int").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")
+    )
+    # copies of equal rows differ by one at most: they have the same rate
+    more = (F.col("all") - F.col("least") * F.col("n")).alias("more")
+    taken = written(counts.filter(F.col("all") > 0).select("hash", "id", "from", "least", more), "copies")
+    rows = boxed(docs, F.xxhash64("doc_id", "text").alias("row_hash"), F.col("doc_id").alias("row_id"), F.col("source").alias("row_source"))
+    same = (
+        (F.col("row_hash") == F.col("hash"))
+        & F.col("row_id").eqNullSafe(F.col("id"))
+        & F.col("row_source").eqNullSafe(F.col("from"))
+    )
+
+    def repeated(df: DataFrame, copies: Column) -> DataFrame:
+        several = df.withColumn("copies", copies).filter("copies > 0")
+        return several.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+    even = repeated(rows.join(taken.filter("more = 0"), same), F.col("least"))
+    mixed = taken.filter("more > 0")  # a few groups of equal rows in each source: those at which it reaches its target
+    if not mixed.limit(1).count():
+        return even
+    uneven = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, same)
+    numbered = prefix_sums(uneven.select("row", "hash", "id", "from", "least", "more"), ["least"], [], ["hash", "id", "from"])
+    return even.unionAll(repeated(numbered, F.col("least") + (F.col("before_rows") < F.col("more")).cast("int")))
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from samples import documents, empty, sentence, texts
 
-from rowtrace.llm import html, mixing, sharding, toxicity, urls
+from rowtrace.llm import decontamination, html, mixing, sharding, toxicity, urls
 from rowtrace.llm.common import prefix_sums, table, word_count
 from rowtrace.llm.components import components
 
@@ -267,6 +267,80 @@ def test_repeats_across_groups_of_a_host(spark):
     assert {r["page_id"] for r in dealt if "\n\n" not in r["text"]} == {0, 1, 7, 30, 11, 12}
 
 
+def test_pages_without_claims_equal_brute_force(spark):
+    """No article or main anywhere: the repeats on the host decide about every block, in one group or many."""
+    r = random.Random(5)
+    shared = [sentence(40 + k, 10) for k in range(6)]
+    pages = {}
+    for i in range(30):
+        parts = [sentence(6000 + 20 * i + k, r.randint(1, 30)) for k in range(4)] + r.sample(shared, 3)
+        r.shuffle(parts)
+        pages[i] = parts
+    rows = [(i, f"https://{'x' if i < 20 else 'y'}.example/{i}", "".join(f"<div>{p}</div>" for p in parts)) for i, parts in pages.items()]
+    rows += [rows[3], (None, "https://x.example/a", f"<div>{shared[0]}</div><p>{sentence(7777, 12)}</p>"), (None, None, None)]
+
+    def host_tokens(found):
+        return [w for p in found for w in [*p.split(), None]]
+
+    def kept(i):
+        here = host_tokens(pages[i])
+        others = {tuple(t[k : k + 8]) for j, p in pages.items() if j != i and (j < 20) == (i < 20) for t in [host_tokens(p)] for k in range(len(t) - 7)}
+        if i < 20:
+            others |= {tuple(t[k : k + 8]) for t in [host_tokens([shared[0], sentence(7777, 12)])] for k in range(len(t) - 7)}
+        gone = [False] * len(here)
+        for k in range(len(here) - 7):
+            if tuple(here[k : k + 8]) in others:
+                gone[k : k + 8] = [True] * 8
+        out, at = [], 0
+        for p in pages[i]:
+            n = len(p.split())
+            if sum(gone[at : at + n]) < 0.5 * n:
+                out.append(p)
+            at += n + 1
+        return "\n\n".join(out)
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (html.GROUP_BYTES, 3000, 1):
+        got = html.extract_main_text(df, limit).collect()
+        assert len(got) == len(rows)
+        for row in got:
+            if row["page_id"] is not None:
+                assert row["text"] == kept(row["page_id"])
+            else:
+                assert row["text"] == (sentence(7777, 12) if row["url"] else "")
+
+
+def test_rows_that_share_an_id_are_judged_and_mixed_each(spark):
+    item = sentence(50, 40)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    leaked, clean = sentence(51, 30) + " " + item, sentence(52, 60)
+    rows = [(None, leaked, "s"), (None, clean, "s"), (None, None, "s"), (7, leaked, "s"), (7, clean, "s"), (8, item, "t"), (8, item, "u"), (9, clean, "s"), (9, clean, "s")]
+    docs = documents(spark, rows)
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    want = [(i, t, s) for i, t, s in rows if item not in (t or "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["source"]) for r in kept.collect()))) == sorted(map(repr, want))
+
+
+def test_equal_rows_have_the_copies_of_the_mix(spark):
+    words = sentence(60, 10)
+    rows = [(1, words, "b")] * 300 + [(None, words, "b")] * 50 + [(1, words, "a")] * 70 + [(i, sentence(60 + i, 12), "a") for i in range(100, 160)]
+    rows += [(i, sentence(60 + i, 20), "c") for i in range(200, 230)]
+    docs = documents(spark, rows)
+    mixed = mixing.mix(docs).collect()
+    want = Counter()
+    for row in mixed:
+        want[row["source"]] += row["copies"]
+    copies = Counter((r["doc_id"], r["source"]) for r in mixed for _ in range(r["copies"]))
+    applied = mixing.apply_mix(docs)
+    assert applied.columns == docs.columns
+    got = applied.collect()
+    assert Counter(r["source"] for r in got) == want
+    assert Counter((r["doc_id"], r["source"]) for r in got) == copies
+    uneven = {(r["doc_id"], r["source"]) for r in mixed if r["doc_id"] in (1, None)}
+    assert any(len({r["copies"] for r in mixed if (r["doc_id"], r["source"]) == k}) > 1 for k in uneven)
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(45)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 350)]
