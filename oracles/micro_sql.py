@@ -205,6 +205,35 @@ def sql() -> dict[str, str]:
         "index_zone": INDEXED,
         "index_group": INDEXED,
     }
+    address = "a as (select c_custkey, dense_rank() over (order by c_custkey) - 1 as address from (select distinct c_custkey from customer))"
+    flags = """grouped as (select l_returnflag, l_linestatus, count(*) as cnt from lineitem group by all),
+        placed as (select *, row_number() over (order by l_returnflag, l_linestatus) - 1 as address,
+          row_number() over (order by cnt desc, l_returnflag, l_linestatus) - 1 as place from grouped)"""
+    dense = """lined as (select l_rid, l_suppkey, l_returnflag,
+        row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 as id from lineitem_x)"""
+    found["edge_hash_join_address"] = w(address, """select 'build' as side, address, cast(c_rid as varchar) as id from customer_x join a using (c_custkey)
+        union all select 'probe', address, cast(o_rid as varchar) from orders_x join a on o_custkey = c_custkey""")
+    found["edge_hash_join_pairs"] = found["edge_hash_join"]
+    found["edge_mtm_counts"] = w("", """select n.n_regionkey - (select min(n_regionkey) from nation) as address,
+        count(distinct c_rid) as n_probe, count(distinct n.n_rid) as n_build, count(c_rid) as n_pairs
+        from nation_x n left join (customer_x join nation_x home on home.n_nationkey = c_nationkey) on home.n_regionkey = n.n_regionkey group by n.n_regionkey""")
+    found["edge_group_phases"] = w(flags, """select 0 as phase, address as out_id, l_rid as in_id from lineitem_x join placed using (l_returnflag, l_linestatus)
+        union all select 1, place, cast(address as varchar) from placed""")
+    found["edge_group_through"] = w(flags, "select place as out_id, l_rid as in_id from lineitem_x join placed using (l_returnflag, l_linestatus)")
+    found["edge_full_outer"] = w("", f"""select u.out_id, x.l_rid from (select c_rid::varchar as out_id, o_rid from {OUTER}) u
+        full join (select l_orderkey, l_rid from lineitem_x where l_quantity > 40) x on u.o_rid = x.l_orderkey""")
+    thetas = []
+    for theta in (0.0, 0.5, 0.8, 1.0):
+        rows = w(f"{IDS}, {zipf(100, theta)}", "select z, count(*) as n from zipf group by z")
+        thetas.append(f"select cast({theta} as double) as theta, cast(sum(2 * n) as bigint) as n_edges, cast(sum(n * n) as bigint) as n_pairs from ({rows})")
+    found["rid_mtm_skewed"] = " union all ".join(thetas)
+    found["rid_mtm_chosen"] = w("", f"""select c_rid || '|' || n.n_rid as out_id, c_rid::varchar as lhs_id, n.n_rid::varchar as rhs_id from {MTM}
+        where c_custkey in (select c_custkey from customer order by 1 limit 10)""")
+    found["rid_group_bitmap"] = w(dense, "select l_suppkey, id // 32768 + 1 as bucket, count(*) as cnt, 4096 as bytes from lined group by all")
+    found["rid_group_bitmap_rows"] = w("", "select l_suppkey, l_rid from lineitem_x")
+    found["rid_group_bitmap_union"] = """select s_nationkey, count(*) as cnt, count(*) filter (where l_returnflag = 'R') as returned
+        from lineitem join supplier on l_suppkey = s_suppkey group by all"""
+    found["index_bucket"] = INDEXED
     found["rid_filter_late"] = found["rid_filter"]
     found["rid_group_window"] = found["rid_group_join"]
     return found

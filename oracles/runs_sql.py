@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from oracles.views import ctes
 from oracles.tpch_sql import SPECS, _joined, _with, backward_sql, lineage_sql
 
 RAW = """raw as (
@@ -145,6 +146,64 @@ def sample_sql(name: str, rows: int) -> str:
       coalesce(cast(sum(n) as double) / count(*), 0.0) as avg_n from ({backward_sql(name, rows)})"""
 
 
+def traced_sql(name: str) -> str:
+    """Distinct base rows of each relation behind the first output in key order (without keys: behind all)."""
+    spec = SPECS[name]
+    keys = ", ".join(spec.trace)
+    chosen = f"main semi join (select {keys} from ranked order by {keys} limit 1) w using ({keys})" if spec.trace else "main"
+    parts = [(r, chosen) for r in spec.rids]
+    if spec.sub:
+        link = ", ".join(spec.link)
+        parts += [(r, f"sub where ({link}) in (select ({link}) from {chosen})" if spec.link else "sub") for r in spec.sub_rids]
+    rows = " union all ".join(
+        f"select '{name}' as query, '{r}' as relation, count(distinct {r}) as n, cast(max({r}) as varchar) as last from {source}"
+        for r, source in parts
+    )
+    return f"select * from ({_with(spec)} {rows})"
+
+
+TABLE_OF = {"l": "lineitem_x", "o": "orders_x", "c": "customer_x", "p": "part_x", "s": "supplier_x", "ps": "partsupp_x", "n": "nation_x", "r": "region_x"}
+FETCHED = {
+    "q03": {"main": "l_orderkey = o_orderkey and o_custkey = c_custkey and out_l_orderkey = l_orderkey"},
+    "q04": {"main": "o_orderkey = l_orderkey and l_receiptdate > l_commitdate and o_orderpriority = out_o_orderpriority"},
+    "q09": {"main": "p_partkey = l_partkey and (ps_partkey, ps_suppkey) = (l_partkey, l_suppkey) and s_suppkey = l_suppkey "
+            "and n_nationkey = s_nationkey and o_orderkey = l_orderkey and n_name = out_nation"},
+    "q10": {"main": "l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and c_custkey = out_c_custkey"},
+    "q12": {"main": "l_orderkey = o_orderkey and l_shipmode = out_l_shipmode"},
+    "q13": {"main": "f.o_rid is null or c_custkey = o_custkey"},
+    "q14": {"main": "p_partkey = l_partkey"},
+    "q15": {"main": "l_suppkey = s_suppkey and s_name = out_s_name", "sub": "sub_l_shipdate between date '1996-01-01' and date '1996-03-31'"},
+    "q16": {"main": "ps_partkey = p_partkey and p_brand = out_p_brand", "sub": "sub_s_comment like '%Customer%Complaints%'"},
+    "q17": {"main": "p_partkey = l_partkey and p_brand = 'Brand#23'", "sub": "sub_l_partkey = out_l_partkey::bigint"},
+    "q18": {"main": "l_orderkey = o_orderkey and o_custkey = c_custkey and o_orderkey = out_o_orderkey::bigint and c_name = out_c_name",
+            "sub": "sub_l_orderkey = out_o_orderkey::bigint"},
+    "q19": {"main": "p_partkey = l_partkey"},
+    "q20": {"main": "s_suppkey = ps_suppkey and l_suppkey = s_suppkey and l_partkey = ps_partkey and p_partkey = l_partkey "
+            "and s_nationkey = n_nationkey and s_name = out_s_name"},
+    "q21": {"main": "l_suppkey = s_suppkey and s_nationkey = n_nationkey and l_orderkey = o_orderkey and l_receiptdate > l_commitdate "
+            "and s_name = out_s_name", "sub": "sub_l_orderkey = out_l_orderkey::bigint"},
+}
+
+
+def fetch_sql(name: str) -> str:
+    """Lineage rows joined to the base rows that their ids name, and how often the conditions hold between these."""
+    spec = SPECS[name]
+    parts = []
+    for branch, holds in FETCHED[name].items():
+        rids = spec.rids if branch == "main" else spec.sub_rids
+        others = [x for x in dict.fromkeys([*spec.outputs, *spec.link]) if branch == "main" or x in spec.link]
+        where = f" where branch = '{branch}'" if spec.sub else ""
+        source = f"(select {', '.join([*rids, *[f'{x} as out_{x}' for x in others]])} from frame{where}) f"
+        for rid in rids:
+            short = rid.removeprefix("sub_").removesuffix("_rid")
+            prefix = "sub_" if rid.startswith("sub_") else ""
+            base = f"(select cast({short}_rid as varchar) as {rid}_key, columns('(.*)') as '{prefix}\\1' from {TABLE_OF[short]})"
+            source += f" left join {base} b_{rid} on f.{rid} = b_{rid}.{rid}_key"
+        parts.append(f"select '{branch}' as part, count(*) as n_rows, count(*) filter (where coalesce({holds}, false)) as n_agree from {source}")
+    body = " union all ".join(parts)
+    return f"with {ctes(body)}, frame as ({lineage_sql(name)}) {body}"
+
+
 def sql() -> dict[str, str]:
     raw, both = f"with {RAW}", {}
     for label, keys in (("tpch", TPCH), ("micro", MICRO)):
@@ -216,7 +275,7 @@ def sql() -> dict[str, str]:
             ({" union all ".join(counts_sql(q) for q in measured)})""",
         "avg_lineage_size": f"""select sum(rows)::double / count(*) as avg_rows from
             (select query, max(rows) as rows from ({stats_sql(measured)}) group by all)""",
-        "trace_by_key": f"select * from ({lineage_sql('q12')}) where l_shipmode = 'MAIL'",
+        "trace_by_key": " union all ".join(traced_sql(q) for q in measured),
         "trace_sample": " union all ".join(sample_sql(q, 10) for q in measured),
         "trace_all": " union all ".join(sample_sql(q, 1_000_000) for q in measured),
         "runs_avg": f"with {RAW}, {means(MICRO, 'labelled')} "
@@ -249,9 +308,6 @@ def sql() -> dict[str, str]:
             from means a join means b on a.query = b.query and a.lineage_type <> b.lineage_type
             where a.lineage_type = 'SD_full'""",
     }
-    for name in ("q04", "q09", "q10", "q12", "q13", "q14", "q15", "q16", "q17", "q18", "q19", "q20", "q21"):
-        part = "branch" if SPECS[name].sub else "'main'"
-        found[f"fetch_{name}"] = (
-            f"select {part} as part, count(*) as n_rows, count(*) as n_agree from ({lineage_sql(name)}) group by all"
-        )
+    for name in FETCHED:
+        found[f"fetch_{name}"] = fetch_sql(name)
     return found

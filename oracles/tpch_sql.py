@@ -423,3 +423,56 @@ def backward_sql(name: str, rows: int = 10) -> str:
     return _with(spec) + (
         f"select {', '.join(columns + totals)} from {_joined(spec)} semi join ({chosen}) w using ({keys}) group by {keys}"
     )
+
+
+#: Filtered inputs of the queries whose operators are compared one by one.
+INPUTS = {
+    "q03": """lines as (select * from lineitem_x where l_shipdate > date '1998-03-15'),
+        placed as (select * from orders_x where o_orderdate < date '1998-03-15'),
+        buyers as (select * from customer_x where c_mktsegment = 'BUILDING')""",
+    "q06": """lines as (select * from lineitem_x where year(l_shipdate) = 1996
+        and l_discount >= 0.05 and l_discount <= 0.07 and l_quantity < 24)""",
+    "q13": "plain as (select * from orders_x where o_comment not like '%special%requests%')",
+}
+#: (operator, side, source, out_id, in_id); `ranked` has the outputs, `core` the rows below the group-by.
+STEPS = {
+    "q03": [
+        ("scan_0", "in", "lineitem_x", "l_rid", "l_rid"),
+        ("filter_1", "in", "lines", "l_rid", "l_rid"),
+        ("scan_2", "in", "orders_x", "o_rid", "o_rid"),
+        ("filter_3", "in", "placed", "o_rid", "o_rid"),
+        ("scan_4", "in", "customer_x", "c_rid", "c_rid"),
+        ("filter_5", "in", "buyers", "c_rid", "c_rid"),
+        ("join_6", "build", "buyers", "c_custkey", "c_rid"),
+        ("join_6", "probe", "placed", "o_rid", "o_custkey"),
+        ("join_7", "build", "placed join buyers on o_custkey = c_custkey", "o_orderkey", "o_rid"),
+        ("join_7", "probe", "lines", "l_rid", "l_orderkey"),
+        ("group", "0", "core", "concat_ws('|', l_orderkey, o_orderdate, o_shippriority)", "l_rid"),
+        ("group", "1", "ranked", "out_index", "concat_ws('|', l_orderkey, o_orderdate, o_shippriority)"),
+    ],
+    "q06": [
+        ("scan_0", "in", "lineitem_x", "l_rid", "l_rid"),
+        ("filter_1", "in", "lines", "l_rid", "l_rid"),
+        ("group", "0", "lines", "''", "l_rid"),
+        ("group", "1", "ranked", "out_index", "''"),
+    ],
+    "q13": [
+        ("scan_0", "in", "customer_x", "c_rid", "c_rid"),
+        ("scan_1", "in", "orders_x", "o_rid", "o_rid"),
+        ("filter_2", "in", "plain", "o_rid", "o_rid"),
+        ("left_join_3", "build", "plain", "o_custkey", "o_rid"),
+        ("left_join_3", "probe", "customer_x", "c_rid", "c_custkey"),
+        ("group", "0", "core", "c_count", "concat(c_rid, '|', coalesce(cast(o_rid as varchar), ''))"),
+        ("group", "1", "ranked", "out_index", "c_count"),
+    ],
+}
+
+
+def operators_sql(name: str) -> str:
+    """The edges of every operator of a query: (op_id, side, out_id, in_id), ids as text."""
+    rows = " union all ".join(
+        f"select '{op}' as op_id, '{side}' as side, cast({out} as varchar) as out_id, cast({into} as varchar) as in_id from {source}"
+        for op, side, source, out, into in STEPS[name]
+    )
+    start = _with(SPECS[name])
+    return f"with {ctes(INPUTS[name] + start + rows)},\n{INPUTS[name]},\nall_parts as ({start} {rows}) select * from all_parts"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,3 +216,41 @@ def inequality_join(
         (F.col("_s") == F.col("_rs")) & (F.col("_cell.b") == F.col("_b")) & (F.col("_cell.p") == F.col("_p"))
     )
     return seeking.join(offered, same_cell & condition).select(*left.columns, *right.columns)
+
+
+@dataclass(frozen=True)
+class Branch:
+    """One branch of a disjunction: `equal` columns, or left.low < right.high (or <=)."""
+
+    equal: tuple[tuple[str, str], ...] = ()
+    low: str = ""
+    high: str = ""
+    or_equal: bool = False
+
+    def holds(self) -> Column:
+        """True or false, never null."""
+        if self.equal:
+            condition = F.lit(True)
+            for a, b in self.equal:
+                condition = condition & (F.col(a) == F.col(b))
+        else:
+            condition = F.col(self.low) <= F.col(self.high) if self.or_equal else F.col(self.low) < F.col(self.high)
+        return F.coalesce(condition, F.lit(False))
+
+
+def any_of(left: DataFrame, right: DataFrame, branches: Sequence[Branch], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Pairs for which any branch holds, each once.
+
+    Every branch is a join of its own kind, without the pairs that an earlier branch has: no pair is compared but
+    those that an equality or a range brings together.
+    """
+    parts = []
+    for number, branch in enumerate(branches):
+        if branch.equal:
+            joined = left.join(right, reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in branch.equal]))
+        else:
+            joined = inequality_join(left, right, branch.low, branch.high, branch.or_equal, limits)
+        for earlier in branches[:number]:
+            joined = joined.filter(~earlier.holds())
+        parts.append(joined)
+    return reduce(DataFrame.unionByName, parts)

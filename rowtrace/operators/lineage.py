@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrace.functions.exact import Aggregate, aggregate
-from rowtrace.operators.attach import attach, inequality_join, join_values, known_keys_join, left_join, matching, measure, ordinal, over_groups, sized
+from rowtrace.operators.attach import Branch, any_of, attach, inequality_join, join_values, known_keys_join, left_join, matching, measure, ordinal, over_groups, sized
+from rowtrace.operators.graph import Op, as_text
 from rowtrace.session import DEFAULT_LIMITS, Limits, keep
+from rowtrace.sources.tables import key_columns
 
 On = Sequence[tuple[str, str]]
 
@@ -38,26 +40,38 @@ class Sub:
     rids: tuple[str, ...]
     link: tuple[str, ...] = ()
     single: bool = False
+    op: Op | None = None
 
 
 @dataclass(frozen=True)
 class Traced:
     """A relation with one id column per base-table occurrence.
 
-    Every operator keeps the id columns. Existence tests filter like semi and
-    anti joins; what they looked at is kept aside in `subs`.
+    Every operator keeps the id columns and records itself in `op` (None where the
+    rows were made some other way). Existence tests filter like semi and anti joins;
+    what they looked at is kept aside in `subs`.
     """
 
     df: DataFrame
     rids: tuple[str, ...]
     subs: tuple[Sub, ...] = ()
+    op: Op | None = None
 
     @staticmethod
     def scan(df: DataFrame) -> Traced:
-        return Traced(df, tuple(c for c in df.columns if c.endswith("_rid")))
+        rids = tuple(c for c in df.columns if c.endswith("_rid"))
+        unique = frozenset(frozenset(columns) for r in rids if (columns := key_columns(r)))
+        return Traced(df, rids, op=Op("scan", df, rids, rids, unique=unique))
 
     def where(self, *conditions: Column) -> Traced:
-        return replace(self, df=self.df.filter(reduce(Column.__and__, conditions)))
+        return self.narrowed(self.df.filter(reduce(Column.__and__, conditions)))
+
+    def narrowed(self, df: DataFrame) -> Traced:
+        """Some of the rows, perhaps with further columns."""
+        return replace(self, df=df, op=self.op and self.op.at(self.df).narrowed(df))
+
+    def _paired(self, other: Traced, df: DataFrame, kind: str) -> Op | None:
+        return self.op.at(self.df).paired(other.op.at(other.df), df, kind) if self.op and other.op else None
 
     def select(self, *columns: Column | str) -> Traced:
         return replace(self, df=self.df.select(*columns, *self.rids))
@@ -68,16 +82,26 @@ class Traced:
             joined = left_join(self.df, other.df, list(on))
         else:
             joined = self.df.join(other.df, on if isinstance(on, Column) else _pairs(on), how)
-        return Traced(joined, self.rids + other.rids, self.subs + other.subs)
+        if isinstance(on, Column):
+            op = self._paired(other, joined, "theta_join" if how == "inner" else "outer_join")
+        else:
+            op = self.op and other.op and self.op.at(self.df).joined(other.op.at(other.df), joined, on, how == "left")
+        return Traced(joined, self.rids + other.rids, self.subs + other.subs, op)
 
     def product(self, other: Traced) -> Traced:
         """Every pair of rows; the smaller side is broadcast if it was measured to be small."""
-        return Traced(self.df.join(sized(other.df), how="cross"), self.rids + other.rids, self.subs + other.subs)
+        pairs = self.df.join(sized(other.df), how="cross")
+        return Traced(pairs, self.rids + other.rids, self.subs + other.subs, self._paired(other, pairs, "product"))
 
     def join_below(self, other: Traced, low: str, high: str, or_equal: bool = False) -> Traced:
         """Theta join on self.low < other.high (or <=)."""
         joined = inequality_join(self.df, other.df, low, high, or_equal)
-        return Traced(joined, self.rids + other.rids, self.subs + other.subs)
+        return Traced(joined, self.rids + other.rids, self.subs + other.subs, self._paired(other, joined, "theta_join"))
+
+    def join_any(self, other: Traced, *branches: Branch) -> Traced:
+        """Theta join on a disjunction of equalities and ranges."""
+        joined = any_of(self.df, other.df, branches)
+        return Traced(joined, self.rids + other.rids, self.subs + other.subs, self._paired(other, joined, "theta_join"))
 
     def union(self, other: Traced) -> Traced:
         """UNION ALL; an id column of only one side is null in the rows of the other."""
@@ -89,16 +113,16 @@ class Traced:
         """EXISTS / IN: each outer row also depends on every inner row it matches."""
         df = known_keys_join(self.df, inner.df, on, "left_semi")
         renamed = inner.df.select(*[F.col(r).alias(l) for l, r in on], *inner.rids)
-        sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single)
-        return Traced(df, self.rids, self.subs + (sub,) + inner.subs)
+        sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single, inner.op)
+        return replace(self.narrowed(df), subs=self.subs + (sub,) + inner.subs)
 
     def not_exists(self, inner: DataFrame, on: On) -> Traced:
         """NOT EXISTS: what is absent adds no dependency."""
-        return replace(self, df=known_keys_join(self.df, inner, on, "left_anti"))
+        return self.narrowed(known_keys_join(self.df, inner, on, "left_anti"))
 
     def exists_only(self, inner: DataFrame, on: On) -> Traced:
         """Keeps the rows that have a partner, as a filter that adds no dependency."""
-        return replace(self, df=known_keys_join(self.df, inner, on, "left_semi"))
+        return self.narrowed(known_keys_join(self.df, inner, on, "left_semi"))
 
     def not_in(self, column: str, inner: Traced, value: str, name: str = "sub", capture: str = "all") -> Traced:
         """NOT IN: depends on the whole inner result (capture="all") or on nothing ("none").
@@ -117,18 +141,19 @@ class Traced:
         ).drop("_facts")
         subs = self.subs
         if capture == "all":
-            subs += (Sub(name, inner.df.select(*inner.rids), inner.rids),)
-        return Traced(df, self.rids, subs)
+            subs += (Sub(name, inner.df.select(*inner.rids), inner.rids, op=inner.op),)
+        return replace(self.narrowed(df), subs=subs)
 
     def depends_on(self, inner: Traced, link: Sequence[str] = (), name: str = "sub", single: bool = False) -> Traced:
         """Adds the rows behind a scalar subquery (correlated through `link`, or not at all)."""
-        sub = Sub(name, inner.df.select(*link, *inner.rids), inner.rids, tuple(link), single)
+        sub = Sub(name, inner.df.select(*link, *inner.rids), inner.rids, tuple(link), single, inner.op)
         return replace(self, subs=self.subs + (sub,))
 
     def prefixed(self, prefix: str) -> Traced:
         """The same rows as a further occurrence: id columns get a prefix."""
         renamed = {r: prefix + r for r in self.rids}
-        return replace(self, df=self.df.withColumnsRenamed(renamed), rids=tuple(renamed.values()))
+        df = self.df.withColumnsRenamed(renamed)
+        return replace(self, df=df, rids=tuple(renamed.values()), op=self.op and self.op.at(self.df).renamed(df, prefix))
 
     def distinct(self, columns: Sequence[str]) -> DataFrame:
         """Distinct values of the data columns (ids are dropped)."""
@@ -160,7 +185,9 @@ class Lineage:
     base        ready-made result relation, where it is cheaper than core's own
     base_rids   ids found in `base`, one per output row
     base_rows   row count of `base`, where it was counted
-    levels      inner group-bys, whose values are group keys further out
+    levels      inner group-bys, whose values are group keys further out, or are compared with the rows
+    only        filter over core columns and values of the levels
+    over        window form of a ready-made `base`: aggregates over the groups, and `over_only`, a filter on them
     order       total order of the outputs, and `limit` on it
     """
 
@@ -175,6 +202,9 @@ class Lineage:
     base_rids: tuple[str, ...] = ()
     base_rows: int | None = None
     levels: tuple[Level, ...] = ()
+    only: Column | None = None
+    over: dict[str, Aggregate] = field(default_factory=dict)
+    over_only: Column | None = None
     limit: int | None = None
     limits: Limits = DEFAULT_LIMITS
 
@@ -195,9 +225,9 @@ class Lineage:
         if self.base is not None:
             return self.base.select(*self.outputs, *[c for c in extra if c not in self.outputs])
         if not self.aggregates:
-            return self._finished(self.core.df, extra)
+            return self._finished(self._levelled("join"), extra)
         named = [aggregate(part).alias(name) for name, part in self.aggregates.items()]
-        return self._finished(self.core.df.groupBy(*self.keys).agg(*named), extra)
+        return self._finished(self._levelled("join").groupBy(*self.keys).agg(*named), extra)
 
     def result(self) -> DataFrame:
         """The plain query answer; id columns are pruned from its plan."""
@@ -242,7 +272,7 @@ class Lineage:
                 named = [aggregate(part).alias(name) for name, part in level.aggregates.items()]
                 groups = rows.groupBy(*level.keys).agg(*named) if level.groups is None else level.groups
                 rows = join_values(rows, groups, list(level.keys))
-        return rows
+        return rows if self.only is None else rows.filter(self.only)
 
     def main(self, strategy: str = "join", indexed: bool = False) -> DataFrame:
         """One row per output row and core row: outputs (or their index), links, ids.
@@ -271,6 +301,8 @@ class Lineage:
                 top = ordinal(top, list(self.order), limits=self.limits, bound=self._bound())
             elif indexed:
                 top = top.select(F.lit(0).cast("long").alias("out_index"), "*")
+            if strategy == "window" and self.over:
+                rows = over_groups(rows, list(self.keys), self.over, self.limits).filter(self.over_only)
             own = dict.fromkeys([*self.keys, *carried, *self.core.rids])
             rows = attach(rows.select(*own), top, list(self.keys), self.limits, self._bound())
         head = ["out_index"] if indexed else list(self.outputs)
@@ -317,6 +349,66 @@ class Lineage:
             )
         return whole
 
+    def composed(self) -> DataFrame:
+        """As `frame(indexed=True)`, put together from the edge tables of the operators.
+
+        Outputs lead to the ids of the rows of their groups, those to the rows of both
+        sides of the last join by its address edges, and so on down to the scans. Plans
+        with a step that recorded no operator are captured as a whole.
+        """
+        whole, subs = self.core, self.core.subs
+        if whole.op is None or any(sub.op is None for sub in subs):
+            return self.frame(indexed=True)
+        made = {name for level in self.levels for name in level.aggregates}
+        links = [c for sub in subs for c in sub.link]
+        needed = {*self.keys, *links, *[k for level in self.levels for k in level.keys]} - made
+        top = whole.op.at(whole.df)
+        start = top.anchor(needed) if self.grouped and all(level.groups is not None for level in self.levels) else top
+        slim = tuple(replace(sub, rids=sub.op.key, frame=sub.frame.select(*sub.link, *sub.op.key)) for sub in subs)
+        source = self.pinned()
+        if self.grouped and not self.keys:
+            source = replace(self, base=self.result(), aggregates={}, finish={}, having=None)
+        source = replace(source, core=Traced(start.frame, start.key, slim))
+        few = self.limit is not None
+        main = top.expand(source.main(indexed=True), few)
+        for sub in subs:
+            main = sub.op.expand(main, few) if sub.single else main
+        head = ["out_index", *[c for c in self.links() if c != "out_index"], *self.base_rids, *whole.rids]
+        main = main.select(*head, *[r for sub in subs if sub.single for r in sub.rids])
+        result = main.select(F.lit("main").alias("branch"), "*") if any(not sub.single for sub in subs) else main
+        for slim_sub, rows in source.branches(main):
+            sub = next(s for s in subs if s.name == slim_sub.name and s.op.key == slim_sub.rids)
+            rows = sub.op.expand(rows, few).select(F.lit(sub.name).alias("branch"), *sub.link, *sub.rids)
+            result = result.unionByName(rows, allowMissingColumns=True)
+        return result
+
+    def edges(self) -> DataFrame:
+        """(op_id, side, out_id, in_id) of every operator, ids as text: the tables that `composed` reads.
+
+        The last two are the group-by (`0` row -> group, `1` group -> output), whose
+        address is the group's key.
+        """
+        found = []
+        numbered = [("", self.core.op), *[(f"{sub.name}_", sub.op) for sub in self.core.subs]]
+        for name, op in numbered:
+            if op is None:
+                raise ValueError("a step of this plan recorded no operator")
+            for number, below in enumerate(op.walk()):
+                found.append(below.edges().select(F.lit(f"{name}{below.kind}_{number}").alias("op_id"), "side", "out_id", "in_id"))
+        source = self.pinned()
+        op = self.core.op.at(self.core.df)
+        if self.grouped:
+            core = op.frame if not self.levels else source._levelled("join")
+            by = as_text(self.keys) if self.keys else F.lit("")
+            found.append(core.select(F.lit("group").alias("op_id"), F.lit("0").alias("side"), by.alias("out_id"), as_text(op.key).alias("in_id")))
+            if self.keys:
+                top = ordinal(source._top(), list(self.order), limits=self.limits, bound=source._bound())
+                outputs = top.select(F.col("out_index").cast("string").alias("out_id"), by.alias("in_id"))
+            else:
+                outputs = source.result().select(F.lit("0").alias("out_id"), F.lit("").alias("in_id"))
+            found.append(outputs.select(F.lit("group").alias("op_id"), F.lit("1").alias("side"), "out_id", "in_id"))
+        return reduce(DataFrame.unionByName, found)
+
     def long(self, by: Sequence[str], strategy: str = "join") -> DataFrame:
         """Whole lineage as (out_id, branch, relation, rid), one row per id.
 
@@ -351,6 +443,21 @@ class Lineage:
         links = [c for c in self.links() if c not in self.outputs]
         return rows.drop(*links)
 
+    def traced(self, by: Sequence[str], wanted: DataFrame | None, bound: int | None = None) -> DataFrame:
+        """(relation, n, last): how many base rows of each relation the chosen outputs have, and the largest id.
+
+        Outputs are chosen by the columns `by` of `wanted`; None: all of them. The product of main and sub rows is not
+        built.
+        """
+        main = self.main() if wanted is None else self._chosen(self.main(), by, wanted, bound)
+        found = []
+        for rows, rids in [(main, [x for x in main.columns if x.endswith("_rid")]), *[(rows, sub.rids) for sub, rows in self.branches(main)]]:
+            counts = [F.count_distinct(r).alias(f"n_{r}") for r in rids]
+            one = rows.agg(*counts, *[F.max(r).cast("string").alias(r) for r in rids])
+            each = F.array(*[F.struct(F.lit(r).alias("relation"), F.col(f"n_{r}").alias("n"), F.col(r).alias("last")) for r in rids])
+            found.append(one.select(F.inline(each)))
+        return reduce(DataFrame.unionByName, found)
+
     def _chosen(self, main: DataFrame, by: Sequence[str], wanted: DataFrame, bound: int | None) -> DataFrame:
         """Main rows whose outputs have their columns `by` in `wanted`."""
         picked = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by])

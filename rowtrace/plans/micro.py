@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowtrace.operators import bitmaps as B
 from rowtrace.operators import edges as E
 from rowtrace.operators import generators as G
-from rowtrace.operators.attach import attach, over_groups
+from rowtrace.operators.attach import Branch, attach, over_groups
 from rowtrace.operators.layout import store_grouped, store_plain, store_zoned
 from rowtrace.operators.lineage import Traced
+from rowtrace.operators.store import EdgeStore
 from rowtrace.plans.tpch import query
 from rowtrace.session import Limits, fresh_path
 from rowtrace.sources.runs import read_micro
@@ -135,9 +137,10 @@ def below(t: Tables, or_equal: bool = False) -> Traced:
 
 
 def below_by_expression(t: Tables) -> Traced:
+    """The same pairs as `below(or_equal=True)`, asked for by a disjunction."""
     left = scan(t.supplier).select("s_suppkey", "s_nationkey")
-    either = (c("s_nationkey") == c("n_nationkey")) | (c("s_nationkey") < c("n_nationkey"))
-    return left.join(scan(t.nation).select("n_nationkey"), either)
+    either = Branch(equal=(("s_nationkey", "n_nationkey"),)), Branch(low="s_nationkey", high="n_nationkey")
+    return left.join_any(scan(t.nation).select("n_nationkey"), *either)
 
 
 def cross(t: Tables) -> Traced:
@@ -245,16 +248,114 @@ def scalar_concat(t: Tables) -> DataFrame:
     return packed.select(F.lit(0).cast("long").alias("out_id"), "segment", c("rids").alias("ids"))
 
 
+def join_addresses(t: Tables) -> DataFrame:
+    """Orders and customers: the hash join's two edge tables."""
+    return E.address_edges(t.orders, t.customer, [("o_custkey", "c_custkey")], "o_rid", "c_rid")
+
+
+def region_addresses(t: Tables) -> DataFrame:
+    """Customers and all nations of their region, a many-to-many join, by address."""
+    home = t.nation.select(c("n_nationkey").alias("home"), c("n_regionkey").alias("region"))
+    left = t.customer.join(home, c("c_nationkey") == c("home")).select("region", "c_rid")
+    return E.address_edges(left, t.nation, [("region", "n_regionkey")], "c_rid", "n_rid")
+
+
+def skewed_pairs(t: Tables) -> DataFrame:
+    """Many-to-many joins of Zipf tables: edges by address grow with the rows, pairs with the square of the groups."""
+    parts = []
+    for theta in (0.0, 0.5, 0.8, 1.0):
+        rows = zipf(t, 100, theta)
+        addressed = E.address_edges(rows, rows.toDF(*[f"r_{x}" for x in rows.columns]), [("z", "r_z")], "idx", "r_idx")
+        totals = E.pair_counts(addressed).agg(F.sum(c("n_probe") + c("n_build")).alias("n_edges"), F.sum("n_pairs").alias("n_pairs"))
+        parts.append(totals.select(F.lit(theta).alias("theta"), "n_edges", "n_pairs"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def chosen_pairs(t: Tables) -> DataFrame:
+    """The joined form for chosen left rows only: the suppliers' customers' pairs are never built as a whole."""
+    addressed = region_addresses(t)
+    wanted = t.customer.orderBy("c_custkey").limit(10).select(c("c_rid").cast("string").alias("_w"))
+    probe = addressed.filter("side = 'probe'").join(F.broadcast(wanted), c("id") == c("_w"), "left_semi")
+    return E.pairs_of(probe.unionByName(addressed.filter("side = 'build'")))
+
+
+def flag_phases(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", "l_rid")
+    return E.phase_edges(rows, ["l_returnflag", "l_linestatus"], "l_rid", [c("cnt").desc(), c("l_returnflag"), c("l_linestatus")])
+
+
+def full_outer(t: Tables) -> DataFrame:
+    """Customer -> urgent orders -> large lines; whoever has no partner stays, on either side."""
+    upper = outer_edges(t).select(c("lhs_id").alias("out_id"), c("rhs_id").alias("in_id"))
+    lower = t.lineitem.filter(c("l_quantity") > 40).select(c("l_orderkey").alias("out_id"), "l_rid")
+    return E.full_compose(upper, lower).select(c("out_id").cast("string").alias("out_id"), "l_rid")
+
+
+def numbered_lines(t: Tables) -> DataFrame:
+    return B.dense(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_rid"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+def line_bitmaps(t: Tables) -> DataFrame:
+    return B.group_bitmaps(numbered_lines(t), ["l_suppkey"])
+
+
+def bitmap_sizes(t: Tables) -> DataFrame:
+    """Bits set and bytes held for each supplier and bucket."""
+    return line_bitmaps(t).select("l_suppkey", "bucket", F.bitmap_count("bits").alias("cnt"), F.length("bits").cast("long").alias("bytes"))
+
+
+def bitmap_rows(t: Tables) -> DataFrame:
+    """The lines of each supplier, read back from its bitmaps."""
+    rows = numbered_lines(t).select(c("id").alias("_id"), "l_rid")
+    found = B.members(line_bitmaps(t))
+    return found.join(rows, c("id") == c("_id")).select("l_suppkey", "l_rid")
+
+
+def bitmap_union(t: Tables) -> DataFrame:
+    """Lines of each nation, as unions of the bitmaps of its suppliers, and the lines that its first order status shares."""
+    homes = t.supplier.select(c("s_suppkey").alias("_s"), "s_nationkey")
+    placed = line_bitmaps(t).join(homes, c("l_suppkey") == c("_s"))
+    nations = B.union(placed, ["s_nationkey"])
+    returned = B.group_bitmaps(numbered_lines(t).join(t.lineitem.filter("l_returnflag = 'R'").select(c("l_rid").alias("_r")), c("l_rid") == c("_r")), [])
+    both = nations.unionByName(nations.select("s_nationkey").distinct().join(returned, how="cross"))
+    common = B.sizes(B.intersection(both, ["s_nationkey"], 2), ["s_nationkey"]).withColumnsRenamed({"cnt": "returned", "s_nationkey": "_n"})
+    found = B.sizes(nations, ["s_nationkey"]).join(common, c("s_nationkey") == c("_n"), "left")
+    return found.select("s_nationkey", "cnt", F.coalesce("returned", F.lit(0).cast("long")).alias("returned"))
+
+
 # -- lookups --------------------------------------------------------------------
 
 
-def lookup_counts(edges: DataFrame, column: str = "out_id") -> DataFrame:
-    """Edges found for the first 1, 10, 100, 1000 output ids, in one pass."""
-    most = max(LOOKUPS)
-    wanted = edges.select(column).distinct().orderBy(column).limit(most)
-    # at most `most` rows from here on
-    ranked = E.ordinal(wanted, [c(column)], "rank", bound=most)
-    found = E.lookup(edges, ranked, column, most).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+EDGES: dict[str, Callable[[Tables], DataFrame]] = {
+    "filter": filter_edges,
+    "orderby": orders_by_price,
+    "simpleagg": lambda t: E.whole_edges(query("q06", t).core.df, "l_rid"),
+    "groupby": group_edges,
+    "perfgroupby": lambda t: group_edges(t, "l_linenumber"),
+    "hashjoin": pkfk_edges,
+    "mergejoin": merge_edges,
+    "nljoin": theta_edges,
+}
+
+
+def store_of(t: Tables, name: str) -> EdgeStore:
+    """The stored edges of an operator, written when they are first asked for."""
+    if name not in t.stores:
+        t.stores[name] = EdgeStore.write(EDGES[name](t))
+    return t.stores[name]
+
+
+def first_ids(edges: DataFrame) -> DataFrame:
+    """The first output ids and their rank from 0 on."""
+    wanted = edges.select("out_id").distinct().orderBy("out_id").limit(max(LOOKUPS))
+    # at most `max(LOOKUPS)` rows from here on
+    return E.ordinal(wanted, [c("out_id")], "rank", bound=max(LOOKUPS))
+
+
+def lookup_counts(store: EdgeStore) -> DataFrame:
+    """Edges found for the first 1, 10, 100, 1000 output ids, in one pass over the buckets that hold them."""
+    ranked = first_ids(store.edges())
+    found = store.lookup(ranked, max(LOOKUPS)).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     sizes = F.explode(F.array(*[F.lit(n).cast("long") for n in LOOKUPS]))
     per_size = found.select("n", "rank", sizes.alias("n_ids")).filter(c("rank") < c("n_ids"))
     return per_size.groupBy("n_ids").agg(F.sum("n").alias("n_rows"))
@@ -267,13 +368,20 @@ def first_parts(t: Tables) -> DataFrame:
     return t.raw("part").select(c("p_partkey").alias("out_id")).orderBy("out_id").limit(max(LOOKUPS))
 
 
+def layout_of(t: Tables, name: str, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The edges of the group-by in a layout, written when it is first asked for."""
+    if name not in t.stores:
+        t.stores[name] = store(group_edges(t))
+    return t.stores[name]
+
+
 def index_none(t: Tables) -> DataFrame:
-    return E.lookup(store_plain(group_edges(t)), first_parts(t), bound=max(LOOKUPS))
+    return E.lookup(layout_of(t, "plain", store_plain), first_parts(t), bound=max(LOOKUPS))
 
 
 def index_zone(t: Tables) -> DataFrame:
     """The range of wanted ids is known, so the scan can skip row groups by it."""
-    stored, wanted = store_zoned(group_edges(t)), first_parts(t)
+    stored, wanted = layout_of(t, "zoned", store_zoned), first_parts(t)
     low, high = wanted.agg(F.min("out_id"), F.max("out_id")).first()
     if low is not None:
         stored = stored.filter(c("out_id").between(low, high))
@@ -281,10 +389,15 @@ def index_zone(t: Tables) -> DataFrame:
 
 
 def index_group(t: Tables) -> DataFrame:
-    stored = store_grouped(group_edges(t), limits=SEGMENT)
+    stored = layout_of(t, "grouped", lambda edges: store_grouped(edges, limits=SEGMENT))
     return E.lookup(stored, first_parts(t), bound=max(LOOKUPS)).select("out_id", F.explode("rids").alias("in_id"))
 
 
+def index_bucket(t: Tables) -> DataFrame:
+    """Buckets by output id: only those of the wanted ids are read."""
+    return store_of(t, "groupby").lookup(first_parts(t), max(LOOKUPS)).select("out_id", "in_id")
+
+
 def jobs() -> dict[str, Job]:
     return {
         "src_parquet": src_parquet,
@@ -336,14 +449,19 @@ def jobs() -> dict[str, Job]:
         "edge_composed": composed,
         "edge_global_agg": lambda t: E.whole_edges(query("q06", t).core.df, "l_rid"),
         "edge_scalar_concat": scalar_concat,
-        "lookup_filter": lambda t: lookup_counts(filter_edges(t)),
-        "lookup_orderby": lambda t: lookup_counts(orders_by_price(t)),
-        "lookup_simpleagg": lambda t: lookup_counts(E.whole_edges(query("q06", t).core.df, "l_rid")),
-        "lookup_groupby": lambda t: lookup_counts(group_edges(t)),
-        "lookup_perfgroupby": lambda t: lookup_counts(group_edges(t, "l_linenumber")),
-        "lookup_hashjoin": lambda t: lookup_counts(pkfk_edges(t)),
-        "lookup_mergejoin": lambda t: lookup_counts(merge_edges(t)),
-        "lookup_nljoin": lambda t: lookup_counts(theta_edges(t)),
+        "edge_hash_join_address": join_addresses,
+        "edge_hash_join_pairs": lambda t: E.pairs_of(join_addresses(t)),
+        "edge_mtm_counts": lambda t: E.pair_counts(region_addresses(t)),
+        "edge_group_phases": flag_phases,
+        "edge_group_through": lambda t: E.through_phases(flag_phases(t)),
+        "edge_full_outer": full_outer,
+        "rid_mtm_skewed": skewed_pairs,
+        "rid_mtm_chosen": chosen_pairs,
+        "rid_group_bitmap": bitmap_sizes,
+        "rid_group_bitmap_rows": bitmap_rows,
+        "rid_group_bitmap_union": bitmap_union,
+        **{f"lookup_{name}": lambda t, name=name: lookup_counts(store_of(t, name)) for name in EDGES},
+        "index_bucket": index_bucket,
         "index_none": index_none,
         "index_zone": index_zone,
         "index_group": index_group,

@@ -11,9 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowtrace.operators.attach import matching
-from rowtrace.operators.trace import agreement, by_key, id_counts, originals, sizes
+from rowtrace.operators.trace import agreement, id_counts, originals, sizes
 from rowtrace.plans.params import DECORRELATED, TRACE_KEYS
 from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.session import fresh_path
@@ -67,10 +68,12 @@ def raw_runs(t: Tables) -> DataFrame:
     )
 
     def node(name: Column, share: float, below: Column) -> Column:
-        return F.concat(
-            F.lit('{"name": "'), name, F.lit('", "timing": '), (value * share).cast("string"), F.lit(', "children": ['), below,
-            F.lit("]}"),
-        )
+        parts = [F.concat(F.lit('"name": "'), name, F.lit('"')), F.concat(F.lit('"timing": '), (value * share).cast("string"))]
+        parts.append(F.concat(F.lit('"children": ['), below, F.lit("]")))
+        # the keys of a node come in any order
+        orders = [F.concat_ws(", ", *parts), F.concat_ws(", ", *parts[::-1]), F.concat_ws(", ", parts[1], parts[2], parts[0])]
+        chosen = F.when(ident % 3 == 0, orders[0]).when(ident % 3 == 1, orders[1]).otherwise(orders[2])
+        return F.concat(F.lit("{"), chosen, F.lit("}"))
 
     op = _choice(c("user_id") % 6, OPERATORS)
     plan = node(F.lit("CREATE_TABLE_AS"), 0.1, node(stem(op), 0.6, node(F.lit("SEQ_SCAN"), 0.3, F.lit(""))))
@@ -109,21 +112,47 @@ def stem(op: Column) -> Column:
     return F.regexp_replace(op, "_mtm$", "")
 
 
+PLAN_DEPTH = 16  # levels of a nested plan; deeper ones are an error, not cut
+
+
+def _plan_type(depth: int) -> T.StructType:
+    fields = [T.StructField("name", T.StringType()), T.StructField("timing", T.DoubleType())]
+    below: T.DataType = _plan_type(depth - 1) if depth else T.StringType()
+    return T.StructType([*fields, T.StructField("children", T.ArrayType(below))])
+
+
+def _nodes(node: Column, depth: int) -> Column:
+    """The node and all below it, depth first, as an array of (name, timing)."""
+    own = F.array(F.struct(node["name"].alias("name"), node["timing"].alias("timing")))
+    children = node["children"]
+    if not depth:
+        deeper = F.raise_error(F.lit(f"a plan has more than {PLAN_DEPTH} levels")).cast(own_type())
+        return F.when(F.size(children) > 0, deeper).otherwise(own)
+    below = F.flatten(F.transform(children, lambda child: _nodes(child, depth - 1)))
+    return F.concat(own, F.coalesce(below, F.array().cast(own_type())))
+
+
+def own_type() -> str:
+    return "array<struct<name:string,timing:double>>"
+
+
 def flat_plan(plan: Column) -> Column:
-    """Plan text -> map from operator name + position to its time, depth first.
+    """Plan text -> map from operator name + position to its time, depth first; keys in any order, names with any
+    character, nodes without a time left out.
 
-    Nested nodes appear in the text in that order, each with its name before its
-    time. A flat text has names (numbered already) and times side by side.
+    A flat text has names (numbered already) and times.
     """
-    nested, flat = F.lit(r'"name":\s*"([^"]+)",\s*"timing":\s*([-+.0-9Ee]+)'), F.lit(r"""['"]([^'"]+)['"]\s*:\s*([-+.0-9Ee]+)""")
+    tree = _nodes(F.from_json(plan, _plan_type(PLAN_DEPTH - 1)), PLAN_DEPTH - 1)
+    timed = F.filter(tree, lambda node: node["timing"].isNotNull())
+    named = F.transform(timed, lambda node, i: F.concat(node["name"], i.cast("string")))
+    nested = F.map_from_arrays(named, F.transform(timed, lambda node: node["timing"]))
+    flat = F.from_json(plan, T.MapType(T.StringType(), T.DoubleType()))
+    return F.when(F.get_json_object(plan, "$.children").isNotNull(), nested).otherwise(flat)
 
-    def parts(pattern: Column, numbered: bool) -> Column:
-        names = F.regexp_extract_all(plan, pattern, F.lit(1))
-        times = F.transform(F.regexp_extract_all(plan, pattern, F.lit(2)), lambda x: x.cast("double"))
-        named = F.transform(names, lambda name, i: F.concat(name, i.cast("string"))) if numbered else names
-        return F.map_from_arrays(named, times)
 
-    return F.when(plan.contains('"children"'), parts(nested, True)).otherwise(parts(flat, False))
+def plan_prefix(op: Column, lineage_type: Column) -> Column:
+    """Whose time counts as the operator's: lineage by window functions is spent in the window."""
+    return F.when(lineage_type.isin("Logical_window", "Logical-window"), F.lit("WINDOW")).otherwise(op)
 
 
 def plan_total(plan: Column) -> Column:
@@ -132,7 +161,7 @@ def plan_total(plan: Column) -> Column:
 
 def plan_op(plan: Column, prefix: Column) -> Column:
     """Time of the first operator whose name starts with `prefix` (a trailing _mtm is ignored)."""
-    return F.filter(F.map_entries(plan), lambda e: F.startswith(e["key"], stem(prefix)))[0]["value"]
+    return F.get(F.filter(F.map_entries(plan), lambda e: F.startswith(e["key"], stem(prefix))), F.lit(0))["value"]
 
 
 def plan_mat(plan: Column) -> Column:
@@ -166,7 +195,7 @@ def runs(t: Tables) -> DataFrame:
     timed = flat.select(
         "*",
         plan_total(c("flat")).alias("plan_runtime"),
-        plan_op(c("flat"), c("op")).alias("op_runtime"),
+        plan_op(c("flat"), plan_prefix(c("op"), c("lineage_type"))).alias("op_runtime"),
         plan_mat(c("flat")).alias("mat_time"),
         query_class(c("query")).alias("qtype"),
     ).drop("flat")
@@ -466,8 +495,13 @@ def avg_lineage_size(t: Tables) -> DataFrame:
 
 
 def trace_by_key(t: Tables) -> DataFrame:
-    wanted = t.spark.createDataFrame([("MAIL",)], "l_shipmode string")
-    return by_key(query("q12", t).frame(), wanted, ["l_shipmode"], bound=1)
+    """Base rows behind the first output of every query, asked for by its key columns: (query, relation, n, last)."""
+    parts = []
+    for q in QUERIES:
+        lineage, keys = query(q, t).pinned(), TRACE_KEYS[q]
+        wanted = lineage.wanted(1, keys) if keys else None
+        parts.append(lineage.traced(keys, wanted, bound=1).select(F.lit(q).alias("query"), "relation", "n", "last"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def trace_sample(t: Tables, rows: int | None = 10) -> DataFrame:
@@ -481,55 +515,72 @@ def trace_all(t: Tables) -> DataFrame:
     return trace_sample(t, None)
 
 
-def _base(t: Tables, name: str, rid: str) -> DataFrame:
-    frame: DataFrame = getattr(t, name)
-    return frame.select(c(rid), *[x for x in frame.columns if x != rid])
-
-
-# query -> branch -> (base rows to fetch, what must hold between them)
-FETCH: dict[str, dict[str, tuple[tuple[tuple[str, str, str, tuple[str, ...]], ...], str]]] = {
-    "q04": {"main": ((("o_rid", "orders", "o_rid", ("o_orderkey",)), ("l_rid", "lineitem", "l_rid", ("l_orderkey", "l_commitdate", "l_receiptdate"))),
-                     "o_orderkey = l_orderkey and l_commitdate < l_receiptdate")},
-    "q09": {"main": ((("l_rid", "lineitem", "l_rid", ("l_orderkey", "l_partkey", "l_suppkey")), ("p_rid", "part", "p_rid", ("p_partkey",)),
-                      ("ps_rid", "partsupp", "ps_rid", ("ps_partkey", "ps_suppkey")), ("s_rid", "supplier", "s_rid", ("s_suppkey", "s_nationkey")),
-                      ("n_rid", "nation", "n_rid", ("n_nationkey",)), ("o_rid", "orders", "o_rid", ("o_orderkey",))),
-                     "l_partkey = p_partkey and ps_partkey = l_partkey and ps_suppkey = l_suppkey and s_suppkey = l_suppkey "
-                     "and s_nationkey = n_nationkey and o_orderkey = l_orderkey")},
-    "q10": {"main": ((("l_rid", "lineitem", "l_rid", ("l_orderkey",)), ("o_rid", "orders", "o_rid", ("o_orderkey", "o_custkey")),
-                      ("c_rid", "customer", "c_rid", ("c_nationkey",)), ("n_rid", "nation", "n_rid", ("n_nationkey",))),
-                     "l_orderkey = o_orderkey and o_custkey = c_rid and c_nationkey = n_nationkey")},
-    "q12": {"main": ((("l_rid", "lineitem", "l_rid", ("l_orderkey",)), ("o_rid", "orders", "o_rid", ("o_orderkey",))), "l_orderkey = o_orderkey")},
-    "q13": {"main": ((("c_rid", "customer", "c_rid", ("c_custkey",)), ("o_rid", "orders", "o_rid", ("o_custkey",))),
-                     "o_rid is null or c_custkey = o_custkey")},
-    "q14": {"main": ((("l_rid", "lineitem", "l_rid", ("l_partkey",)), ("p_rid", "part", "p_rid", ("p_partkey",))), "l_partkey = p_partkey")},
-    "q15": {"main": ((("l_rid", "lineitem", "l_rid", ("l_suppkey",)),), "l_suppkey = s_rid"),
-            "sub": ((("sub_l_rid", "lineitem", "l_rid", ("l_shipdate",)),), "l_shipdate >= '1996-01-01' and l_shipdate < '1996-04-01'")},
-    "q16": {"main": ((("ps_rid", "partsupp", "ps_rid", ("ps_partkey",)), ("p_rid", "part", "p_rid", ("p_partkey",))), "ps_partkey = p_partkey"),
-            "sub": ((("sub_s_rid", "supplier", "s_rid", ("s_comment",)),), "s_comment like '%Customer%Complaints%'")},
-    "q17": {"main": ((("l_rid", "lineitem", "l_rid", ("l_quantity",)), ("p_rid", "part", "p_rid", ("p_brand",))), "l_partkey = p_rid and p_brand = 'Brand#23'"),
-            "sub": ((("sub_l_rid", "lineitem", "l_rid", ("l_quantity",)),), "sub_l_rid like concat('%-', l_partkey, '-%')")},
-    "q18": {"main": ((("l_rid", "lineitem", "l_rid", ("l_orderkey",)),), "l_orderkey = o_rid and l_orderkey = o_orderkey"),
-            "sub": ((("sub_l_rid", "lineitem", "l_rid", ("l_orderkey",)),), "l_orderkey = o_orderkey")},
-    "q19": {"main": ((("l_rid", "lineitem", "l_rid", ("l_partkey",)), ("p_rid", "part", "p_rid", ("p_partkey",))), "l_partkey = p_partkey")},
-    "q20": {"main": ((("s_rid", "supplier", "s_rid", ("s_suppkey", "s_nationkey")), ("ps_rid", "partsupp", "ps_rid", ("ps_partkey", "ps_suppkey")),
-                      ("l_rid", "lineitem", "l_rid", ("l_partkey", "l_suppkey"))),
-                     "s_suppkey = ps_suppkey and l_suppkey = ps_suppkey and l_partkey = ps_partkey and p_rid = ps_partkey and s_nationkey = n_rid")},
-    "q21": {"main": ((("l_rid", "lineitem", "l_rid", ("l_suppkey", "l_commitdate", "l_receiptdate")),),
-                     "l_suppkey = s_rid and l_orderkey = o_rid and l_receiptdate > l_commitdate"),
-            "sub": ((("sub_l_rid", "lineitem", "l_rid", ("l_suppkey",)),), "sub_l_rid like concat(l_orderkey, '-%')")},
-}
+BASES = {"l": "lineitem", "o": "orders", "c": "customer", "p": "part", "s": "supplier", "ps": "partsupp", "n": "nation", "r": "region"}
+#: What must hold between the base rows of a lineage row, by query and branch. Columns of the frame itself are `out_...`.
+FETCH = {
+    "q03": {"main": "l_orderkey = o_orderkey and o_custkey = c_custkey and out_l_orderkey = l_orderkey"},
+    "q04": {"main": "o_orderkey = l_orderkey and l_commitdate < l_receiptdate and out_o_orderpriority = o_orderpriority"},
+    "q09": {
+        "main": "l_partkey = p_partkey and ps_partkey = l_partkey and ps_suppkey = l_suppkey and s_suppkey = l_suppkey "
+        "and s_nationkey = n_nationkey and o_orderkey = l_orderkey and out_nation = n_name"
+    },
+    "q10": {"main": "l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and out_c_custkey = c_custkey"},
+    "q12": {"main": "l_orderkey = o_orderkey and out_l_shipmode = l_shipmode"},
+    "q13": {"main": "o_rid is null or c_custkey = o_custkey"},
+    "q14": {"main": "l_partkey = p_partkey"},
+    "q15": {
+        "main": "l_suppkey = s_suppkey and out_s_name = s_name",
+        "sub": "sub_l_shipdate >= date '1996-01-01' and sub_l_shipdate < date '1996-04-01'",
+    },
+    "q16": {
+        "main": "ps_partkey = p_partkey and out_p_brand = p_brand",
+        "sub": "sub_s_comment like '%Customer%Complaints%'",
+    },
+    "q17": {"main": "l_partkey = p_partkey and p_brand = 'Brand#23'", "sub": "sub_l_partkey = out_l_partkey"},
+    "q18": {
+        "main": "l_orderkey = o_orderkey and o_custkey = c_custkey and out_o_orderkey = o_orderkey and out_c_name = c_name",
+        "sub": "sub_l_orderkey = out_o_orderkey",
+    },
+    "q19": {"main": "l_partkey = p_partkey"},
+    "q20": {
+        "main": "s_suppkey = ps_suppkey and l_suppkey = ps_suppkey and l_partkey = ps_partkey and p_partkey = ps_partkey "
+        "and s_nationkey = n_nationkey and out_s_name = s_name"
+    },
+    "q21": {
+        "main": "l_suppkey = s_suppkey and s_nationkey = n_nationkey and l_orderkey = o_orderkey and l_receiptdate > l_commitdate "
+        "and out_s_name = s_name",
+        "sub": "sub_l_orderkey = out_l_orderkey",
+    },
+}
+
+
+def fetched(t: Tables, frame: DataFrame, rids: Sequence[str]) -> DataFrame:
+    """Lineage rows with all columns of the base rows that the ids in `rids` name: those of `sub_l_rid` are `sub_l_...`.
+
+    Other columns of the frame are renamed `out_...`.
+    """
+    rows = frame.select(*[c(x).alias(x if x in rids else f"out_{x}") for x in frame.columns])
+    for rid in rids:
+        prefix = "sub_" if rid.startswith("sub_") else ""
+        short = rid.removeprefix("sub_").removesuffix("_rid")
+        base: DataFrame = getattr(t, BASES[short])
+        renamed = base.select(*[c(x).alias("_id" if x == f"{short}_rid" else prefix + x) for x in base.columns])
+        rows = originals(rows, [(rid, renamed.select("_id", *[x for x in renamed.columns if x != "_id"]), [x for x in renamed.columns if x != "_id"])])
+    return rows
 
 
 def fetch(name: str) -> Job:
     """Traced ids joined back to their base rows: the query's own conditions must hold between them."""
 
     def job(t: Tables) -> DataFrame:
-        frame = query(name, t).frame()
+        lineage = query(name, t)
+        frame = lineage.frame()
+        subs = [r for sub in lineage.core.subs if not sub.single for r in sub.rids]
         parts = []
-        for branch, (bases, holds) in FETCH[name].items():
+        for branch, holds in FETCH[name].items():
             rows = frame.filter(c("branch") == branch) if "branch" in frame.columns else frame
-            wanted = [(rid, _base(t, table, key), columns) for rid, table, key, columns in bases]
-            checked = agreement(originals(rows, wanted), F.expr(holds))
+            rids = [x for x in frame.columns if x.endswith("_rid") and (x in subs) == (branch == "sub")]
+            checked = agreement(fetched(t, rows, rids), F.expr(holds))
             parts.append(checked.select(F.lit(branch).alias("part"), "*"))
         return reduce(DataFrame.unionByName, parts)
 
@@ -553,7 +604,7 @@ def jobs() -> dict[str, Job]:
         "runs_index_label": lambda t: with_index_label(raw_runs(t)).select("r", "op", "index_scan", "index_join", "sel"),
         "plan_flatten": lambda t: raw_runs(t).select("r", F.explode(flat_plan(c("plan"))).alias("name", "timing")),
         "plan_total": lambda t: raw_runs(t).select("r", plan_total(flat_plan(c("plan"))).alias("total")),
-        "plan_op": lambda t: raw_runs(t).select("r", plan_op(flat_plan(c("plan")), c("op")).alias("timing")),
+        "plan_op": lambda t: raw_runs(t).select("r", plan_op(flat_plan(c("plan")), plan_prefix(c("op"), c("lineage_type"))).alias("timing")),
         "plan_mat": lambda t: raw_runs(t).select("r", plan_mat(flat_plan(c("plan"))).alias("timing")),
         "query_class": lambda t: raw_runs(t).select("r", "query", query_class(c("query")).alias("qtype")),
         "net_of_parse": lambda t: raw_runs(t).filter(c("index_scan") == "True").select(

@@ -15,6 +15,8 @@ Job = Callable[[Tables], DataFrame]
 SAMPLE = 10
 #: Factorised queries whose joined form is compared as well.
 FLAT = ("q02", "q18", "q21")
+#: Queries whose edge tables are compared operator by operator.
+OPERATORS = ("q03", "q06", "q13")
 
 
 def _result(name: str) -> Job:
@@ -39,7 +41,11 @@ def _recover(name: str) -> Job:
 
 
 def _edges(name: str) -> Job:
-    return lambda t: query(name, t).frame(indexed=True)
+    return lambda t: query(name, t).composed()
+
+
+def _operators(name: str) -> Job:
+    return lambda t: query(name, t).edges()
 
 
 def _backward(name: str) -> Job:
@@ -67,6 +73,8 @@ def jobs() -> dict[str, Job]:
         found[f"best_{name}"] = _best(name)
     for name, keys in FACTORISED.items():
         found[f"fact_{name}"] = _factorised(name, keys)
+    for name in OPERATORS:
+        found[f"op_edges_{name}"] = _operators(name)
     for name in FLAT:
         found[f"flat_{name}"] = _flat(name)
     for name in DECORRELATED:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,12 +70,12 @@ def q02(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         )
         .kept(reuse)
     )
-    cheapest = offers.df.groupBy("p_partkey").agg(F.min("ps_supplycost").alias("least"))
-    rows = join_values(offers.df, cheapest, ["p_partkey"]).filter(c("ps_supplycost") == c("least"))
-    looked_at = Traced(offers.df, ("ps_rid", "s_rid", "n_rid", "r_rid")).prefixed("sub_")
+    looked_at = replace(offers, rids=("ps_rid", "s_rid", "n_rid", "r_rid")).prefixed("sub_")
     outputs = ("s_acctbal", "s_name", "n_name", "p_partkey", "p_mfgr", "s_address", "s_phone", "s_comment")
     return Lineage(
-        core=Traced(rows, ("p_rid", "s_rid", "ps_rid", "n_rid", "r_rid")).depends_on(looked_at, ["p_partkey"]),
+        core=replace(offers, rids=("p_rid", "s_rid", "ps_rid", "n_rid", "r_rid")).depends_on(looked_at, ["p_partkey"]),
+        levels=(Level(("p_partkey",), {"least": F.min("ps_supplycost")}),),
+        only=c("ps_supplycost") == c("least"),
         outputs=outputs,
         order=(c("s_acctbal").desc(), c("n_name"), c("s_name"), c("p_partkey")),
         limit=100,
@@ -330,6 +331,8 @@ def q15(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         keys=("s_suppkey",),
         base=base,
         base_rids=("s_rid",),
+        over={"total": ExactSum(c("net"))},
+        over_only=c("total") == best.scalar(),
         outputs=("s_suppkey", "s_name", "s_address", "s_phone", "total_revenue"),
         order=(c("s_suppkey"),),
     )
@@ -361,9 +364,9 @@ def q17(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     )
     usual = lines.df.groupBy("l_partkey").agg(F.avg("l_quantity").alias("usual"))
     rows = join_values(lines.df, usual, ["l_partkey"]).filter(c("l_quantity") < F.lit(0.2) * c("usual"))
-    looked_at = Traced(lines.df, ("l_rid",)).prefixed("sub_")
+    looked_at = Traced(lines.df, ("l_rid",), op=lines.op).prefixed("sub_")
     return Lineage(
-        core=Traced(rows, lines.rids).depends_on(looked_at, ["l_partkey"]),
+        core=lines.narrowed(rows).depends_on(looked_at, ["l_partkey"]),
         aggregates={"total": ExactSum(c("price"))},
         finish={"avg_yearly": real("total", 2) / F.lit(7.0)},
         outputs=("avg_yearly",),
@@ -430,12 +433,12 @@ def q20(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     stock = scan(t.partsupp).join(parts, [("ps_partkey", "p_partkey")])
     ample = stock.df.join(half, (c("ps_partkey") == c("h_partkey")) & (c("ps_suppkey") == c("h_suppkey")))
     ample = ample.filter(c("ps_availqty") > c("half"))
-    stock = Traced(ample, stock.rids).select("ps_partkey", "ps_suppkey").kept(reuse)
+    stock = stock.narrowed(ample).select("ps_partkey", "ps_suppkey").kept(reuse)
     behind = stock.join(shipped, [("ps_partkey", "l_partkey"), ("ps_suppkey", "l_suppkey")])
     behind = behind.select(c("ps_suppkey").alias("s_suppkey"))
     chosen = sellers.df.join(stock.df.select("ps_suppkey").distinct(), c("s_suppkey") == c("ps_suppkey"), "left_semi")
     return Lineage(
-        core=Traced(chosen, sellers.rids).depends_on(behind, ["s_suppkey"], single=True),
+        core=sellers.narrowed(chosen).depends_on(behind, ["s_suppkey"], single=True),
         outputs=("s_name", "s_address"),
         order=(c("s_name"), c("s_address")),
     )
@@ -465,11 +468,9 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
         .select("b_orderkey", "culprit")
     )
     blamed = Traced(blamed, ()).kept(reuse).df
-    rows = Traced(rows.df.join(blamed, c("l_orderkey") == c("b_orderkey")), rows.rids)
+    rows = rows.narrowed(rows.df.join(blamed, c("l_orderkey") == c("b_orderkey")))
     others = scan(t.lineitem).prefixed("sub_")
-    others = Traced(
-        others.df.join(blamed, (c("l_orderkey") == c("b_orderkey")) & (c("l_suppkey") != c("culprit"))), others.rids
-    )
+    others = others.narrowed(others.df.join(blamed, (c("l_orderkey") == c("b_orderkey")) & (c("l_suppkey") != c("culprit"))))
     return Lineage(
         core=rows.select("s_name", "l_orderkey").kept(reuse).depends_on(others, ["l_orderkey"]),
         keys=("s_name",),

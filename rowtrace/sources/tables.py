@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from typing import Any
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.session import fresh_path
+from rowtrace.session import DEFAULT_LIMITS, fresh_path
 
 MONEY = "decimal(12,2)"
 
@@ -32,6 +35,28 @@ SCHEMAS = {
 }
 
 
+# Primary keys, by the prefix of the table's columns.
+PRIMARY = {
+    "r": ("regionkey",), "n": ("nationkey",), "s": ("suppkey",), "c": ("custkey",), "p": ("partkey",), "o": ("orderkey",),
+    "ps": ("partkey", "suppkey"),
+}
+
+
+def key_columns(rid: str) -> tuple[str, ...]:
+    """Key columns that stand beside an id: `n1_rid` -> `n1_nationkey`; none if they are not known."""
+    prefix = rid.removesuffix("_rid")
+    return tuple(f"{prefix}_{column}" for column in PRIMARY.get(prefix.rstrip("0123456789"), ()))
+
+
+SLASHES = ":/+"  # `file:/a` and `file:///a` are one path
+#: Bits of an id that hold the position in a file; those above hold the file's number.
+POSITION_BITS = 40
+
+
+def place_id(file: Column, position: Column) -> Column:
+    return F.shiftleft(file.cast("long"), POSITION_BITS) + position
+
+
 def _text(*parts: Column | str) -> Column:
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.concat_ws("-", *[c.cast("string") for c in columns])
@@ -53,7 +78,8 @@ class Tables:
     """Reads one data folder; every property is a DataFrame with a `<prefix>_rid` column.
 
     rid="keys": ids made of the key columns, the same in any engine.
-    rid="file": file path and position in the file, for tables without a key.
+    rid="file": the number of the file and the position in it, in one long; needs no key. `files` and `places` lead
+    back to the paths.
 
     Columns that the files hold are read as they are (brought to the types below);
     only those they lack are derived. A stored `partsupp` is read; otherwise it is
@@ -67,6 +93,9 @@ class Tables:
         self.folder = folder.rstrip("/")
         self.rid = rid
         self._raw: dict[str, DataFrame] = {}
+        self._listed: dict[str, list[str]] = {}
+        #: What was written for later questions, by name: it lives as long as this object.
+        self.stores: dict[str, Any] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
@@ -88,14 +117,13 @@ class Tables:
 
         `_metadata` has to be read next to the scan, hence one select for all.
         """
-        if self.rid == "keys":
-            value = F.col(keys[0]) if len(keys) == 1 else _text(*keys)
+        located = self.rid == "file"
+        if located:
+            value = F.col("_metadata.row_index")
         else:
-            value = F.concat_ws(
-                "#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
-            )
+            value = F.col(keys[0]) if len(keys) == 1 else _text(*keys)
         found = dict(self.raw(name).dtypes)
-        wanted = {part.split()[0]: part.split()[1].replace("long", "bigint") for part in SCHEMAS[name].split(",")}
+        wanted = {part.split()[0]: part.split()[1].replace("long", "bigint") for part in SCHEMAS[name.rstrip('*')].split(",")}
         columns = []
         for column in dict.fromkeys([*wanted, *derived]):
             if column not in found and column in derived:
@@ -106,7 +134,35 @@ class Tables:
                 columns.append(F.col(column).cast(wanted[column]).alias(column))
             else:
                 columns.append(F.col(column))
-        return self.raw(name).select(*columns, value.alias(rid))
+        if not located:
+            return self.raw(name).select(*columns, value.alias(rid))
+        paths = self._paths(name)
+        if len(paths) == 1:
+            return self.raw(name).select(*columns, value.alias(rid))
+        rows = self.raw(name).select(*columns, value.alias("_position"), F.regexp_replace(F.col("_metadata.file_path"), SLASHES, ":/").alias("_path"))
+        files = self.files(name)
+        files = F.broadcast(files) if len(paths) <= DEFAULT_LIMITS.broadcast_rows else files
+        named = [c for c in rows.columns if c not in ("_position", "_path")]
+        return rows.join(files, F.col("_path") == F.col("path")).select(*named, place_id(F.col("file"), F.col("_position")).alias(rid))
+
+    def _paths(self, name: str) -> list[str]:
+        """Files of a table in the order of their numbers: the driver's own listing."""
+        if name not in self._listed:
+            self._listed[name] = sorted({re.sub(SLASHES, ":/", path) for path in self.raw(name).inputFiles()})
+            if len(self._listed[name]) >= 1 << (63 - POSITION_BITS):
+                raise ValueError(f"{name} has more files than ids can number")
+        return self._listed[name]
+
+    def files(self, name: str) -> DataFrame:
+        """(file, path) of a table read with rid="file"."""
+        return self.spark.createDataFrame(list(enumerate(self._paths(name))), "file long, path string")
+
+    def places(self, name: str, ids: DataFrame, rid: str) -> DataFrame:
+        """`ids` with the path of the file and the position in it that the id column `rid` stands for."""
+        files = self.files(name).withColumnsRenamed({"file": "_file", "path": "file_path"})
+        position = F.col(rid).bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).alias("row_index")
+        found = ids.select("*", F.shiftright(rid, POSITION_BITS).alias("_f"), position)
+        return found.join(files, F.col("_f") == F.col("_file")).drop("_f", "_file")
 
     @property
     def region(self) -> DataFrame:
@@ -190,7 +246,6 @@ class Tables:
                 F.min("l_extendedprice").cast("double").alias("ps_supplycost"),
                 F.sum(F.col("l_quantity").cast("int")).alias("ps_availqty"),
             ).select(
-                _text("l_partkey", "l_suppkey").alias("ps_rid"),
                 F.col("l_partkey").alias("ps_partkey"),
                 F.col("l_suppkey").alias("ps_suppkey"),
                 "ps_supplycost",
@@ -199,7 +254,7 @@ class Tables:
             path = fresh_path(self.spark, "partsupp")
             made.write.parquet(path)
             self._raw["partsupp*"] = self.spark.read.schema(made.schema).parquet(path)
-        return self._raw["partsupp*"]
+        return self.with_rid("partsupp*", "ps_rid", ["ps_partkey", "ps_suppkey"])
 
     @property
     def events(self) -> DataFrame:

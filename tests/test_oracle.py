@@ -13,7 +13,9 @@ CHOSEN = sorted(
     n for n in JOBS
     if n.startswith(("q", "gen_", "edge_", "lookup_", "runs_", "plan_", "overhead_", "op_", "index_", "src_", "sink_"))
     or n in ("rid_q02", "rid_q13", "rid_q18", "rid_q21", "back_q11", "back_q18", "rid_mtm", "rid_theta_lt", "win_q01")
-    or n.startswith("flat_")
+    or n.startswith(("flat_", "fetch_"))
+    or n in ("edges_q03", "edges_q06", "edges_q13", "edges_q18", "edges_q20", "win_q02", "win_q15", "trace_by_key")
+    or n in ("rid_mtm_skewed", "rid_mtm_chosen", "rid_group_bitmap", "rid_group_bitmap_rows", "rid_group_bitmap_union", "rid_theta_or")
 )
 
 
