@@ -7,7 +7,7 @@ beginning of a word.
 
 The lexicon is learned from a sample of labelled rows, of a size that is a
 parameter: words and beginnings of words are counted by document and label; those that are much likelier in
-toxic documents become entries, weighted by the logarithm of the ratio. A
+toxic documents become entries, weighted by the logarithm of the ratio (their number is bounded by the sample). A
 beginning stands for all of its words, and longer ones that add nothing are left
 out. Exception phrases are words and pairs that hold an entry but are not likelier
 in toxic documents; a match inside one does not count.
@@ -20,7 +20,8 @@ language, source and id are never inputs of a score.
 Defined cases: null and empty texts have no evidence and the lowest score; texts
 are folded whole; repeated rows get equal scores; labels without a document or
 without a value are left out, and of several labels of a document the highest
-holds; without any labels every score is 0; an empty table gives an empty result;
+holds; of several documents with a labelled id the one of the least text teaches;
+without any labels every score is 0; an empty table gives an empty result;
 other columns are left alone.
 """
 
@@ -40,7 +41,6 @@ from rowtrace.llm.common import Batches, boxed, cut, in_arrow, slices, table
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-ENTRIES = 5_000  # of the lexicon, and of the exceptions, at most
 LEAST_DOCUMENTS = 5  # toxic training documents that hold an entry
 LEAST_RATIO = 15.0  # likelier in toxic documents by
 STRONGEST = 3  # entries of a document that may explain its label
@@ -159,8 +159,7 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], list[str]]:
         .filter((F.col("bad") >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO))
         .select("feature", weight.alias("weight"))
         .orderBy(F.desc("weight"), "feature")
-        .limit(ENTRIES)
-        .collect()
+        .collect()  # features that several texts of the bounded sample have
     )
     weights = {r["feature"]: r["weight"] for r in chosen}
     entries = {f: w for f, w in weights.items() if not _covered(f, weights)}
@@ -173,7 +172,6 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], list[str]]:
         _summed(training, entries, "phrases")
         .filter((F.col("clean") >= LEAST_DOCUMENTS) & (ratio < 1))
         .orderBy(F.desc("clean"), "feature")
-        .limit(ENTRIES)
         .collect()
     )
     return entries, [r["feature"] for r in exceptions if r["feature"] not in entries]
@@ -194,6 +192,20 @@ def _automaton(lexicon: dict[str, float], exceptions: list[str] | None = None) -
     return built
 
 
+def unshielded(matches: list[tuple[int, int, float]], shields: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Matches (start, end, weight) that lie in none of the shields (start, end); both come in the order of their ends,
+    and are gone through once, from the last."""
+    kept = []
+    at, reach = len(shields) - 1, math.inf  # the first start of the shields that end here or later
+    for match in reversed(matches):
+        while at >= 0 and shields[at][1] >= match[1]:
+            reach = min(reach, shields[at][0])
+            at -= 1
+        if reach > match[0]:
+            kept.append(match)
+    return kept[::-1]
+
+
 def evidence(built: ahocorasick.Automaton | None, text: str) -> tuple[float, float]:
     """Weight of the matches outside exceptions, damped, and the same per hundred words."""
     folded = fold(text)
@@ -206,7 +218,7 @@ def evidence(built: ahocorasick.Automaton | None, text: str) -> tuple[float, flo
         else:
             matches.append((end - length + 1, end, weight))
     if shields:
-        matches = [m for m in matches if not any(a <= m[0] and m[1] <= b for a, b in shields)]
+        matches = unshielded(matches, shields)
     if not matches:
         return 0.0, 0.0
     # of entries that begin at the same place the heaviest counts
@@ -261,7 +273,9 @@ class Judge:
         # as many of either label, in the order of a hash: bounded, so it may be broadcast
         first = [marked.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for v in (0, 1)]
         picked = cut(first[0].unionAll(first[1]))
-        training = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+        # of several rows of an id one teaches, so what the driver gets is bounded by the sample
+        labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+        training = cut(labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
         self.lexicon, self.exceptions = learn_lexicon(training)
         self.curve: list[float] | None = None
         if self.lexicon:
