@@ -45,6 +45,7 @@ PENALTY = 2
 BLOCK_BYTES = 8 << 20  # of benchmark text in a block
 BATCH_BYTES = 2 << 20
 FILTER_BITS = 20
+HITS = 1 << 20  # that are worked out at once (or those of one place in a text)
 
 _is_token = np.zeros(256, bool)
 _is_token[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -95,32 +96,42 @@ class Block:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document token, benchmark token) of every hit."""
-        found_d, found_b = [], []
+    def diagonals(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, offset) at which a seed of the text meets one of the item.
+
+        Hits are worked out a bounded number at a time and told apart at once: a seed that is very common, in the text
+        or among the items, costs time, not memory.
+        """
+        sizes, lengths = np.diff(first), np.diff(self.first)
+        shift = int(lengths.max(initial=0))
+        width = shift + int(sizes.max(initial=0)) + 1
+        known = np.zeros(0, np.int64)
         for m, mask in enumerate(MASKS):
             at, key = seeds(hashes, first, mask, m)
             likely = np.flatnonzero(self.filter[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at, key = at[likely], key[likely]
             low = np.searchsorted(self.keys, key, side="left")
             counts = np.searchsorted(self.keys, key, side="right") - low
-            found_d.append(np.repeat(at, counts))
-            offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            found_b.append(self.places[np.repeat(low, counts) + offsets])
-        return np.concatenate(found_d), np.concatenate(found_b)
+            found = np.flatnonzero(counts)
+            at, low, counts = at[found], low[found], counts[found]
+            run = (np.cumsum(counts) - counts) // HITS
+            for begin, end in zip(*(np.searchsorted(run, np.unique(run), side) for side in ("left", "right")), strict=True):
+                n = counts[begin:end]
+                ours = np.repeat(at[begin:end], n)
+                theirs = self.places[np.repeat(low[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                text = np.searchsorted(first, ours, side="right") - 1
+                item = np.searchsorted(self.first, theirs, side="right") - 1
+                offset = (ours - first[text]) - (theirs - self.first[item])
+                known = np.union1d(known, (text * len(lengths) + item) * width + offset + shift)
+        pair = known // width
+        return np.column_stack((pair // max(1, len(lengths)), pair % max(1, len(lengths)), known % width - shift))
 
     def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first token in the text, equal tokens, those of the best stretch) of the best overlap of each
         text and item that meet."""
-        at, place = self.hits(hashes, first)
-        text = np.searchsorted(first, at, side="right") - 1
-        item = np.searchsorted(self.first, place, side="right") - 1
-        begin = (at - first[text]) - (place - self.first[item])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         found: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        if not len(at):
-            return []
-        for t, b, offset in np.unique(np.column_stack((text, item, begin)), axis=0).tolist():
+        for t, b, offset in self.diagonals(hashes, first).tolist():
             length = int(self.first[b + 1] - self.first[b])
             low, high = max(0, offset), min(int(first[t + 1] - first[t]), offset + length)
             ours = hashes[first[t] + low : first[t] + high]

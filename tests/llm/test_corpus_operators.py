@@ -1,5 +1,6 @@
 """URL filters, toxicity, page text, sharding, mixing and the pipeline against the contracts and brute force."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -181,6 +182,43 @@ def test_toxicity(spark):
     assert judge.scores(empty(spark), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_shielded_matches_equal_brute_force(seed):
+    r = random.Random(seed)
+    spans = sorted(((a, a + r.randint(0, 9)) for a in (r.randint(0, 60) for _ in range(40))), key=lambda x: x[1])
+    matches, shields = [(a, b, 1.0 * a) for a, b in spans if r.random() < 0.6], [x for x in spans if r.random() < 0.3]
+    want = [m for m in matches if not any(a <= m[0] and m[1] <= b for a, b in shields)]
+    assert toxicity.unshielded(matches, shields) == want
+
+
+def test_matches_equal_a_plain_search():
+    r = random.Random(12)
+    lexicon = {" gro": 1.5, "mock": 0.7, " vil": 2.0, "ckf": 0.2}
+    exceptions = [" vil mock ", "grow"]
+    built = toxicity._automaton(lexicon, exceptions)
+    for _ in range(200):
+        text = " ".join(r.choice(["grow", "gr0", "vil", "mock", "vilmock", "ckfest", "plain", "grotz"]) for _ in range(r.randint(0, 12)))
+        folded = toxicity.fold(text)
+        hidden = [(i, i + len(e)) for e in exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+        best = {}
+        for entry, weight in lexicon.items():
+            for i in range(len(folded)):
+                if folded.startswith(entry, i) and not any(a <= i and i + len(entry) <= b for a, b in hidden):
+                    best[i] = max(best.get(i, 0), weight)
+        total = sum(best.values())
+        want = (math.log1p(total), math.log1p(100 * total / folded.count(" "))) if total else (0.0, 0.0)
+        assert toxicity.evidence(built, text) == pytest.approx(want)
+
+
+def test_many_rows_of_a_labelled_id_teach_once(spark):
+    rows, labels = toxic_rows()
+    schema = "doc_id long, quality int, toxic int"
+    marked = spark.createDataFrame(labels, schema)
+    plain = toxicity.Judge(documents(spark, rows), marked)
+    again = toxicity.Judge(documents(spark, rows + [rows[5]] * 500 + [rows[6]] * 300), marked)
+    assert again.lexicon == plain.lexicon and again.exceptions == plain.exceptions and again.curve == pytest.approx(plain.curve)
+
+
 def test_folding():
     assert toxicity.fold("Gr0tzly, l33t 2024 @ ﬁne") == " grotzly leet 2024 fine "
     assert toxicity.fold("").strip() == ""
