@@ -23,7 +23,9 @@ RAW = """raw as (
          event_id % 2 = 0 as flag,
          case when event_id % 5 > 0 then (event_id % 5) / 5.0::double end as share,
          ((value * 0.1::double) + value * 0.6::double) + value * 0.3::double as plan_runtime,
-         value * 0.6::double as op_runtime, value * 0.1::double as mat_time
+         value * 0.6::double as op_runtime, value * 0.1::double as mat_time,
+         1000 * (event_id % 3 + 1) as n1, 100 * (event_id % 2 + 1) as n2, (event_id % 3) * 0.5::double as skew,
+         event_id % 2 + 1 as ncol, event_id % 7 + 1 as groups, cast(event_id % 2 + 1 as double) as sf, event_id % 4 + 1 as n_threads
   from events),
 labelled as (
   select * exclude (flag, share),
@@ -43,6 +45,55 @@ MAXIMA = ("output", "nchunks", "lineage_size", "lineage_count", "postprocess")
 MEANS = ("runtime", "plan_runtime", "op_runtime", "mat_time")
 TPCH = ("query", "qtype")
 MICRO = ("op", "index_join", "sel")
+SETTINGS = ("op", "n1", "n2", "skew", "ncol", "sel", "groups", "index_join", "sf", "n_threads")
+# name -> (how it is shown, its kind)
+LOOKED_UP = [
+    ("parse", "Parse", "misc"), ("filter", "Filter", "misc"), ("orderby", "Order By", "misc"), ("simpleagg", "Simple Agg", "agg"),
+    ("groupby", "Group By", "agg"), ("perfgroupby", "Perfect GrpBy", "agg"), ("nljoin", "NL Join", "Join"),
+    ("mergejoin", "Merge Join", "Join"), ("hashjoin", "Hash Join", "Join"),
+]
+OIDS = "[1, 10, 100, 1000][r % 4 + 1]"
+PARSE = "case when r % 5 > 0 then runtime * 0.1::double else 0.0::double end"
+LOOKED_OP = f"[{', '.join(repr(op) for op, _, _ in LOOKED_UP)}][r % 9 + 1]"
+# The spelling of labels and statistics in the files.
+SPELLED = """case e.event_type when 'view' then 'Baseline' when 'signup' then case when r % 2 = 0 then 'SD_Capture' else 'SD_full' end
+  when 'error' then 'SD_copy' when 'purchase' then 'SD_stats'
+  else case when lineage_type = 'Logical-OPT' then 'Logical-OPT' when r % 3 = 0 then 'Perm' else 'Logical-RID' end end"""
+STATS = """case when e.event_type = 'purchase' then concat_ws(',', (r % 500)::varchar, (r % 700)::varchar, (r % 9)::varchar,
+  case when r % 2 = 0 then (r % 40)::varchar end) end"""
+# Columns of each family of run files: whole numbers as text, times as numbers.
+WHOLE = {
+    "r": "r", "repeat": "r", "cardinality": "output", "output": "output", "rowCount": "output", "n1": "n1", "n2": "n2", "ncol": "ncol",
+    "n_threads": "n_threads", "size": "r % 500", "lineage_size": "r % 500", "base_size": "r % 400", "num_records": "n1", "oids": OIDS,
+    "ablation": "case when r % 2 = 0 then -1 else 1 end", "groups": "groups", "query": "query", "queryId": "query", "query_id": "query",
+    "sel": "r % 5",
+}
+OTHER = {
+    "runtime": "runtime", "sf": "sf", "skew": "skew", "min": "runtime * 0.5::double", "max": "runtime * 2::double", "avg_duration": "runtime",
+    "row_count": "output::double", "zipf_a": "skew", "avg_parse_time": PARSE, "stats": STATS, "lineage_type": SPELLED, "notes": "'run'",
+    "mode": "'mode'", "plan_timings": "op", "index_scan": "case when flag then 'True' else 'False' end",
+    **{f"time_in_sec{k}": f"runtime + {0.25 * k}::double" for k in range(1, 6)},
+}
+FAMILIES = {
+    "micro_old": "query runtime cardinality groups output stats lineage_type notes",
+    "micro": "r query runtime n1 n2 sel skew ncol groups index_scan output stats lineage_type notes plan_timings",
+    "capture_v1": "query runtime sf repeat lineage_type n_threads size notes",
+    "capture_v2": "query runtime sf repeat lineage_type n_threads output stats notes",
+    "capture_v3": "query runtime sf repeat lineage_type n_threads output stats notes plan_timings",
+    "backward": "query runtime min max sf repeat lineage_type n_threads lineage_size base_size",
+    "per_query": "queryId sf mode avg_duration rowCount",
+    "per_operator": "op avg_duration row_count zipf_a num_records groups oids avg_parse_time",
+    "filter_scaling": "op avg_duration row_count zipf_a num_records groups oids",
+    "postprocess": "query_id sf ablation time_in_sec1 time_in_sec2 time_in_sec3 time_in_sec4 time_in_sec5",
+}
+
+
+def family_sql(number: int, family: str) -> str:
+    columns = []
+    for name in FAMILIES[family].split():
+        value = f"cast({WHOLE[name]} as varchar)" if name in WHOLE else LOOKED_OP if name == "op" else OTHER[name]
+        columns.append(f'{value} as "{name}"')
+    return f"select '{family}' as family, {', '.join(columns)} from raw join events e on e.event_id = r where r % 10 = {number}"
 
 
 def r6(expression: str, name: str = "") -> str:
@@ -242,23 +293,18 @@ def sql() -> dict[str, str]:
         "plan_op": f"{raw} select r, op_runtime as timing from raw",
         "plan_mat": f"{raw} select r, mat_time as timing from raw",
         "query_class": f"{raw} select r, query, qtype from labelled",
-        "net_of_parse": f"{raw} select r, (runtime - runtime * 0.1::double) * 1000 as ms from raw where flag",
+        "net_of_parse": f"""{raw} select n.shown as op, n.kind as category, (runtime - {PARSE}) * 1000 as ms
+            from raw join (values {", ".join(map(str, LOOKED_UP))}) n(name, shown, kind) on n.name = {LOOKED_OP}
+            where {PARSE} <> 0 and {OIDS} = 1000 and n.name <> 'parse'""",
         "chunk_count": f"{raw} select r, output / 1024 as chunks from raw",
         "fill_missing_variant": f"{raw}, {FILLED} select query, r, lineage_type, runtime from filled",
-        "src_csv_runs": f"""{raw} select query::varchar as query, runtime, 1.0::double as sf, r as repeat,
-            case when event_type = 'purchase' then 'SD_stats' when event_type = 'view' then 'Baseline' else 'SD_copy' end as lineage_type,
-            1 as n_threads, output,
-            case when event_type = 'purchase' then concat_ws(',', (r % 500)::varchar, (r % 700)::varchar, (r % 9)::varchar,
-              case when r % 2 = 0 then (r % 40)::varchar end) end as stats,
-            'run' as notes, case when event_type <> 'purchase' then op end as plan_timings
-            from raw join events on event_id = r where event_type in ('purchase', 'view', 'error')""",
+        "src_csv_runs": f"{raw} " + " union all by name ".join(family_sql(k, family) for k, family in enumerate(FAMILIES)),
         "ablation_union": f"""{raw} select 'Q' || query as query_id,
-            case lineage_type when 'SD_full' then 'No Indexes' when 'SD_copy' then '+Zone Maps'
-              when 'SD_stats' then '+Group By Idxs' else 'Postprocess' end as ablation,
-            case when lineage_type = 'Baseline'
-              then (runtime + runtime * 2 + runtime * 3 + runtime * 4 + runtime * 5) / 5.0::double
-              else runtime end * 1000 as ms
-            from raw where query in (1, 4, 14, 15, 17) and lineage_type not like 'Logical%'""",
+            case lineage_type when 'SD_full' then 'No Indexes' when 'SD_copy' then '+Zone Maps' else '+Group By Idxs' end as ablation,
+            runtime * 1000 as ms from raw where query in (1, 4, 14, 15, 17) and lineage_type in ('SD_full', 'SD_copy', 'SD_stats')
+            union all select 'Q' || query, 'Postprocess',
+              ({" + ".join(f"(runtime + {0.25 * k}::double)" for k in range(1, 6))}) / 5.0::double * 1000
+            from raw where query in (1, 4, 14, 15, 17) and r % 2 = 0 and sf = 1""",
         "cumulative_cost": f"""{phases}, steps as (
               select query, 'native' as system, 1 as phase, native_capture as cost from costs union all
               select query, 'native', 2, native_post from costs union all
@@ -278,8 +324,8 @@ def sql() -> dict[str, str]:
         "trace_by_key": " union all ".join(traced_sql(q) for q in measured),
         "trace_sample": " union all ".join(sample_sql(q, 10) for q in measured),
         "trace_all": " union all ".join(sample_sql(q, 1_000_000) for q in measured),
-        "runs_avg": f"with {RAW}, {means(MICRO, 'labelled')} "
-        + rounded([*MICRO, "lineage_type"], [*MEANS, *MAXIMA], "means"),
+        "runs_avg": f"with {RAW}, {means(SETTINGS, 'labelled')} "
+        + rounded([*SETTINGS, "lineage_type"], [*MEANS, *MAXIMA], "means"),
         "runs_avg_query": f"with {RAW}, {means(TPCH, 'labelled')} "
         + rounded([*TPCH, "lineage_type"], [*MEANS, *MAXIMA], "means"),
         "runs_with_baseline": f"with {chain(TPCH)} "

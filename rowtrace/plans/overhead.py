@@ -18,7 +18,7 @@ from rowtrace.operators.trace import agreement, id_counts, originals, sizes
 from rowtrace.plans.params import DECORRELATED, TRACE_KEYS
 from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.session import fresh_path
-from rowtrace.sources.runs import read_runs, union_families
+from rowtrace.sources.runs import FAMILIES, read_runs, union_families
 from rowtrace.sources.sinks import write_csv
 from rowtrace.sources.tables import Tables
 
@@ -36,6 +36,12 @@ LABELS = {
     "SD_Capture": "SD_full", "SD_full": "SD_full", "SD_copy": "SD_copy", "SD_stats": "SD_stats",
     "SD_Persist": "SD_copy", "SD_Query": "SD_query", "LIN": "SD_query", "Baseline": "Baseline",
 }
+# Operators of the lookup runs, how they are shown, and their kind; parsing is timed as one more.
+LOOKED_UP = {
+    "parse": ("Parse", "misc"), "filter": ("Filter", "misc"), "orderby": ("Order By", "misc"), "simpleagg": ("Simple Agg", "agg"),
+    "groupby": ("Group By", "agg"), "perfgroupby": ("Perfect GrpBy", "agg"), "nljoin": ("NL Join", "Join"),
+    "mergejoin": ("Merge Join", "Join"), "hashjoin": ("Hash Join", "Join"),
+}
 OPERATORS = ("SEQ_SCAN", "FILTER", "ORDER_BY", "HASH_GROUP_BY", "HASH_JOIN", "INDEX_JOIN_mtm")
 LOGICAL = ("Logical-RID", "Logical-OPT", "Logical-window", "Logical-list", "Logical-concat")
 MIB = 1024.0 * 1024.0
@@ -88,6 +94,13 @@ def raw_runs(t: Tables) -> DataFrame:
         F.when(ident % 2 == 0, "True").otherwise("False").alias("index_scan"),
         F.when(ident % 5 > 0, (ident % 5 / 5.0)).alias("sel"),
         F.concat(F.lit('{"name": "ROOT", "children": ['), plan, F.lit("]}")).alias("plan"),
+        (1000 * (ident % 3 + 1)).alias("n1"),
+        (100 * (ident % 2 + 1)).alias("n2"),
+        ((ident % 3) * 0.5).alias("skew"),
+        (ident % 2 + 1).alias("ncol"),
+        (ident % 7 + 1).alias("groups"),
+        (ident % 2 + 1).cast("double").alias("sf"),
+        (ident % 4 + 1).alias("n_threads"),
     )
 
 
@@ -112,7 +125,7 @@ def stem(op: Column) -> Column:
     return F.regexp_replace(op, "_mtm$", "")
 
 
-PLAN_DEPTH = 16  # levels of a nested plan; deeper ones are an error, not cut
+PLAN_DEPTH = 10  # levels of a nested plan; deeper ones are an error, not cut
 
 
 def _plan_type(depth: int) -> T.StructType:
@@ -208,6 +221,8 @@ MEANS = ("runtime", "plan_runtime", "op_runtime", "mat_time")
 MAXIMA = ("output", "nchunks", "lineage_size", "lineage_count", "postprocess")
 TPCH = ("query", "qtype")
 MICRO = ("op", "index_join", "sel")
+#: All that a run of a single operator is told apart by.
+SETTINGS = ("op", "n1", "n2", "skew", "ncol", "sel", "groups", "index_join", "sf", "n_threads")
 
 
 def mean(name: str) -> Column:
@@ -396,19 +411,29 @@ def pairwise_systems(t: Tables) -> DataFrame:
 
 
 def ablation_union(t: Tables) -> DataFrame:
-    """Lookup time without index, with zone maps, with group indexes, and index building, in ms."""
+    """Lookup time without index, with zone maps, with group indexes, and of index building (the mean of five times), in ms."""
     rows = runs(t).filter(c("query").isin(1, 4, 14, 15, 17))
     sources = [("SD_full", "No Indexes"), ("SD_copy", "+Zone Maps"), ("SD_stats", "+Group By Idxs")]
     parts = [
-        rows.filter(c("lineage_type") == kind).select("query", F.lit(name).alias("ablation"), c("runtime").alias("s"))
+        rows.filter(c("lineage_type") == kind).select(c("query").cast("string").alias("query"), F.lit(name).alias("ablation"), c("runtime").alias("s"))
         for kind, name in sources
     ]
-    repeats = reduce(lambda a, b: a + b, [c("runtime") * k for k in (1, 2, 3, 4, 5)]) / 5.0
-    parts.append(
-        rows.filter(c("lineage_type") == "Baseline").select("query", F.lit("Postprocess").alias("ablation"), repeats.alias("s"))
-    )
+    built = family_rows(t, "postprocess").filter((c("ablation") == -1) & (c("sf") == 1) & c("query_id").isin("1", "4", "14", "15", "17"))
+    mean_time = reduce(Column.__add__, [c(f"time_in_sec{k}") for k in range(1, 6)]) / 5.0
+    parts.append(built.select("query_id", F.lit("Postprocess").alias("ablation"), mean_time.alias("s")))
     whole = reduce(DataFrame.union, parts)
-    return whole.select(F.concat(F.lit("Q"), c("query").cast("string")).alias("query_id"), "ablation", (c("s") * 1000).alias("ms"))
+    return whole.select(F.concat(F.lit("Q"), c("query")).alias("query_id"), "ablation", (c("s") * 1000).alias("ms"))
+
+
+def net_of_parse(t: Tables) -> DataFrame:
+    """Lookups of 1000 ids by operator, without the time that parsing took, in ms."""
+    rows = family_rows(t, "per_operator").filter((c("avg_parse_time") != 0) & (c("oids") == 1000))
+    names = F.create_map(*[F.lit(x) for op, (name, _) in LOOKED_UP.items() for x in (op, name)])
+    kinds = F.create_map(*[F.lit(x) for op, (_, kind) in LOOKED_UP.items() for x in (op, kind)])
+    known = rows.filter(c("op") != "parse")
+    return known.select(
+        names[c("op")].alias("op"), kinds[c("op")].alias("category"), ((c("avg_duration") - c("avg_parse_time")) * 1000).alias("ms")
+    )
 
 
 def phase_costs(t: Tables) -> DataFrame:
@@ -448,21 +473,53 @@ def break_even(t: Tables) -> DataFrame:
     )
 
 
+def family_rows(t: Tables, family: str) -> DataFrame:
+    """The runs as a file of the family has them."""
+    ident, value = c("r"), c("runtime")
+    text, whole = c("query").cast("string"), c("output")
+    values = {
+        "queryId": text, "query_id": text, "repeat": ident, "cardinality": whole, "rowCount": whole, "row_count": whole,
+        "size": ident % 500, "lineage_size": ident % 500, "base_size": ident % 400, "notes": F.lit("run"), "mode": F.lit("mode"),
+        "plan_timings": c("op"), "avg_duration": value, "min": value * 0.5, "max": value * 2, "zipf_a": c("skew"), "num_records": c("n1"),
+        "sel": (ident % 5).cast("string"), "oids": _choice(ident % 4, [1, 10, 100, 1000]),
+        "avg_parse_time": F.when(ident % 5 > 0, value * 0.1).otherwise(0.0),
+        "ablation": F.when(ident % 2 == 0, -1).otherwise(1), **{f"time_in_sec{k}": value + 0.25 * k for k in range(1, 6)},
+    }
+    if family in ("per_operator", "filter_scaling"):
+        values["op"] = _choice(ident % len(LOOKED_UP), list(LOOKED_UP))
+    columns = [x.strip().split(" ") for x in FAMILIES[family].split(",")]
+    return raw_runs(t).select(*[values.get(name, c(name)).cast(kind).alias(name) for name, kind in columns])
+
+
 def csv_families(t: Tables) -> DataFrame:
-    """Two families of run files with different headers, one appended to twice, read as one table."""
-    rows = raw_runs(t)
-    shared = [
-        c("query").cast("string").alias("query"), "runtime", F.lit(1.0).alias("sf"), c("r").alias("repeat"),
-        "lineage_type", F.lit(1).alias("n_threads"), "output", "stats", F.lit("run").alias("notes"),
-    ]
-    third, second = fresh_path(t.spark, "v3"), fresh_path(t.spark, "v2")
-    for kind, append in (("Baseline", False), ("SD_copy", True)):
-        write_csv(rows.filter(c("lineage_type") == kind).select(*shared, c("op").alias("plan_timings")), third, append=append)
-    write_csv(rows.filter(c("lineage_type") == "SD_stats").select(*shared), second)
-    frames = [read_runs(t.spark, third, "capture_v3"), read_runs(t.spark, second, "capture_v2")]
+    """Run files of all families with their different headers, one of them appended to, read as one table.
+
+    Every run goes into a file of one family. Whole numbers are text in the result, as families lack columns.
+    """
+    frames = []
+    for number, family in enumerate(FAMILIES):
+        path = fresh_path(t.spark, family)
+        # families without a run number are dealt by the same rule, before the projection
+        mine = family_rows(DealtTables(t, number, len(FAMILIES)), family)
+        halves = [mine] if family != "capture_v3" else [mine.filter(c("repeat") % 2 == 0), mine.filter(c("repeat") % 2 == 1)]
+        for k, half in enumerate(halves):
+            write_csv(half, path, append=k > 0)
+        read = read_runs(t.spark, path, family)
+        plain = [c(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "long" else c(f.name) for f in read.schema.fields]
+        frames.append(read.select(F.lit(family).alias("family"), *plain))
     return union_families(frames)
 
 
+class DealtTables:
+    """The run table's source, one part of `parts` of it."""
+
+    def __init__(self, tables: Tables, part: int, parts: int) -> None:
+        self.tables, self.part, self.parts = tables, part, parts
+
+    def raw(self, name: str) -> DataFrame:
+        return self.tables.raw(name).filter(c("event_id") % self.parts == self.part)
+
+
 # -- measures of the captured lineage itself ---------------------------------------
 
 def lineage_stats(t: Tables) -> DataFrame:
@@ -607,9 +664,7 @@ def jobs() -> dict[str, Job]:
         "plan_op": lambda t: raw_runs(t).select("r", plan_op(flat_plan(c("plan")), plan_prefix(c("op"), c("lineage_type"))).alias("timing")),
         "plan_mat": lambda t: raw_runs(t).select("r", plan_mat(flat_plan(c("plan"))).alias("timing")),
         "query_class": lambda t: raw_runs(t).select("r", "query", query_class(c("query")).alias("qtype")),
-        "net_of_parse": lambda t: raw_runs(t).filter(c("index_scan") == "True").select(
-            "r", ((c("runtime") - c("runtime") * 0.1) * 1000).alias("ms")
-        ),
+        "net_of_parse": net_of_parse,
         "chunk_count": lambda t: raw_runs(t).select("r", (c("output") / 1024).alias("chunks")),
         "fill_missing_variant": lambda t: fill_missing_variant(runs(t)).select("query", "r", "lineage_type", "runtime"),
         "src_csv_runs": csv_families,
@@ -624,7 +679,7 @@ def jobs() -> dict[str, Job]:
         "trace_all": trace_all,
     }
     rounded: dict[str, Job] = {
-        "runs_avg": lambda t: averaged(runs(t), MICRO),
+        "runs_avg": lambda t: averaged(runs(t), SETTINGS),
         "runs_avg_query": lambda t: averaged(runs(t), TPCH),
         "runs_with_baseline": lambda t: joined(t, TPCH),
         "overhead_logical": lambda t: overhead_logical(joined(t, MICRO), MICRO),
