@@ -32,7 +32,8 @@ class Sub:
     `link` names columns found in both the outer rows and `frame`; an outer row
     depends on the sub rows with equal link values (no link: on all of them).
     `single` says that at most one outer row has a given link value, so that the
-    joined form is no larger than `frame`.
+    joined form is no larger than `frame`. `outer` are the rows of which the existence
+    test left `made`: joined to `frame`, they give the same rows as `made` does.
     """
 
     name: str
@@ -41,6 +42,8 @@ class Sub:
     link: tuple[str, ...] = ()
     single: bool = False
     op: Op | None = None
+    outer: DataFrame | None = None
+    made: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -113,7 +116,7 @@ class Traced:
         """EXISTS / IN: each outer row also depends on every inner row it matches."""
         df = known_keys_join(self.df, inner.df, on, "left_semi")
         renamed = inner.df.select(*[F.col(r).alias(l) for l, r in on], *inner.rids)
-        sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single, inner.op)
+        sub = Sub(name, renamed, inner.rids, tuple(l for l, _ in on), single, inner.op, self.df, df)
         return replace(self.narrowed(df), subs=self.subs + (sub,) + inner.subs)
 
     def not_exists(self, inner: DataFrame, on: On) -> Traced:
@@ -286,6 +289,8 @@ class Lineage:
         links = self.links()
         carried = list(dict.fromkeys([*links, *[c for sub in singles for c in sub.link]]))
         rows = self._levelled(strategy)
+        if len(singles) == 1 and singles[0].made is self.core.df and not self.levels and strategy == "join" and self.grouped:
+            rows = singles[0].outer  # the join with the sub rows, further down, is the existence test as well
         if not self.grouped:
             rows = self._finished(rows, [*carried, *self.core.rids])
             if self.limit is not None:

@@ -453,23 +453,25 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     late_supplier = F.when(is_late, c("l_suppkey"))
     late = scan(t.lineitem).where(is_late).join(sellers, [("l_suppkey", "s_suppkey")])
     rows = late.join(placed, [("l_orderkey", "o_orderkey")]).select("s_name", "l_orderkey").kept(reuse)
+    # The lines of the orders in question are read once, and kept for the lineage.
     # Several suppliers, exactly one of them late. One pass of partial aggregates over the
     # orders in question replaces both existence tests: lines are never compared in pairs.
     asked = scan(t.lineitem).exists_only(rows.df, [("l_orderkey", "l_orderkey")])
+    asked = asked.select("l_orderkey", "l_suppkey", late_supplier.alias("late_supplier")).kept(reuse)
     blamed = (
         asked.df.groupBy(c("l_orderkey").alias("b_orderkey"))
         .agg(
             F.min("l_suppkey").alias("first"),
             F.max("l_suppkey").alias("last"),
-            F.min(late_supplier).alias("culprit"),
-            F.max(late_supplier).alias("last_late"),
+            F.min("late_supplier").alias("culprit"),
+            F.max("late_supplier").alias("last_late"),
         )
         .filter((c("first") != c("last")) & (c("culprit") == c("last_late")))
         .select("b_orderkey", "culprit")
     )
     blamed = Traced(blamed, ()).kept(reuse).df
     rows = rows.narrowed(rows.df.join(blamed, c("l_orderkey") == c("b_orderkey")))
-    others = scan(t.lineitem).prefixed("sub_")
+    others = asked.select("l_orderkey", "l_suppkey").prefixed("sub_")
     others = others.narrowed(others.df.join(blamed, (c("l_orderkey") == c("b_orderkey")) & (c("l_suppkey") != c("culprit"))))
     return Lineage(
         core=rows.select("s_name", "l_orderkey").kept(reuse).depends_on(others, ["l_orderkey"]),
