@@ -234,6 +234,7 @@ def sql() -> dict[str, str]:
     found["rid_group_bitmap_union"] = """select s_nationkey, count(*) as cnt, count(*) filter (where l_returnflag = 'R') as returned
         from lineitem join supplier on l_suppkey = s_suppkey group by all"""
     found["index_bucket"] = INDEXED
+    found["rid_distinct"] = w("", "select l_shipmode, l_returnflag, l_rid from lineitem_x")
     found["rid_filter_late"] = found["rid_filter"]
     found["rid_group_window"] = found["rid_group_join"]
     return found

@@ -159,9 +159,14 @@ class Traced:
         return replace(self, df=df, rids=tuple(renamed.values()), op=self.op and self.op.at(self.df).renamed(df, prefix))
 
     def distinct(self, columns: Sequence[str]) -> DataFrame:
-        """Distinct values of the data columns (ids are dropped)."""
+        """Distinct values of the data columns, without ids."""
         return self.df.select(*columns).distinct()
 
+    def traced_distinct(self, columns: Sequence[str]) -> Lineage:
+        """DISTINCT with its lineage: a group-by on all columns, whose rows depend on every row with their values."""
+        order = tuple(F.col(x) for x in columns)
+        return Lineage(core=self, keys=tuple(columns), aggregates={"_rows": F.count(F.lit(1))}, outputs=tuple(columns), order=order)
+
     def kept(self, reuse: bool = True) -> Traced:
         """Persisted if a result and its lineage are both going to read it."""
         return replace(self, df=keep(self.df)) if reuse else self

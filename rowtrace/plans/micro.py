@@ -427,6 +427,7 @@ def jobs() -> dict[str, Job]:
         "rid_group_str_list": lambda t: group_list(t, "l_returnflag"),
         "rid_group_str_concat": lambda t: group_list(t, "l_returnflag", as_text=True),
         "rid_nested_group": nested_group,
+        "rid_distinct": lambda t: scan(t.lineitem).traced_distinct(["l_shipmode", "l_returnflag"]).frame(),
         "rid_theta_lt": lambda t: below(t).df,
         "rid_theta_or": lambda t: below_by_expression(t).df,
         "rid_theta_le": lambda t: below(t, or_equal=True).df,

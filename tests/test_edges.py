@@ -194,6 +194,25 @@ def test_ids_by_file_are_small_and_lead_to_the_rows(spark, small, parted):
     assert sizes["file"] < sizes["keys"]
 
 
+def test_ids_by_file_take_half_the_room_when_stored(spark, medium, tmp_path):
+    """What `sink_ctas` writes for a join of three tables."""
+    held = {}
+    for kind in ("keys", "file"):
+        t = Tables(spark, medium.folder, rid=kind)
+        lines = Traced.scan(t.lineitem).select("l_orderkey").join(Traced.scan(t.orders), [("l_orderkey", "o_orderkey")])
+        lines.df.select("l_rid", "o_rid").coalesce(1).write.parquet(f"{tmp_path}/{kind}")
+        held[kind] = sum(f.stat().st_size for f in (tmp_path / kind).glob("*.parquet"))
+    assert held["file"] <= held["keys"] / 2
+
+
+def test_distinct_keeps_its_lineage(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "t_rid long, k string")
+    lineage = Traced.scan(df).traced_distinct(["k"])
+    assert rows(lineage.result()) == sorted([("a",), (None,)], key=repr)
+    assert rows(lineage.frame().select("k", "t_rid")) == sorted([("a", 1), ("a", 2), (None, 3), (None, 4)], key=repr)
+    assert rows(lineage.composed().select("out_index", "t_rid")) == [(0, 3), (0, 4), (1, 1), (1, 2)]
+
+
 def test_a_wrong_id_is_noticed(small):
     lineage = query("q12", small).frame()
     wrong = lineage.orderBy("l_rid").limit(1).select("l_rid").first()[0]
