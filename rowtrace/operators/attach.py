@@ -140,22 +140,26 @@ def ordinal(
 ) -> DataFrame:
     """Position (from 0) of each row in the total order `order`.
 
-    Small inputs are numbered in one task. Others are range-partitioned: each
-    partition numbers its own rows and adds the row count of those before it.
+    Small inputs are numbered in one task. Others are range-partitioned into slices of
+    about `slice_rows`, more of them for more rows: each partition numbers its own rows
+    and adds the row count of those before it.
     """
     position = F.row_number().over(Window.orderBy(*order)).cast("long") - 1
     rows = Measured(df, bound) if bound is not None else measure(df)
     if rows.small(limits):
         return rows.frame.select(position.alias(name), "*")
-    spread = cut(rows.frame.repartitionByRange(*order).select(F.spark_partition_id().alias("_slice"), "*"))
+    slices = max(2, -(-rows.rows // limits.slice_rows))
+    sliced = rows.frame.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    # number of the partition above bit 33, number of the row in it below
+    spread = cut(sliced.select(F.monotonically_increasing_id().alias("_place"), "*"))
+    here = F.shiftright("_place", 33)
     # one row per partition from here on: bounded by the partition count
-    counts = spread.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counts = spread.groupBy(here.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)).cast("long") - 1
-    numbered = spread.select("*", local.alias("_local"))
-    joined = numbered.join(F.broadcast(starts), "_slice")
-    return joined.select((F.col("_start") + F.col("_local")).alias(name), *df.columns)
+    local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = spread.join(F.broadcast(starts), here == F.col("_slice"))
+    return joined.select((F.col("_start") + local).alias(name), *df.columns)
 
 
 def inequality_join(

@@ -23,6 +23,7 @@ class Limits:
     broadcast_bytes: int = 64 * 1024 * 1024
     window_group_rows: int = 1_000_000
     list_rows: int = 10_000
+    slice_rows: int = 250_000
 
 
 DEFAULT_LIMITS = Limits()
