@@ -16,7 +16,7 @@ from rowtrace.operators.layout import store_grouped, store_plain, store_zoned
 from rowtrace.operators.lineage import Traced
 from rowtrace.operators.store import EdgeStore
 from rowtrace.plans.tpch import query
-from rowtrace.session import Limits, fresh_path
+from rowtrace.session import Limits, fresh_path, keep
 from rowtrace.sources.runs import read_micro
 from rowtrace.sources.sinks import store_table, write_csv
 from rowtrace.sources.tables import Tables, money
@@ -292,7 +292,8 @@ def full_outer(t: Tables) -> DataFrame:
 
 
 def numbered_lines(t: Tables) -> DataFrame:
-    return B.dense(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_rid"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return B.dense(t.lineitem.select(*order, "l_rid"), order, bound=t.raw("lineitem").count())
 
 
 def line_bitmaps(t: Tables) -> DataFrame:
@@ -301,24 +302,30 @@ def line_bitmaps(t: Tables) -> DataFrame:
 
 def bitmap_sizes(t: Tables) -> DataFrame:
     """Bits set and bytes held for each supplier and bucket."""
-    return line_bitmaps(t).select("l_suppkey", "bucket", F.bitmap_count("bits").alias("cnt"), F.length("bits").cast("long").alias("bytes"))
+    held = B.pieces(line_bitmaps(t), ["l_suppkey"])
+    return held.select("l_suppkey", "bucket", F.bitmap_count("bits").alias("cnt"), F.length("bits").cast("long").alias("bytes"))
 
 
 def bitmap_rows(t: Tables) -> DataFrame:
     """The lines of each supplier, read back from its bitmaps."""
-    rows = numbered_lines(t).select(c("id").alias("_id"), "l_rid")
-    found = B.members(line_bitmaps(t))
+    numbered = numbered_lines(t)
+    rows = numbered.select(c("id").alias("_id"), "l_rid")
+    found = B.members(B.group_bitmaps(numbered, ["l_suppkey"]))
     return found.join(rows, c("id") == c("_id")).select("l_suppkey", "l_rid")
 
 
 def bitmap_union(t: Tables) -> DataFrame:
     """Lines of each nation, as unions of the bitmaps of its suppliers, and the lines that its first order status shares."""
     homes = t.supplier.select(c("s_suppkey").alias("_s"), "s_nationkey")
-    placed = line_bitmaps(t).join(homes, c("l_suppkey") == c("_s"))
-    nations = B.union(placed, ["s_nationkey"])
-    returned = B.group_bitmaps(numbered_lines(t).join(t.lineitem.filter("l_returnflag = 'R'").select(c("l_rid").alias("_r")), c("l_rid") == c("_r")), [])
-    both = nations.unionByName(nations.select("s_nationkey").distinct().join(returned, how="cross"))
-    common = B.sizes(B.intersection(both, ["s_nationkey"], 2), ["s_nationkey"]).withColumnsRenamed({"cnt": "returned", "s_nationkey": "_n"})
+    numbered = numbered_lines(t)
+    placed = B.group_bitmaps(numbered, ["l_suppkey"]).join(homes, c("l_suppkey") == c("_s"))
+    nations = keep(B.union(placed, ["s_nationkey"]))
+    returned = B.group_bitmaps(numbered.join(t.lineitem.filter("l_returnflag = 'R'").select(c("l_rid").alias("_r")), c("l_rid") == c("_r")), [])
+    # of the returned lines, each nation is offered the words that it has as well
+    words = returned.select(c("bucket").alias("_b"), c("word").alias("_w"), c("bits").alias("_bits"))
+    offered = nations.join(words, (c("bucket") == c("_b")) & (c("word") == c("_w"))).select("s_nationkey", "bucket", "word", c("_bits").alias("bits"))
+    common = B.sizes(B.intersection(nations.unionByName(offered), ["s_nationkey"], 2), ["s_nationkey"])
+    common = common.withColumnsRenamed({"cnt": "returned", "s_nationkey": "_n"})
     found = B.sizes(nations, ["s_nationkey"]).join(common, c("s_nationkey") == c("_n"), "left")
     return found.select("s_nationkey", "cnt", F.coalesce("returned", F.lit(0).cast("long")).alias("returned"))
 

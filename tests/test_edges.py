@@ -129,6 +129,29 @@ def test_bitmaps_hold_the_ids(spark):
     assert bitmaps.members(bitmaps.group_bitmaps(df.limit(0), ["g"])).count() == 0
 
 
+def test_sparse_sets_are_moved_as_words_not_as_pieces(spark):
+    """Sets of single ids: what is shuffled is their words; the 4 KB pieces are made after the last exchange."""
+    df = spark.range(1, 40_001).select((F.col("id") % 20_000).alias("g"), (F.col("id") * 17).alias("id"))
+    maps = bitmaps.group_bitmaps(df, ["g"])
+    assert max(x["n"] for x in maps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()) <= 2
+    assert "bits" in maps.columns and dict(maps.dtypes)["bits"] == "bigint"
+    held = bitmaps.pieces(maps, ["g"])
+    assert rows(held.select("g", "bucket", F.bitmap_count("bits").alias("n"), F.length("bits").alias("b"))) == rows(
+        df.groupBy("g", F.bitmap_bucket_number("id").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).select("g", "bucket", "n", F.lit(4096).alias("b"))
+    )
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" not in plan[plan.rindex("Exchange") :] and "bitmap_construct_agg" in plan
+
+
+def test_rows_are_numbered_in_slices_of_bounded_size(spark):
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("k"), F.col("id").alias("v")).repartition(3)
+    numbered = attach.ordinal(df, [F.col("k").desc()], limits=Limits(broadcast_rows=1, slice_rows=500))
+    assert rows(numbered.select("out_index", "k")) == rows(spark.range(5_000).select("id", (4_999 - F.col("id")).alias("k")))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number" not in plan  # no second shuffle of all rows, dealt by a hash of the slices
+    assert numbered.select(F.spark_partition_id().alias("p")).distinct().count() >= 10
+
+
 def test_stored_edges_are_opened_by_path_and_read_in_part(spark, medium):
     kept = store.EdgeStore.write(group_edges(medium), bucket_rows=3_000)
     again = store.EdgeStore.open(spark, kept.path)
