@@ -11,11 +11,11 @@ open blocks that are not boilerplate, in order. Main blocks are kept though they
 be repeated: hosts republish articles. Beside main blocks, open ones count only where
 neighbours of them have LENGTH words together that are not repeated; fewer are strays.
 
-Pages are parsed once, into a table of blocks. Hosts without an open block are done
-with that. The pages of the others are dealt, in an order of their own, into groups of
-bounded bytes, each with a suffix array of its own; most hosts are one group. For
-hosts of several groups, hashes of passages of LENGTH tokens are aggregated over the
-host: what an open block has and another page too is handed to the groups that hold it.
+Every page goes through the suffix array of its group: the pages of a host, dealt into
+groups of bounded bytes where there are more; most hosts are one group. For hosts of
+several groups that have an open block, hashes of passages of LENGTH tokens are
+aggregated over the host: what an open block has and another page too is handed to the
+groups that hold it. Without open blocks, what other groups repeat decides nothing.
 
 Defined cases: a null or empty page has an empty text; a null url, or one without
 host, belongs to the empty host; unclosed tags and comments are taken to the end
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtrace.llm.common import Batches, in_arrow, prefix_sums, ship, slices, slices_by, table, written
+from rowtrace.llm.common import Batches, in_arrow, prefix_sums, ship, slices, slices_by, table, utf8_bytes, written
 from rowtrace.llm.hashing import mix, powers, word_hashes
 from rowtrace.llm.urls import host_and_path
 
@@ -227,23 +227,34 @@ def _parsed(batches: Batches) -> Batches:
     for whole in batches:
         for batch in slices(whole, "html", BATCH_BYTES):
             pages = [blocks(p or "") for p in batch.column("html").to_pylist()]
+            names = [c for c in batch.schema.names if c != "html"]
             flat = [block for found in pages for block in found]
             texts, claims = pa.array([t for t, _ in flat], pa.string()), pa.array([c for _, c in flat], pa.int8())
             ends = np.concatenate(([0], np.cumsum([len(found) for found in pages])))
             sizes = np.concatenate(([0], np.cumsum([len(t.encode("utf-8")) for t, _ in flat], dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("page_id", "url", "host", "page")),
+                    *(batch.column(c) for c in names),
                     pa.array(np.diff(sizes[ends])),
                     pa.array([any(c == OPEN for _, c in found) for found in pages], pa.bool_()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([texts, claims], names=["text", "claim"])),
                 ],
-                names=["page_id", "url", "host", "page", "bytes", "open", "blocks"],
+                names=[*names, "bytes", "open", "blocks"],
             )
 
 
+def _open_hosts(batches: Batches) -> Batches:
+    """Hosts of pages that have an open block."""
+    for batch in batches:
+        found = {h for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if any(c == OPEN for _, c in blocks(p or ""))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["_host"])
+
+
 def _pages_of(column: pa.Array) -> list[list[tuple[str, int]]]:
-    return [[(b["text"], b["claim"]) for b in found] for found in column.to_pylist()]
+    flat = column.flatten()
+    pairs = list(zip(flat.field("text").to_pylist(), flat.field("claim").to_pylist(), strict=True))
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
+    return [pairs[a:b] for a, b in itertools.pairwise(ends)]
 
 
 def _passages(batches: Batches) -> Batches:
@@ -299,31 +310,39 @@ def _texts(group: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table([group.column("page_id"), group.column("url"), pa.array(kept, pa.string())], names=["page_id", "url", "text"])
 
 
+def _texts_alone(group: pa.Table) -> pa.Table:
+    """Texts of the pages of a group for which other groups decide nothing."""
+    return _texts(group, group.slice(0, 0))
+
+
 def extract_main_text(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     ship(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     page = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id")).otherwise(F.xxhash64(F.lit("no id"), "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = in_arrow(
-        pages.select("page_id", "url", "html", host.alias("host"), page.alias("page")),
-        _parsed,
-        f"page_id {kind}, url string, host string, page long, bytes long, open boolean, blocks {BLOCKS_TYPE}",
-    )
-    parsed = written(parsed, "blocks")
-    unsettled = written(parsed.filter("open").select(F.col("host").alias("_host")).distinct(), "hosts")
-    main = F.transform(F.filter("blocks", lambda b: b["claim"] == MAIN), lambda b: b["text"])
-    claimed = F.concat_ws("\n\n", main)
+    rows = pages.select("page_id", "url", "html", host.alias("host"), page.alias("page"))
+    types = f"page_id {kind}, url string, host string, page long, %sbytes long, open boolean, blocks {BLOCKS_TYPE}"
+    # hosts of more bytes than a group: no more of them than groups
+    totals = rows.groupBy(F.col("host").alias("_host")).agg(F.sum(utf8_bytes(F.col("html"))).alias("total"))
+    totals = totals.filter(F.col("total") > group_bytes)
+    crowded = written(totals.select("_host", F.ceil(F.col("total") / group_bytes).cast("long").alias("groups")), "hosts")
     here = F.col("host") == F.col("_host")
-    settled = parsed.join(unsettled, here, "left_anti").select("page_id", "url", claimed.alias("text"))
-    result = settled
+    of_crowded = rows.join(crowded, here, "left_semi").select("host", "html")
+    unsettled = written(in_arrow(of_crowded, _open_hosts, "_host string").distinct(), "hosts")
+    # copies of a page are dealt as well
+    dealt = F.pmod(F.xxhash64("page", F.monotonically_increasing_id()), F.coalesce("groups", F.lit(1).cast("long")))
+    alone = rows.join(unsettled, here, "left_anti").join(crowded, here, "left").select(*rows.columns, dealt.alias("group"))
+    blocked = in_arrow(alone, _parsed, types % "group long, ").select("page_id", "url", "host", "page", "group", "blocks")
+    result = blocked.groupBy("host", "group").applyInArrow(_texts_alone, f"page_id {kind}, url string, text string")
     if unsettled.limit(1).count():
-        result = settled.unionAll(_judged(parsed.join(unsettled, here, "left_semi"), kind, group_bytes))
+        several = written(in_arrow(rows.join(unsettled, here, "left_semi"), _parsed, types % ""), "blocks")
+        result = result.unionAll(_judged(several, kind, group_bytes))
     return result.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def _judged(parsed: DataFrame, kind: str, group_bytes: int) -> DataFrame:
-    """page_id, url, text of the pages of hosts with open blocks."""
+    """page_id, url, text of the pages of hosts that are several groups and have open blocks."""
     placed = prefix_sums(parsed, ["page"], ["bytes"], ["host"])
     group = F.floor(F.col("before_bytes") / group_bytes).cast("long")
     placed = written(placed.select("page_id", "url", F.xxhash64("host").alias("number"), group.alias("group"), "page", "bytes", "blocks"), "placed")

@@ -320,6 +320,16 @@ def test_open_blocks_beside_main_ones(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"teaser {i}\n\nPart {i}\n\n{sentence(900 + i, 30)}" for i in range(4)}
 
 
+@pytest.mark.parametrize("group_bytes", [html.GROUP_BYTES, 600])
+def test_pages_whose_blocks_are_claimed_go_through_the_array(spark, group_bytes):
+    """The markup claims every block: no shorter way beside the array of a host's pages."""
+    rows = [(i, "http://h.example/x", f"<nav>{sentence(1, 12)}</nav><article><p>{sentence(800 + i % 3, 20)}</p><p>own {i}</p></article>") for i in range(9)]
+    got = html.extract_main_text(spark.createDataFrame([*rows, rows[4]], "page_id long, url string, html string"), group_bytes)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = [(i, f"{sentence(800 + i % 3, 20)}\n\nown {i}") for i in [*range(9), 4]]
+    assert sorted((r["page_id"], r["text"]) for r in got.collect()) == sorted(want)
+
+
 def test_repeats_across_groups_of_a_host(spark):
     twice = {0: 5, 1: 5, 7: 6, 30: 6, 11: 7, 12: 7, 103: 5}  # page and passage; 103 is of another host
     rows = [
