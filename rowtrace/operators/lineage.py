@@ -255,7 +255,7 @@ class Lineage:
 
         For questions that read the outputs several times.
         """
-        if not (self.grouped and self.keys):
+        if not (self.grouped and self.keys) or self.base_rows is not None:
             return self
         top = measure(self._top())
         return replace(self, base=top.frame, base_rows=top.rows, aggregates={}, finish={}, having=None)

@@ -51,14 +51,28 @@ def agreement(rows: DataFrame, holds: Column) -> DataFrame:
     )
 
 
+def row_counts(lineage: DataFrame) -> DataFrame:
+    """Ids of each relation of a lineage table: (relation, rows). Only counts leave a task."""
+    rids = [c for c in lineage.columns if c.endswith("_rid")]
+    counted = lineage.agg(*[F.count(F.col(r)).alias(r) for r in rids])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(r).alias("relation"), F.col(r).alias("rows")) for r in rids])))
+
+
 def id_counts(lineage: DataFrame) -> DataFrame:
-    """Rows, text bytes and distinct ids per relation of a lineage table: (relation, rows, bytes, distinct_ids)."""
+    """Rows, text bytes and distinct ids per relation of a lineage table: (relation, rows, bytes, distinct_ids).
+
+    Whole numbers are told apart as such: they become text where they are counted.
+    """
     rids = [c for c in lineage.columns if c.endswith("_rid")]
-    pairs = F.array(*[F.struct(F.lit(r).alias("relation"), F.col(r).cast("string").alias("id")) for r in rids])
-    long = lineage.select(F.explode(pairs).alias("p")).select("p.relation", "p.id").filter("id is not null")
-    per_id = long.groupBy("relation", "id").agg(F.count(F.lit(1)).alias("n"))
-    return per_id.groupBy("relation").agg(
+    whole = {r for r, kind in lineage.dtypes if kind in ("int", "bigint")}
+    number = {r: F.col(r).cast("long") if r in whole else F.lit(None).cast("long") for r in rids}
+    text = {r: F.lit(None).cast("string") if r in whole else F.col(r).cast("string") for r in rids}
+    pairs = F.array(*[F.struct(F.lit(i).alias("at"), number[r].alias("number"), text[r].alias("id")) for i, r in enumerate(rids)])
+    long = lineage.select(F.explode(pairs).alias("p")).select("p.*").filter("number is not null or id is not null")
+    per_id = long.groupBy("at", "number", "id").agg(F.count(F.lit(1)).alias("n"))
+    per_relation = per_id.groupBy("at").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.col("n") * F.length("id")).alias("bytes"),
+        F.sum(F.col("n") * F.length(F.coalesce(F.col("id"), F.col("number").cast("string")))).alias("bytes"),
         F.count(F.lit(1)).alias("distinct_ids"),
     )
+    return per_relation.select(F.array(*[F.lit(r) for r in rids])[F.col("at")].alias("relation"), "rows", "bytes", "distinct_ids")

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from rowtrace.operators import attach, bitmaps, edges, graph, store
+from rowtrace.operators import attach, bitmaps, edges, graph, store, trace
 from rowtrace.operators.attach import Branch
 from rowtrace.operators.lineage import Lineage, Traced
 from rowtrace.plans.micro import group_edges, store_of
@@ -143,6 +143,21 @@ def test_sparse_sets_are_moved_as_words_not_as_pieces(spark):
     assert "bitmap_construct_agg" not in plan[plan.rindex("Exchange") :] and "bitmap_construct_agg" in plan
 
 
+def test_counts_of_a_lineage_table(spark):
+    """Rows without a shuffle of ids; distinct ones and bytes by ids of either type."""
+    held = [(1, "1-a", None), (1, "1-b", None), (2, "1-b", None), (None, None, None), (-30, "x", None)]
+    table = spark.createDataFrame(held, "o_rid long, l_rid string, n_rid int")
+    assert rows(trace.row_counts(table)) == [("l_rid", 4), ("n_rid", 0), ("o_rid", 4)]
+    assert rows(trace.id_counts(table)) == [("l_rid", 4, 10, 3), ("o_rid", 4, 6, 3)]
+    plan = trace.row_counts(table)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_outputs_are_written_down_once(medium):
+    pinned = query("q03", medium).pinned()
+    assert pinned.pinned() is pinned and pinned.base_rows == query("q03", medium).result().count()
+
+
 def test_rows_are_numbered_in_slices_of_bounded_size(spark):
     df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("k"), F.col("id").alias("v")).repartition(3)
     numbered = attach.ordinal(df, [F.col("k").desc()], limits=Limits(broadcast_rows=1, slice_rows=500))
