@@ -167,6 +167,14 @@ class Traced:
         order = tuple(F.col(x) for x in columns)
         return Lineage(core=self, keys=tuple(columns), aggregates={"_rows": F.count(F.lit(1))}, outputs=tuple(columns), order=order)
 
+    def measured(self) -> Traced:
+        """The same rows written down and counted: joins broadcast them if they were found to be small.
+
+        For the small side of a join whose size cannot be told beforehand, such as a join of small tables: the other
+        side is then not shuffled for it.
+        """
+        return replace(self, df=sized(self.df))
+
     def kept(self, reuse: bool = True) -> Traced:
         """Persisted if a result and its lineage are both going to read it."""
         return replace(self, df=keep(self.df)) if reuse else self

@@ -536,8 +536,9 @@ def lineage_stats(t: Tables) -> DataFrame:
 def fanout(t: Tables) -> DataFrame:
     """Joined lineage rows per output row; 0 for an empty result."""
     parts = []
+    unnamed = t.unnamed()
     for q in QUERIES:
-        lineage = query(q, t).pinned()
+        lineage = query(q, unnamed).pinned()
         total = lineage.backward(())
         known = lineage.base_rows
         base = F.lit(known).cast("long") if known is not None else lineage.result().agg(F.count(F.lit(1))).scalar()
@@ -564,8 +565,9 @@ def trace_by_key(t: Tables) -> DataFrame:
 
 def trace_sample(t: Tables, rows: int | None = 10) -> DataFrame:
     parts = []
+    unnamed = t.unnamed()
     for q in QUERIES:
-        parts.append(sizes(query(q, t), TRACE_KEYS[q], rows).select(F.lit(q).alias("query"), "*"))
+        parts.append(sizes(query(q, unnamed), TRACE_KEYS[q], rows).select(F.lit(q).alias("query"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

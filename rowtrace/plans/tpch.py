@@ -64,7 +64,7 @@ def q02(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     offers = (
         scan(t.partsupp)
         .join(wanted, [("ps_partkey", "p_partkey")])
-        .join(sellers, [("ps_suppkey", "s_suppkey")])
+        .join(sellers.measured(), [("ps_suppkey", "s_suppkey")])
         .select(
             "p_partkey", "ps_supplycost", "s_acctbal", "s_name", "n_name", "p_mfgr", "s_address", "s_phone", "s_comment"
         )
@@ -113,6 +113,7 @@ def q04(t: Tables, p: Params, reuse: bool = True) -> Lineage:
 def q05(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     places = scan(t.nation).join(scan(t.region).where(c("r_name") == p["region"]), [("n_regionkey", "r_regionkey")])
     sellers = scan(t.supplier).join(places, [("s_nationkey", "n_nationkey")])
+    sellers = sellers.select("s_suppkey", "s_nationkey", "n_name").measured()
     placed = scan(t.orders).where(between_days("o_orderdate", p["start"], p["end"]))
     bought = placed.join(scan(t.customer), [("o_custkey", "c_custkey")])
     rows = (
@@ -150,6 +151,7 @@ def q07(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     from_nation = scan(t.occurrence("nation", "n1")).where(c("n1_name").isin(pair))
     to_nation = scan(t.occurrence("nation", "n2")).where(c("n2_name").isin(pair))
     sellers = scan(t.supplier).join(from_nation, [("s_nationkey", "n1_nationkey")])
+    sellers = sellers.select("s_suppkey", "n1_name").measured()
     bought = scan(t.orders).join(
         scan(t.customer).join(to_nation, [("c_nationkey", "n2_nationkey")]), [("o_custkey", "c_custkey")]
     )
@@ -248,6 +250,7 @@ def q11(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
+    sellers = sellers.select("s_suppkey").measured()
     worth = (cents("ps_supplycost") * c("ps_availqty")).alias("worth")
     stock = scan(t.partsupp).join(sellers, [("ps_suppkey", "s_suppkey")]).select("ps_partkey", worth).kept(reuse)
     threshold = stock.df.agg(ExactSum(c("worth")).column().alias("total"))
@@ -448,6 +451,7 @@ def q21(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sellers = scan(t.supplier).join(
         scan(t.nation).where(c("n_name") == p["nation"]), [("s_nationkey", "n_nationkey")]
     )
+    sellers = sellers.select("s_suppkey", "s_name").measured()
     placed = scan(t.orders).where(c("o_orderstatus") == p["status"])
     is_late = c("l_receiptdate") > c("l_commitdate")
     late_supplier = F.when(is_late, c("l_suppkey"))

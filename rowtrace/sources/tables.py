@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from copy import copy
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -97,6 +98,15 @@ class Tables:
         #: What was written for later questions, by name: it lives as long as this object.
         self.stores: dict[str, Any] = {}
 
+    def unnamed(self) -> Tables:
+        """The same tables with empty ids, for questions that count rows: no ids are made, shuffled or kept for them.
+
+        What was read, derived and written is shared with this object.
+        """
+        other = copy(self)
+        other.rid = "empty"
+        return other
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -120,6 +130,8 @@ class Tables:
         located = self.rid == "file"
         if located:
             value = F.col("_metadata.row_index")
+        elif self.rid == "empty":
+            value = F.lit(None).cast("long")
         else:
             value = F.col(keys[0]) if len(keys) == 1 else _text(*keys)
         found = dict(self.raw(name).dtypes)
