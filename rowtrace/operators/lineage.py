@@ -268,6 +268,12 @@ class Lineage:
         top = measure(self._top())
         return replace(self, base=top.frame, base_rows=top.rows, aggregates={}, finish={}, having=None)
 
+    def answered(self, other: Lineage) -> Lineage:
+        """This query with the outputs that `other`, the same query over the same rows, has written down."""
+        if other.base_rows is None or self.base_rids:
+            return self.pinned()
+        return replace(self, base=other.base, base_rows=other.base_rows, aggregates={}, finish={}, having=None)
+
     def _bound(self) -> int | None:
         return self.limit if self.base_rows is None else self.base_rows
 
@@ -477,7 +483,15 @@ class Lineage:
         return reduce(DataFrame.unionByName, found)
 
     def _chosen(self, main: DataFrame, by: Sequence[str], wanted: DataFrame, bound: int | None) -> DataFrame:
-        """Main rows whose outputs have their columns `by` in `wanted`."""
+        """Main rows whose outputs have their columns `by` in `wanted`.
+
+        The values of a single output go into the plan as literals: unlike a join they are pushed to all scans that
+        they can restrict.
+        """
+        if bound == 1:
+            row = wanted.select(*by).first()
+            same = [F.col(c).isNull() if row[c] is None else F.col(c) == F.lit(row[c]) for c in by] if row else [F.lit(False)]
+            return main.filter(reduce(Column.__and__, same))
         picked = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by])
         condition = matching([F.col(c) for c in by], [F.col(f"_w_{c}") for c in by])
         return main.join(sized(picked, self.limits, bound), condition, "left_semi")

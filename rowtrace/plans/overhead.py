@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rowtrace.operators.attach import matching
 from rowtrace.operators.trace import agreement, id_counts, originals, row_counts, sizes
-from rowtrace.plans.params import DECORRELATED, TRACE_KEYS
+from rowtrace.plans.params import DECORRELATED, FACTORISED, TRACE_KEYS
 from rowtrace.plans.tpch import QUERIES, query
 from rowtrace.session import fresh_path
 from rowtrace.sources.runs import FAMILIES, read_runs, union_families
@@ -554,11 +554,18 @@ def avg_lineage_size(t: Tables) -> DataFrame:
 
 
 def trace_by_key(t: Tables) -> DataFrame:
-    """Base rows behind the first output of every query, asked for by its key columns: (query, relation, n, last)."""
+    """Base rows behind the first output of every query, asked for by its key columns: (query, relation, n, last).
+
+    The outputs are found without ids. These are made for the rows of the first output only, and nothing is kept for
+    that; factorised lineage reads the same rows in several branches, and keeps them.
+    """
     parts = []
+    unnamed = t.unnamed()
     for q in QUERIES:
-        lineage, keys = query(q, t).pinned(), TRACE_KEYS[q]
-        wanted = lineage.wanted(1, keys) if keys else None
+        keys, several = TRACE_KEYS[q], q in FACTORISED
+        lineage = query(q, t, reuse=several)
+        found = query(q, unnamed).pinned() if keys and not several else lineage.pinned()
+        lineage, wanted = lineage.answered(found), found.wanted(1, keys) if keys else None
         parts.append(lineage.traced(keys, wanted, bound=1).select(F.lit(q).alias("query"), "relation", "n", "last"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,8 +1,12 @@
-"""Questions that count lineage rows make no ids."""
+"""Questions that count lineage rows make no ids; one output's question restricts the scans."""
+
+import re
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from rowtrace.operators.lineage import Lineage, Traced
 from rowtrace.operators.trace import sizes
 from rowtrace.plans import overhead
 from rowtrace.plans.params import TRACE_KEYS
@@ -53,3 +57,29 @@ def test_few_sellers_are_sent_to_the_lines(spark, small, name, on):
         assert any("BroadcastHashJoin" in line and f"[{on}#" in line for line in physical.splitlines())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_first_output_restricts_the_scan(small):
+    lineage = query("q03", small, reuse=False)
+    by = TRACE_KEYS["q03"]
+    asked = lineage.traced(by, lineage.wanted(1, by), bound=1)
+    scans = re.findall(r"Filter .*\((?:l|o)_orderkey#\d+L = \d+\)", plan(asked))
+    assert any("l_orderkey" in x for x in scans) and any("o_orderkey" in x for x in scans)
+
+
+@pytest.mark.parametrize("keys", [[None, "a"], ["a", "b"], []])
+def test_first_output_may_be_null_or_missing(spark, keys):
+    facts = [(10 * i + j, k) for i, k in enumerate(keys) for j in range(3 + i)]
+    core = Traced(spark.createDataFrame(facts, "f_rid long, g string"), ("f_rid",))
+    lineage = Lineage(core=core, keys=("g",), aggregates={"n": F.count(F.lit(1))}, outputs=("g", "n"), order=(F.col("g"),))
+    expected = [("f_rid", 3, "2")] if keys else [("f_rid", 0, None)]
+    assert rows(lineage.traced(["g"], lineage.wanted(1, ["g"]), bound=1)) == expected
+
+
+def test_answered_takes_outputs_that_hold_ids_from_itself(small):
+    own, other = query("q15", small), query("q15", small.unnamed()).pinned()
+    assert rows(own.answered(other).main().select("s_rid").distinct()) == rows(query("q15", small).main().select("s_rid").distinct())
+    release_caches()
+    found = query("q12", small.unnamed()).pinned()
+    answered = query("q12", small, reuse=False).answered(found)
+    assert answered.base is found.base and answered.main().filter("l_rid is null or o_rid is null").isEmpty()
