@@ -49,6 +49,15 @@ def sized(df: DataFrame, limits: Limits = DEFAULT_LIMITS, bound: int | None = No
     return F.broadcast(known.frame) if known.small(limits) else known.frame
 
 
+def few(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """`df` for the side of a join that is most likely small, and too large to be written down if it is not.
+
+    No more rows are written than one above the bound. At or below it, all of them have been written: broadcast.
+    """
+    head = measure(df.limit(limits.broadcast_rows + 1))
+    return F.broadcast(head.frame) if head.small(limits) else df
+
+
 def matching(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality of two column lists (groups with a null key keep their rows)."""
     condition = F.lit(True)
@@ -85,18 +94,18 @@ def join_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFram
     return rows.join(renamed, condition).select(*rows.columns, *added)
 
 
-def known_keys_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str) -> DataFrame:
+def known_keys_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str, rare: bool = False) -> DataFrame:
     """Semi or anti join on equal columns, with a hot key on either side.
 
     The right keys are made distinct, which reduces a hot key there before the
     shuffle. They are then free of nulls, so null-safe equality means the same as
     plain equality; it makes the join shuffle both sides anew instead of building on
     the exchange of the aggregate, and only so adaptive execution may split a hot
-    key on the left.
+    key on the left. `rare` keys are broadcast if they are found to be few.
     """
     names = [f"_k{i}" for i in range(len(on))]
     keys = right.select(*[F.col(b).alias(n) for n, (_, b) in zip(names, on, strict=True)])
-    keys = keys.dropna().distinct()
+    keys = few(keys.dropna().distinct()) if rare else keys.dropna().distinct()
     return left.join(keys, matching([F.col(a) for a, _ in on], [F.col(n) for n in names]), how)
 
 

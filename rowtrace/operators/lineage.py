@@ -123,9 +123,9 @@ class Traced:
         """NOT EXISTS: what is absent adds no dependency."""
         return self.narrowed(known_keys_join(self.df, inner, on, "left_anti"))
 
-    def exists_only(self, inner: DataFrame, on: On) -> Traced:
-        """Keeps the rows that have a partner, as a filter that adds no dependency."""
-        return self.narrowed(known_keys_join(self.df, inner, on, "left_semi"))
+    def exists_only(self, inner: DataFrame, on: On, rare: bool = False) -> Traced:
+        """Keeps the rows that have a partner, as a filter that adds no dependency; `rare`: few are likely to have one."""
+        return self.narrowed(known_keys_join(self.df, inner, on, "left_semi", rare))
 
     def not_in(self, column: str, inner: Traced, value: str, name: str = "sub", capture: str = "all") -> Traced:
         """NOT IN: depends on the whole inner result (capture="all") or on nothing ("none").

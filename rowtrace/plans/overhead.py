@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from rowtrace.operators.attach import matching
 from rowtrace.operators.trace import agreement, id_counts, originals, row_counts, sizes
 from rowtrace.plans.params import DECORRELATED, FACTORISED, TRACE_KEYS
 from rowtrace.plans.tpch import QUERIES, query
-from rowtrace.session import fresh_path
+from rowtrace.session import fresh_path, passing, pruned
 from rowtrace.sources.runs import FAMILIES, read_runs, union_families
 from rowtrace.sources.sinks import write_csv
 from rowtrace.sources.tables import Tables
@@ -522,15 +522,33 @@ class DealtTables:
 
 # -- measures of the captured lineage itself ---------------------------------------
 
+def one_by_one(t: Tables, ask: Callable[[str], DataFrame]) -> DataFrame:
+    """The answers to `ask` for all queries, a few rows each: every one is computed and left before the next begins.
+
+    The disks then hold the shuffled and kept rows of one query at a time. In one union of all plans those of every
+    query stay until the last has ended.
+    """
+    rows: list[Row] = []
+    kinds: dict[str, T.DataType] = {}
+    for q in QUERIES:
+        with passing(t.spark), pruned(t.spark):
+            found, kinds = answer(ask(q))
+            rows += found
+    return t.spark.createDataFrame(rows, T.StructType([T.StructField(name, kind) for name, kind in kinds.items()]))
+
+
+def answer(asked: DataFrame) -> tuple[list[Row], dict[str, T.DataType]]:
+    return asked.collect(), {f.name: f.dataType for f in asked.schema.fields}
+
+
 def lineage_stats(t: Tables) -> DataFrame:
-    parts = [
-        id_counts(query(q, t).frame()).select(
+    def ask(q: str) -> DataFrame:
+        return id_counts(query(q, t).frame()).select(
             F.lit(q).alias("query"), "relation", "rows", "bytes", "distinct_ids",
             (c("bytes").cast("double") / MIB).alias("mib"), F.ceil(c("rows") / 1024).cast("long").alias("chunks"),
-        )
-        for q in QUERIES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        )
+
+    return one_by_one(t, ask)
 
 
 def fanout(t: Tables) -> DataFrame:

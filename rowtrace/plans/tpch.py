@@ -381,7 +381,7 @@ def q18(t: Tables, p: Params, reuse: bool = True) -> Lineage:
     sums = t.lineitem.groupBy("l_orderkey").agg(ExactSum(cents("l_quantity")).column().alias("qty"))
     large = sums.filter(c("qty") > 100 * p["quantity"]).select("l_orderkey")
     # the lines of the few large orders: what both the joined rows and the subquery's rows come from
-    few = scan(t.lineitem).exists_only(large, [("l_orderkey", "l_orderkey")])
+    few = scan(t.lineitem).exists_only(large, [("l_orderkey", "l_orderkey")], rare=True)
     few = few.select("l_orderkey", cents("l_quantity").alias("qty")).kept(reuse)
     bought = scan(t.orders).join(scan(t.customer), [("o_custkey", "c_custkey")])
     rows = few.join(bought, [("l_orderkey", "o_orderkey")])

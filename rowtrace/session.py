@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -93,7 +96,53 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def release_caches() -> None:
-    """Free everything `keep` holds; later reads recompute it."""
-    while _kept:
+def release_caches(down_to: int = 0) -> None:
+    """Free what `keep` holds, but for the first `down_to`; later reads recompute it."""
+    while len(_kept) > down_to:
         _kept.pop().unpersist()
+
+
+#: Spark's own Bloom filters for joins of which one side is filtered: the other side's rows are asked before they are
+#: shuffled. By default this is for scans of 10 GB and more. A filter has 2 MB; too many keys only make it pass more rows.
+PRUNED = {
+    "enabled": "true", "applicationSideScanSizeThreshold": "8m", "creationSideThreshold": "1t",
+    "numBits": str(1 << 24), "maxNumBits": str(1 << 24), "expectedNumItems": "6000000", "maxNumItems": "6000000",
+}
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Plans made inside follow `settings`; the session's own are as before afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def pruned(spark: SparkSession) -> AbstractContextManager[None]:
+    """Joins inside use Bloom filters as `PRUNED` says."""
+    return configured(spark, {f"spark.sql.optimizer.runtime.bloomFilter.{name}": value for name, value in PRUNED.items()})
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A step that is over when it is left, with a result of its own: what it kept and shuffled is freed then.
+
+    Inside, what a question shuffled goes as soon as it is answered. Files behind kept relations, and those of
+    checkpoints, are deleted by Spark once the driver's garbage collector has found that nothing refers to them; a
+    driver with free memory would not look for hours.
+    """
+    kept = len(_kept)
+    try:
+        with configured(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            yield
+    finally:
+        release_caches(kept)
+        for _ in range(2):
+            spark.sql("select 1").collect()  # Spark's listeners refer to the last question until the next one ends
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()

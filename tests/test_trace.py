@@ -1,11 +1,14 @@
 """Questions that count lineage rows make no ids; one output's question restricts the scans."""
 
 import re
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from rowtrace import session
+from rowtrace.operators import attach
 from rowtrace.operators.lineage import Lineage, Traced
 from rowtrace.operators.trace import sizes
 from rowtrace.plans import overhead
@@ -83,3 +86,87 @@ def test_answered_takes_outputs_that_hold_ids_from_itself(small):
     found = query("q12", small.unnamed()).pinned()
     answered = query("q12", small, reuse=False).answered(found)
     assert answered.base is found.base and answered.main().filter("l_rid is null or o_rid is null").isEmpty()
+
+
+def held(spark):
+    """How many relations are kept, and how many files of shuffles there are."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return spark.sparkContext._jsc.getPersistentRDDs().size(), files.count("/shuffle_")
+
+
+@pytest.mark.parametrize("ask", [overhead.lineage_stats])
+def test_queries_are_answered_one_by_one(spark, small, monkeypatch, ask):
+    """Nothing that one query kept or shuffled is left when the next begins, or at the end."""
+    names, found = ["q18", "q03", "q21"], []
+    small.partsupp
+
+    def begun(name, *a, **k):
+        if name not in [x for x, _ in found]:
+            freed()
+            found.append((name, held(spark)))
+        return query(name, *a, **k)
+
+    def freed():
+        until = time.time() + 5
+        while (held(spark)[0] or held(spark)[1] > before) and time.time() < until:
+            spark._jvm.System.gc()
+            time.sleep(0.2)
+
+    release_caches()
+    with session.passing(spark):
+        pass
+    time.sleep(1)
+    before = held(spark)[1]
+    monkeypatch.setattr(overhead, "QUERIES", dict.fromkeys(names))
+    monkeypatch.setattr(overhead, "query", begun)
+    result = ask(small)
+    freed()
+    found.append(("end", held(spark)))
+    assert [x for x, _ in found] == [*names, "end"]
+    assert all(kept == 0 and shuffles <= before for _, (kept, shuffles) in found)
+    assert result.count() > 0
+
+
+def test_passing_leaves_what_was_kept_before(spark):
+    outer = session.keep(spark.range(3))
+    with session.passing(spark):
+        inner = session.keep(spark.range(4))
+        assert inner.is_cached
+    assert outer.is_cached and not inner.is_cached
+
+
+def test_filtered_joins_ask_bloom_filters_inside_only(spark, small, monkeypatch):
+    """Lines are asked for the keys of the filtered orders before they are shuffled; the rows are the same."""
+    monkeypatch.setitem(session.PRUNED, "applicationSideScanSizeThreshold", "0")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = query("q03", small, reuse=False).core.df
+        assert "might_contain" not in plan(plain)
+        expected = rows(plain)
+        with session.pruned(spark):
+            asked = query("q03", small, reuse=False).core.df
+            assert "might_contain" in plan(asked)
+            assert rows(asked) == expected
+        assert spark.conf.get(name) == usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("bound", "broadcast"), [(3, True), (2, False)])
+def test_rare_keys_are_broadcast_if_they_are_few(spark, monkeypatch, bound, broadcast):
+    left = spark.createDataFrame([(k % 5 or None, k) for k in range(20)], "a long, v long")
+    right = spark.createDataFrame([(k,) for k in (1, 2, 2, 3, None)], "b long")
+    expected = rows(left.filter("a in (1, 2, 3)"))
+    limits = session.Limits(broadcast_rows=bound)
+    monkeypatch.setattr(attach.few, "__defaults__", (limits,))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach.known_keys_join(left, right, [("a", "b")], "left_semi", rare=True)
+        assert ("BroadcastHashJoin" in plan(joined)) == broadcast
+        assert rows(joined) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
