@@ -567,8 +567,8 @@ def fanout(t: Tables) -> DataFrame:
 
 
 def avg_lineage_size(t: Tables) -> DataFrame:
-    largest = [row_counts(query(q, t).frame()).agg(F.max("rows").alias("rows")) for q in QUERIES]
-    return reduce(DataFrame.unionByName, largest).agg((F.coalesce(F.sum("rows"), F.lit(0)).cast("double") / len(QUERIES)).alias("avg_rows"))
+    largest = one_by_one(t, lambda q: row_counts(query(q, t).frame()).agg(F.max("rows").alias("rows")))
+    return largest.agg((F.coalesce(F.sum("rows"), F.lit(0)).cast("double") / len(QUERIES)).alias("avg_rows"))
 
 
 def trace_by_key(t: Tables) -> DataFrame:
