@@ -577,15 +577,16 @@ def trace_by_key(t: Tables) -> DataFrame:
     The outputs are found without ids. These are made for the rows of the first output only, and nothing is kept for
     that; factorised lineage reads the same rows in several branches, and keeps them.
     """
-    parts = []
     unnamed = t.unnamed()
-    for q in QUERIES:
+
+    def ask(q: str) -> DataFrame:
         keys, several = TRACE_KEYS[q], q in FACTORISED
         lineage = query(q, t, reuse=several)
         found = query(q, unnamed).pinned() if keys and not several else lineage.pinned()
         lineage, wanted = lineage.answered(found), found.wanted(1, keys) if keys else None
-        parts.append(lineage.traced(keys, wanted, bound=1).select(F.lit(q).alias("query"), "relation", "n", "last"))
-    return reduce(DataFrame.unionByName, parts)
+        return lineage.traced(keys, wanted, bound=1).select(F.lit(q).alias("query"), "relation", "n", "last")
+
+    return one_by_one(t, ask)
 
 
 def trace_sample(t: Tables, rows: int | None = 10) -> DataFrame:

@@ -94,7 +94,7 @@ def held(spark):
     return spark.sparkContext._jsc.getPersistentRDDs().size(), files.count("/shuffle_")
 
 
-@pytest.mark.parametrize("ask", [overhead.lineage_stats, overhead.avg_lineage_size])
+@pytest.mark.parametrize("ask", [overhead.lineage_stats, overhead.avg_lineage_size, overhead.trace_by_key])
 def test_queries_are_answered_one_by_one(spark, small, monkeypatch, ask):
     """Nothing that one query kept or shuffled is left when the next begins, or at the end."""
     names, found = ["q18", "q03", "q21"], []
